@@ -118,3 +118,19 @@ def lay_out(
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     return Layout(rows, key, measured.total, fan)
+
+
+def spread_join(facts: DataFrame, dim: DataFrame, key: str, spread_by: list[str], scratch: Scratch,
+                partitions: int | None = None, hot_floor: int = ROWS_PER_PARTITION) -> DataFrame:
+    """Inner join of ``facts`` with one ``dim`` row per key; the facts of a hot key are spread over several salts."""
+    measured = measure(facts, key)
+    partitions = partitions or int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    limit = hot_limit(max(measured.total, 1), partitions, hot_floor)
+    if measured.top <= limit:
+        return facts.join(dim, key)
+    # at most total / limit <= partitions / 4 hot keys
+    fan = F.broadcast(scratch.save(hot_keys(measured.counts, key, limit), f"hot-{key}"))
+    salted = facts.join(fan, key, "left").withColumn("salt", salt_of(spread_by, F.coalesce("fan", F.lit(1)))).drop("fan")
+    copies = dim.join(fan, key, "left").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.coalesce("fan", F.lit(1)) - 1))).drop("fan")
+    return salted.join(copies, [key, "salt"]).drop("salt")

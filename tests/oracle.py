@@ -1,0 +1,65 @@
+"""Compares registered queries with their DuckDB statements: ``python tests/oracle.py [folder] [query ...]``."""
+
+from __future__ import annotations
+
+import sys
+import time
+from pathlib import Path
+
+import duckdb
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+
+def connect(folder: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for path in sorted(Path(folder).glob("*.parquet")):
+        con.execute(f"create view {path.stem} as select * from '{path}'")
+    return con
+
+
+def _cell(value):
+    return round(value, 6) if isinstance(value, float) else value
+
+
+def _rows(columns: list[str], rows) -> list[tuple]:
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted((tuple(_cell(r[i]) for i in order) for r in rows), key=repr)
+
+
+def compare(spark, con, folder: str, name: str) -> tuple[bool, str]:
+    import __spark_entry__ as registry
+
+    df = registry.queries()[name](spark, folder)
+    spark_rows = [tuple(r) for r in df.collect()]
+    sql = registry.oracle_sql().get(name)
+    if sql is None:
+        return bool(spark_rows), f"{len(spark_rows)} rows, no statement to compare with"
+    cur = con.execute(sql)
+    columns = [c[0] for c in cur.description]
+    duck_rows = cur.fetchall()
+    if sorted(columns) != sorted(df.columns):
+        return False, f"columns {sorted(df.columns)} against {sorted(columns)}"
+    ours, theirs = _rows(df.columns, spark_rows), _rows(columns, duck_rows)
+    if ours != theirs:
+        diff = next(((a, b) for a, b in zip(ours, theirs) if a != b), None)
+        return False, f"{len(ours)} rows against {len(theirs)}; first difference {diff}"
+    return True, f"{len(ours)} rows"
+
+
+if __name__ == "__main__":
+    from conftest import make_session
+
+    import __spark_entry__ as registry
+
+    folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
+    names = sys.argv[2:] or list(registry.queries())
+    session = make_session()
+    connection = connect(folder)
+    for query in names:
+        began = time.time()
+        try:
+            ok, note = compare(session, connection, folder, query)
+        except Exception as e:  # noqa: BLE001
+            ok, note = False, f"{type(e).__name__}: {str(e)[:600]}"
+        print("ok  " if ok else "FAIL", query, note, f"{time.time() - began:.1f}s", flush=True)
