@@ -36,10 +36,11 @@ def salt_of(spread_by: list[str], fan: Column) -> Column:
 
 @dataclass(frozen=True)
 class Layout:
-    """Rows hash-partitioned on (key, salt), sorted within partitions and persisted.
+    """Rows hash-partitioned on their key, sorted within partitions and persisted.
 
-    Spark keeps the partitioning and the order of a persisted DataFrame, so a join on (key, salt) neither shuffles
-    nor sorts this side again. ``fan`` lists the hot keys; their rows are spread over several salts.
+    Spark keeps the partitioning and the order of a persisted DataFrame, so a join on the key neither shuffles nor
+    sorts this side again. ``fan`` lists the hot keys, if there are any: their rows are spread over several salts, and
+    the key is then (key, salt).
     """
 
     rows: DataFrame
@@ -50,8 +51,7 @@ class Layout:
     def salted(self, keys: DataFrame, column: str) -> DataFrame:
         """Give each key row its salts: one for an ordinary key, ``fan`` copies for a hot one."""
         if self.fan is None:
-            # an expression, not the literal 0: a constant would drop out of the join keys and lose the partitioning
-            return keys.selectExpr("*", f"CAST(pmod(xxhash64({column}), 1) AS INT) AS salt")
+            return keys
         fan = self.fan.withColumnRenamed(self.key, column)
         return (
             keys.join(F.broadcast(fan), column, "left")
@@ -59,8 +59,12 @@ class Layout:
             .drop("fan")
         )
 
-    def probe(self, keys: DataFrame, column: str, n_keys: int | None) -> tuple[DataFrame, DataFrame]:
-        """The two join sides for ``n_keys`` key rows: broadcast when that count is small, else co-partitioned."""
+    def join(self, keys: DataFrame, column: str, n_keys: int | None, condition: str = "true") -> DataFrame:
+        """Join the rows, as ``e``, with ``keys``, as ``f``, on ``column`` and ``condition``.
+
+        ``n_keys`` is the measured number of key rows; when it is small they are broadcast. Otherwise, or when it is
+        not known, they are shuffled to where the rows are.
+        """
         side, rows = self.salted(keys, column), self.rows
         if n_keys is not None and n_keys <= BROADCAST_ROWS:
             side = F.broadcast(side)
@@ -68,7 +72,8 @@ class Layout:
             # at most PRUNE_KEYS values: sorted batches without any of them are skipped by their min/max
             found = [r[0] for r in keys.select(column).distinct().collect()]
             rows = rows.filter(F.col(self.key).isin(found))
-        return rows, side
+        on = f"e.{self.key} = f.{column}" + ("" if self.fan is None else " AND e.salt = f.salt")
+        return rows.alias("e").join(side.alias("f"), F.expr(f"{on} AND {condition}"))
 
     def release(self) -> None:
         self.rows.unpersist()
@@ -106,15 +111,14 @@ def lay_out(
     measured = measured or measure(df, key)
     partitions = min(MAX_PARTITIONS, max(2, ceil(measured.total / rows_per_partition)))
     limit = hot_limit(max(measured.total, 1), partitions, hot_floor)
-    fan, salts = None, F.lit(1)
+    fan, salt = None, []
     if measured.top > limit:
-        fan = scratch.save(hot_keys(measured.counts, key, limit), f"hot-{key}")
-        df, salts = df.join(F.broadcast(fan), key, "left"), F.coalesce("fan", F.lit(1))
+        fan, salt = scratch.save(hot_keys(measured.counts, key, limit), f"hot-{key}"), ["salt"]
+        df = df.join(F.broadcast(fan), key, "left").withColumn("salt", salt_of(spread_by, F.coalesce("fan", F.lit(1))))
     rows = (
-        df.withColumn("salt", salt_of(spread_by, salts))
-        .drop("fan")
-        .repartition(partitions, key, "salt")
-        .sortWithinPartitions(key, "salt", *order_by)
+        df.drop("fan")
+        .repartition(partitions, key, *salt)
+        .sortWithinPartitions(key, *salt, *order_by)
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     return Layout(rows, key, measured.total, fan)

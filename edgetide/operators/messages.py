@@ -19,16 +19,11 @@ def aggregate_messages(vertices: DataFrame, edges: Layout, message: Column, comb
                        n_senders: int | None = None) -> DataFrame:
     """(id, msg): the combined messages per receiving vertex.
 
-    ``message`` is built from ``src.<vertex column>`` and ``edge.<edge column>``; a null message is not sent.
+    ``message`` is built from ``f.<sender column>`` and ``e.<edge column>``; a null message is not sent.
     Messages are combined map-side before the shuffle, so a vertex with many in-edges does not gather them all.
     """
-    rows, senders = edges.probe(vertices, "id", n_senders)
-    sent = (
-        rows.alias("edge")
-        .join(senders.alias("src"), F.expr("edge.src = src.id AND edge.salt = src.salt"))
-        .select(F.col("edge.dst").alias("id"), message.alias("msg"))
-        .filter("msg IS NOT NULL")
-    )
+    sent = edges.join(vertices, "id", n_senders).select(F.col("e.dst").alias("id"), message.alias("msg"))
+    sent = sent.filter("msg IS NOT NULL")
     return sent.groupBy("id").agg(combine(F.col("msg")).alias("msg"))
 
 
@@ -77,6 +72,6 @@ def reach_hop_bounded(edges: DataFrame, node_id: int, start: str | datetime, hou
         F.col("node_id").alias("id"), F.when(F.col("node_id") == node_id, begin).alias("arrival_time"))
     reached = message_rounds(
         everyone, window, "arrival_time",
-        message=F.when(F.col("edge.sent_at") >= F.col("src.arrival_time"), F.col("edge.sent_at")),
+        message=F.when(F.col("e.sent_at") >= F.col("f.arrival_time"), F.col("e.sent_at")),
         combine=F.min, update=F.least, max_rounds=k, **layout_options)
     return reached.filter("arrival_time IS NOT NULL").select(F.col("id").alias("node_id"), "arrival_time")

@@ -119,10 +119,8 @@ def two_hop_path_search(index: DataFrame, start: int, target: int, margin_s: int
         for depth in range(max_depth + 1):
             if depth:
                 layout = layout or lay_out(index, "n1", ["n3", "t1"], ["t1"], scratch, **layout_options)
-                rows, side = layout.probe(reached, "node_id", n_nodes)
-                level = rows.alias("e").join(
-                    side.alias("f"), F.expr("e.n1 = f.node_id AND e.salt = f.salt AND e.t1 > f.ready_at")
-                ).selectExpr("e.n1", "e.t1", "e.n2", "e.t2", "e.n3")
+                level = layout.join(reached, "node_id", n_nodes, "e.t1 > f.ready_at").selectExpr(
+                    "e.n1", "e.t1", "e.n2", "e.t2", "e.n3")
             summary = level.groupBy(F.col("n3").alias("node_id")).agg(
                 F.expr(f"CAST(min(t2) + make_dt_interval(0, 0, 0, {margin_s}) AS {time})").alias("ready_at"),
                 F.max(hits).alias("hit"))

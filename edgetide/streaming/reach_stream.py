@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from edgetide.operators.layout import lay_out
-from edgetide.operators.reach import KEYS, expand, improved_rows, merge, relax, seed_state, total_rows
+from edgetide.operators.reach import KEYS, changed_rows, expand, merge, relax, seed_state, total_rows
 from edgetide.schema import time_type
 from edgetide.scratch import Scratch
 
@@ -65,7 +65,7 @@ class ReachStream:
         unused = state.withColumn("prev_time", F.lit(None).cast(self.time))
         merged = merge(state, expand(layout, unused, n_state, self.strict))
         first_day = F.min(F.when(F.col("changed"), F.to_date("arrival_time").cast("string"))).alias("first_day")
-        state, seen = scratch.save_counted(merged, f"work/{batch_id}/first", improved_rows(), total_rows(), first_day)
+        state, seen = scratch.save_counted(merged, f"work/{batch_id}/first", changed_rows(), total_rows(), first_day)
         layout.release()
         if seen["improved"]:
             # From a node's old arrival on, all edges are used: the stored ones by earlier batches, the new ones just
