@@ -12,13 +12,11 @@ from edgetide.functions.mail_text import (
 def read_mail(spark: SparkSession, folder: str) -> DataFrame:
     """(path, content) of every message below ``folder``: files whose name ends in a dot or a digit.
 
-    Bytes that are not UTF-8 are left out.
+    Bytes that are not UTF-8 are left out; an empty file gives no row.
     """
     files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*[0-9.]")
-        .text(folder)
+        spark.read.option("pathGlobFilter", "*[0-9.]")
+        .text(folder, wholetext=True, recursiveFileLookup=True)
     )
     return files.select(F.col("_metadata.file_path").alias("path"),
                         F.regexp_replace(F.make_valid_utf8("value"), "�", "").alias("content"))

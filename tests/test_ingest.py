@@ -1,0 +1,206 @@
+import hashlib
+import json
+from email.utils import parsedate_to_datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from edgetide.functions.mail_text import addresses, date_parts, edge_id, header, header_block, local_and_offset, moment_of
+from edgetide.functions.names import normalize_time, route
+from edgetide.operators.edges import combine_batches
+from edgetide.operators.ingest import edge_flatten, mail_edges, mail_recipients, person_dim, person_flatten
+from edgetide.operators.layout import spread_join
+from edgetide.plans import jobs
+from edgetide.scratch import Scratch
+from edgetide.sources.graph_json import list_graph_files, load_graph_json, write_graph_json
+from edgetide.sources.mail import accepted, parse_mail, read_mail, rejects
+
+DATE = "Mon, 14 May 2001 16:39:00 -0700 (PDT)"
+GOOD = f"Message-ID: <1>\nDate: {DATE}\nFrom:  Ann@X.Test \nTo: bob@x.test,\n\tCAROL@x.test , \nX-cc: dan@x.test\nX-bcc: \n\nTo: nobody@x.test\n"
+
+MESSAGES = {
+    "ann/sent/1.": GOOD,
+    "ann/all/7": GOOD,
+    "ann/sent/2.": f"Date: {DATE}\nFrom: ann@x.test\nTo: ann@x.test, bob@x.test\n\nhello",
+    "bob/crlf.3": f"Date: 1 Jun 2001 08:00:00 GMT\r\nFrom: bob@x.test\r\nTo: ann@x.test\r\n\r\nDate: late\r\n",
+    "bob/no_from.": f"Date: {DATE}\nTo: ann@x.test\n\nFrom: body@x.test\n",
+    "bob/no_to.": f"Date: {DATE}\nFrom: bob@x.test\nTo: ,  ,\n\n",
+    "bob/no_date.": "From: bob@x.test\nTo: ann@x.test\n\n",
+    "bob/bad_date.": "From: bob@x.test\nTo: ann@x.test\nDate: 31 Foo 2001 10:00:00 -0700\n\n",
+    "bob/empty.": "",
+    "bob/notes.txt": GOOD,
+}
+
+
+@pytest.fixture(scope="module")
+def maildir(tmp_path_factory):
+    folder = tmp_path_factory.mktemp("person_mail")
+    for name, text in MESSAGES.items():
+        path = folder / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(text.encode())
+    (folder / "bob" / "bytes.9").write_bytes(GOOD.replace("dan", "d\udcffan").encode("utf-8", "surrogateescape"))
+    return str(folder)
+
+
+@pytest.fixture(scope="module")
+def parsed(spark, maildir):
+    return parse_mail(read_mail(spark, maildir)).cache()
+
+
+def by_name(df):
+    return {r.path.rsplit("/", 1)[1]: r for r in df.collect()}
+
+
+def test_corpus_scan(parsed):
+    assert set(by_name(parsed)) == {"1.", "7", "2.", "crlf.3", "no_from.", "no_to.", "no_date.", "bad_date.", "bytes.9"}  # an empty file has no row
+
+
+def test_parsed_message(parsed):
+    r = by_name(parsed)["1."]
+    assert (r.sender, r.to, r.cc, r.bcc) == ("ann@x.test", ["bob@x.test", "carol@x.test"], ["dan@x.test"], [])
+    assert r.sent_at_iso == "2001-05-14T16:39:00-07:00"
+    assert by_name(parsed)["bytes.9"].cc == ["dan@x.test"]
+    assert by_name(parsed)["crlf.3"].sent_at_iso == "2001-06-01T08:00:00+00:00"
+
+
+def test_time_is_utc(parsed):
+    text = parsed.filter("path LIKE '%/1.'").select(F.date_format("sent_at", "yyyy-MM-dd HH:mm:ss")).first()[0]
+    assert text == "2001-05-14 23:39:00"
+
+
+def test_rejects(parsed):
+    assert {n: r.reason for n, r in by_name(rejects(parsed)).items()} == {
+        "no_from.": "no From", "no_to.": "no To", "no_date.": "no Date", "bad_date.": "bad Date"}
+
+
+def test_graph_of_the_corpus(spark, parsed):
+    recipients = mail_recipients(accepted(parsed))
+    person = person_dim(recipients)
+    ids = {r.email: r.node_id for r in person.collect()}
+    assert ids == {"ann@x.test": 1, "bob@x.test": 2, "carol@x.test": 3, "dan@x.test": 4}
+    rows = mail_edges(recipients, person).collect()
+    iso = "2001-05-14T16:39:00-07:00"
+    assert {(r.src, r.dst, r.edge_type, r.sent_at_iso) for r in rows} == {
+        (1, 2, "TO", iso), (1, 3, "TO", iso), (1, 4, "CC", iso), (2, 1, "TO", "2001-06-01T08:00:00+00:00")}
+    assert len(rows) == 4
+    for r in rows:
+        text = json.dumps({"src": r.src, "dst": r.dst, "type": r.edge_type, "timestamp": r.sent_at_iso}, sort_keys=True)
+        assert r.edge_id == hashlib.sha256(text.encode()).hexdigest()
+    shuffled = mail_edges(recipients, person, n_persons=10**9)
+    assert {r.edge_id for r in shuffled.collect()} == {r.edge_id for r in rows}
+
+
+def test_person_ids_are_dense_over_many_partitions(spark):
+    rows = spark.range(0, 3000, 1, 7).selectExpr("concat('s', id % 700) sender", "concat('r', id) recipient")
+    ids = {r.email: r.node_id for r in person_dim(rows).collect()}
+    assert [e for e, _ in sorted(ids.items(), key=lambda x: x[1])] == sorted(ids)
+    assert sorted(ids.values()) == list(range(1, 3701))
+
+
+def test_hot_key_is_spread(spark):
+    facts = spark.range(1000).selectExpr("if(id % 3 = 0, 0, id) AS k", "id AS v")
+    dim = spark.range(1000).selectExpr("id AS k", "id * 2 AS w")
+    plain = facts.join(dim, "k")
+    spread = spread_join(facts, dim, "k", ["v"], Scratch(spark), partitions=50, hot_floor=10)
+    assert "salt" in spread._jdf.queryExecution().toString()
+    assert sorted(map(tuple, spread.collect())) == sorted(map(tuple, plain.collect()))
+
+
+DATES = [
+    DATE, "14 May 2001 16:39 GMT", "Mon, 14 May 01 6:39:00 EST", "Mon, 14 May 99 06:39:00 PDT", "garbage",
+    "Mon, 14 May 2001 16:39:00 -0000", "Mon, 14 May 2001 16:39:00", "14-May-2001 16:39:00 +0530",
+    "Mon, 32 May 2001 16:39:00 -0700", "Tue, 5 Foo 2001 10:00:00 +0000", "Mon, 14 May 2001 16:39:00 XYZ",
+    "Fri, 29 Feb 2000 23:59:59 +1400", "Fri, 29 Feb 2001 23:59:59 +0000", "Mon, 14 May 2001 25:00:00 +0000",
+]
+
+
+def test_dates_against_the_standard_library(spark):
+    frame = spark.createDataFrame([(d,) for d in DATES], "d string").select("d", date_parts(F.col("d")).alias("p"))
+    local, offset = local_and_offset(F.col("p"))
+    moment = moment_of(local, offset)
+    for text, iso, seconds in frame.select("d", F.when(moment.isNotNull(), F.concat(local, offset)), F.unix_seconds(moment)).collect():
+        try:
+            known = parsedate_to_datetime(text)
+        except ValueError:
+            known = None
+        assert iso == (known and known.isoformat()), text
+        if known and known.tzinfo:
+            assert seconds == known.timestamp(), text
+
+
+def test_header_block(spark):
+    texts = ["To: a\nnot a header\nFrom: b\n", "From: x@x\n", " folded first\nTo: a\n", "\nTo: a", "to: first\nTO: second\n\n"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select(header_block(F.col("t")).alias("b"))
+    rows = frame.select(header(F.col("b"), "From"), header(F.col("b"), "To")).collect()
+    assert [tuple(r) for r in rows] == [(None, "a"), ("x@x", None), (None, "a"), (None, None), (None, "first")]
+
+
+def test_header_of_very_many_lines(spark):
+    """Whole header lists are read, however long."""
+    names = [f"person{i}@x.test" for i in range(20_000)]
+    text = "From: a@x.test\nTo: " + ",\n\t".join(names) + f"\nDate: {DATE}\n\nbody"
+    r = parse_mail(spark.createDataFrame([("p", text)], "path string, content string")).first()
+    assert r.to == names and r.reason is None
+
+
+def test_addresses(spark):
+    value = F.col("v")
+    frame = spark.createDataFrame([(" A@x ,,\t\n b@X ,",), (None,)], "v string")
+    assert [r[0] for r in frame.select(addresses(value)).collect()] == [["a@x", "b@x"], []]
+
+
+def test_edge_id(spark):
+    row = spark.range(1).select(edge_id(F.lit(1), F.lit(2), F.lit("2001-05-14T16:39:00-07:00"), F.lit("TO"))).first()
+    text = '{"dst": 2, "src": 1, "timestamp": "2001-05-14T16:39:00-07:00", "type": "TO"}'
+    assert row[0] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_names_and_times(spark):
+    frame = spark.createDataFrame([("path_1_person_static_props_0.json",), ("path_1_edges_static_props_12.json",),
+                                   ("path_2_city_dynamic_3.json",)], "n string")
+    rows = frame.select(*route(F.col("n")).values()).collect()
+    assert [tuple(r) for r in rows] == [
+        ("nodes", "path_1_0", "0", "static", "person_static_props"),
+        ("edges", "path_1_12", "12", "static", "edges_static_props"),
+        ("edges", "path_2_3", "3", "dynamic", "city_dynamic")]
+    texts = spark.createDataFrame([("2001-10-05T00:00:00Z",), (" 2001-10-05 00:00:00",)], "t string")
+    assert {r[0] for r in texts.select(normalize_time(F.col("t"))).collect()} == {"2001-10-05 00:00:00"}
+
+
+def test_json_arrays(spark, tmp_path):
+    """Files as arrays over several lines, in a folder whose name contains the word for nodes."""
+    folder = tmp_path / "person_files"
+    folder.mkdir()
+    node = {"node_id": 1, "labels": ["Person"], "static_props": {"email": "a@x"}, "is_active": True}
+    edge = {"edge_id": "h", "source_id": 1, "target_id": 2, "edge_type": "TO", "static_props": {"timestamp": "2001-05-14T16:39:00-07:00"}}
+    loop = {**edge, "edge_id": "l", "target_id": 1}
+    bad = {**edge, "edge_id": "b", "static_props": {"timestamp": "soon"}}
+    for batch in (0, 1):
+        (folder / f"path_1_person_static_props_{batch}.json").write_text(json.dumps([node, {**node, "node_id": 2 + batch}], indent=4))
+        (folder / f"path_1_edges_static_props_{batch}.json").write_text(json.dumps([edge, loop, bad], indent=4))
+    (folder / "readme.txt").write_text("x")
+    graph = load_graph_json(spark, str(folder))
+    assert sorted(r.node_id for r in person_flatten(graph["nodes"]).collect()) == [1, 2, 3]
+    flat = edge_flatten(graph["edges"]).select("edge_id", F.date_format("sent_at", "yyyy-MM-dd HH:mm").alias("t"))
+    assert sorted(map(tuple, flat.collect())) == [("b", None), ("h", "2001-05-14 23:39")]
+    listed = {r.name: r.kind for r in list_graph_files(spark, str(folder)).collect()}
+    assert listed == {f"path_1_{e}_static_props_{b}.json": k for b in (0, 1) for e, k in (("person", "nodes"), ("edges", "edges"))}
+
+
+def test_json_round_trip(spark, maildir, tmp_path):
+    person, edges, _ = jobs.mail_to_graph(spark, maildir)
+    out = str(tmp_path / "graph")
+    write_graph_json(person, edges, out, max_records=2)
+    graph = load_graph_json(spark, out, multiline=False)
+    assert {r.email for r in person_flatten(graph["nodes"]).collect()} == {r.email for r in person.collect()}
+    columns = ["edge_id", "src", "dst", "edge_type", "sent_at"]
+    back = edge_flatten(graph["edges"]).select(columns).collect()
+    assert sorted(map(tuple, back)) == sorted(map(tuple, edges.select(columns).collect()))
+
+
+def test_combine_batches(spark):
+    one = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "x int, y string")
+    two = spark.createDataFrame([("b", 2), ("c", 3)], "y string, x int")
+    assert sorted(map(tuple, combine_batches(one, two).collect())) == [(1, "a"), (2, "b"), (3, "c")]
+    assert combine_batches(one).count() == 2
