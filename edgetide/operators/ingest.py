@@ -58,9 +58,9 @@ def mail_edges(recipients: DataFrame, person: DataFrame, n_persons: int | None =
         rows = rows.join(ids.selectExpr("node_id AS dst", "email AS recipient"), "recipient")
     else:
         scratch = scratch or Scratch(recipients.sparkSession)
-        rows = spread_join(rows, ids.selectExpr("node_id AS src", "email AS sender"), "sender",
+        rows = spread_join(rows, ids.selectExpr("node_id AS src", "email AS sender"), ["sender"],
                            ["recipient", "sent_at_iso"], scratch)
-        rows = spread_join(rows, ids.selectExpr("node_id AS dst", "email AS recipient"), "recipient",
+        rows = spread_join(rows, ids.selectExpr("node_id AS dst", "email AS recipient"), ["recipient"],
                            ["sender", "sent_at_iso"], scratch)
     return rows.select(
         edge_id(F.col("src"), F.col("dst"), F.col("sent_at_iso"), F.col("edge_type")).alias("edge_id"),

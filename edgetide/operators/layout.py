@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from math import ceil
 
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 
 from edgetide.scratch import Scratch
 
-ROWS_PER_PARTITION = 250_000
+ROWS_PER_PARTITION = 2_000_000
 MAX_PARTITIONS = 20_000
+# Below ROWS_PER_PARTITION times the cores, partitions get this many rows so that all cores take part.
+ROWS_PER_CORE = 50_000
 # A frontier row is below 64 bytes, so a broadcast of this many rows stays below 13 MB.
 BROADCAST_ROWS = 200_000
 # Up to this many frontier keys are written into the scan filter of a large edge set.
@@ -109,7 +112,8 @@ def lay_out(
     broadcast of the hot list.
     """
     measured = measured or measure(df, key)
-    partitions = min(MAX_PARTITIONS, max(2, ceil(measured.total / rows_per_partition)))
+    cores = min(df.sparkSession.sparkContext.defaultParallelism, ceil(measured.total / ROWS_PER_CORE))
+    partitions = min(MAX_PARTITIONS, max(2, cores, ceil(measured.total / rows_per_partition)))
     limit = hot_limit(max(measured.total, 1), partitions, hot_floor)
     fan, salt = None, []
     if measured.top > limit:
@@ -124,17 +128,30 @@ def lay_out(
     return Layout(rows, key, measured.total, fan)
 
 
-def spread_join(facts: DataFrame, dim: DataFrame, key: str, spread_by: list[str], scratch: Scratch,
-                partitions: int | None = None, hot_floor: int = ROWS_PER_PARTITION) -> DataFrame:
-    """Inner join of ``facts`` with one ``dim`` row per key; the facts of a hot key are spread over several salts."""
-    measured = measure(facts, key)
+def spread_join(
+    facts: DataFrame,
+    dim: DataFrame,
+    on: list[str],
+    spread_by: list[str],
+    scratch: Scratch,
+    measured: Measured | None = None,
+    partitions: int | None = None,
+    hot_floor: int = ROWS_PER_PARTITION,
+) -> DataFrame:
+    """Inner join of many ``facts`` with few ``dim`` rows per key.
+
+    Facts whose first key column holds too many rows are spread over several salts, and the dim rows of those keys
+    are copied to each salt. ``measured`` saves the count of the facts when it is known already.
+    """
+    key = on[0]
+    measured = measured or measure(facts, key)
     partitions = partitions or int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     limit = hot_limit(max(measured.total, 1), partitions, hot_floor)
     if measured.top <= limit:
-        return facts.join(dim, key)
+        return facts.join(dim, on)
     # at most total / limit <= partitions / 4 hot keys
-    fan = F.broadcast(scratch.save(hot_keys(measured.counts, key, limit), f"hot-{key}"))
+    fan = F.broadcast(scratch.save(hot_keys(measured.counts, key, limit), f"hot-{key}-{uuid.uuid4().hex}"))
     salted = facts.join(fan, key, "left").withColumn("salt", salt_of(spread_by, F.coalesce("fan", F.lit(1)))).drop("fan")
     copies = dim.join(fan, key, "left").withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.coalesce("fan", F.lit(1)) - 1))).drop("fan")
-    return salted.join(copies, [key, "salt"]).drop("salt")
+    return salted.join(copies, [*on, "salt"]).drop("salt")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgetide.operators.layout import BROADCAST_ROWS
+from edgetide.operators.layout import BROADCAST_ROWS, spread_join
 from edgetide.operators.reach import reach
 from edgetide.scratch import Scratch
 
@@ -27,11 +27,14 @@ def earliest_path(edges: DataFrame, sources: DataFrame, targets: DataFrame | Non
         steps.append(here.withColumn("back", F.lit(len(steps))))
         if seen["open"] == 0:
             break
-        walking = here.filter("via_src IS NOT NULL").selectExpr("source_id AS s", "target", "via_src AS at")
+        walking = here.filter("via_src IS NOT NULL").selectExpr("source_id", "target", "via_src AS at")
+        nodes = tree.withColumnRenamed("node_id", "at")
         if seen["open"] <= BROADCAST_ROWS:
-            walking = F.broadcast(walking)
-        here = tree.join(walking, F.expr("source_id = s AND node_id = at")).select(
-            "source_id", "target", "node_id", "arrival_time", "via_src", "via_edge")
+            here = nodes.join(F.broadcast(walking), ["at", "source_id"])
+        else:
+            # many paths run through the same few nodes near the start
+            here = spread_join(walking, nodes, ["at", "source_id"], ["target"], scratch)
+        here = here.select("source_id", "target", F.col("at").alias("node_id"), "arrival_time", "via_src", "via_edge")
     path = steps[0]
     for step in steps[1:]:
         path = path.unionByName(step)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from edgetide.operators.layout import lay_out
-from edgetide.schema import micros, time_type
+from edgetide.operators.layout import Measured, lay_out, spread_join
+from edgetide.schema import micros
 from edgetide.scratch import Scratch
 
 # Rows of one side in one join cell; a hub with more on either side is spread over a grid of cells.
@@ -30,26 +29,34 @@ def two_hop_index(edges: DataFrame, strict: bool = True, cell_rows: int = CELL_R
     give a number of block rows proportional to the number of edges. An in-edge looks into its own block of each
     block size that occurs at n2. A hub's in-edges and onward edges are spread over a grid of cells.
     """
-    time = time_type(edges, "sent_at")
-    distinct = edges.select("src", "dst", "sent_at").filter("src IS NOT NULL AND dst IS NOT NULL").dropDuplicates()
-    bounds = edges.agg(F.min(micros(F.col("sent_at"))), F.max(micros(F.col("sent_at")))).first()
-    if bounds[0] is None:
+    scratch = Scratch(edges.sparkSession)
+    at = micros(F.col("sent_at"))
+    # both sides and the statistics read the distinct edges, so they are written once
+    distinct, seen = scratch.save_counted(
+        edges.select("src", "dst", "sent_at").filter("src IS NOT NULL AND dst IS NOT NULL").dropDuplicates(),
+        "distinct", F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("total"))
+    if not seen["total"]:
         return distinct.selectExpr("src AS n1", "sent_at AS t1", "dst AS n2", "sent_at AS t2", "dst AS n3")
-    first, span = bounds[0], bounds[1] - bounds[0] + 1
+    first, span, total = seen["first"], seen["last"] - seen["first"] + 1, seen["total"]
 
-    onward = _departures(distinct, chunk_micros)
+    onward = scratch.save(_departures(distinct, chunk_micros), "onward")
     per_level = onward.groupBy("n2", "level").agg(F.count(F.lit(1)).alias("n_out"), F.max("t2").alias("last"))
-    n_in = distinct.groupBy(F.col("dst").alias("n2")).agg(F.count(F.lit(1)).alias("n_in"))
-    # per hub and block size: how many cells its in-edges (rows of the grid) and onward edges (columns) are spread over
-    grid = per_level.join(n_in, "n2").select(
-        "n2", "level", "last",
-        F.ceil(F.col("n_in") / cell_rows).cast("int").alias("n_rows"),
-        F.ceil(F.col("n_out") / cell_rows).cast("int").alias("n_cols"))
+    counted = distinct.groupBy(F.col("dst").alias("n2")).agg(F.count(F.lit(1)).alias("n_in"))
+    # per middle node and block size: the number of cells (rows and columns of a grid) its edges are spread over
+    grid, top = scratch.save_counted(
+        per_level.join(counted, "n2").select(
+            "n2", "level", "last", "n_in", "n_out",
+            F.ceil(F.col("n_in") / cell_rows).cast("int").alias("n_rows"),
+            F.ceil(F.col("n_out") / cell_rows).cast("int").alias("n_cols")),
+        "grid", F.max("n_in").alias("n_in"), F.max("n_out").alias("n_out"))
+    n_in = Measured(grid.groupBy("n2").agg(F.max("n_in").alias("n")), total, top["n_in"] or 0)
+    n_out = Measured(grid.groupBy("n2").agg(F.sum("n_out").alias("n")), total, (top["n_out"] or 0) * (MAX_LEVEL + 1))
 
     late = F.col("sent_at") < F.col("last") if strict else F.col("sent_at") <= F.col("last")
+    arriving = distinct.selectExpr("dst AS n2", "src AS n1", "sent_at")
     left = (
-        distinct.selectExpr("src AS n1", "sent_at", "dst AS n2")
-        .join(grid, "n2")
+        spread_join(arriving, grid.select("n2", "level", "last", "n_rows", "n_cols"), ["n2"], ["n1", "sent_at"],
+                    scratch, n_in)
         .filter(late)
         .withColumn("cell_row", F.pmod(F.xxhash64("n1", "sent_at"), F.col("n_rows")).cast("int"))
         .withColumn("cell_col", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)))
@@ -58,7 +65,7 @@ def two_hop_index(edges: DataFrame, strict: bool = True, cell_rows: int = CELL_R
     )
     from_block = F.coalesce(_block(F.col("p2"), F.col("level"), first, span), F.lit(0).cast("long"))
     right = (
-        onward.join(grid.drop("last"), ["n2", "level"])
+        spread_join(onward, grid.select("n2", "level", "n_rows", "n_cols"), ["n2", "level"], ["n3", "t2"], scratch, n_out)
         .withColumn("cell_col", F.pmod(F.xxhash64("n3", "t2"), F.col("n_cols")).cast("int"))
         .withColumn("cell_row", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)))
         .withColumn("block", F.explode(F.sequence(from_block, _block(F.col("t2"), F.col("level"), first, span))))
@@ -69,7 +76,7 @@ def two_hop_index(edges: DataFrame, strict: bool = True, cell_rows: int = CELL_R
     else:
         fits = (F.col("t1") <= F.col("t2")) & (F.col("p2").isNull() | (F.col("t1") > F.col("p2")))
     return left.join(right, ["n2", "level", "block", "cell_row", "cell_col"]).filter(fits).select(
-        "n1", F.col("t1").cast(time).alias("t1"), "n2", F.col("t2").cast(time).alias("t2"), "n3")
+        "n1", "t1", "n2", "t2", "n3")
 
 
 def _block(moment: Column, level: Column, first: int, span: int) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from edgetide.operators.layout import lay_out
+from edgetide.operators.layout import Layout, lay_out
 from edgetide.operators.reach import KEYS, changed_rows, expand, merge, relax, seed_state, total_rows
 from edgetide.schema import time_type
 from edgetide.scratch import Scratch
@@ -55,30 +55,38 @@ class ReachStream:
         spark = batch.sparkSession
         scratch = Scratch(spark, self.base)
         edges = batch.selectExpr("src", "sent_at AS start_time", "sent_at AS end_time", "dst", "date(sent_at) AS day")
-        folder = f"edges/batch_id={batch_id}"
         columns = ["src", "start_time", "end_time", "dst"]
-        new = scratch.save(edges, folder, ["day"]).select(columns)
-
+        new = scratch.save(edges, f"edges/batch_id={batch_id}", ["day"]).select(columns)
         state = self._state(scratch, batch_id - 1)
-        n_state = state.count()
         layout = lay_out(new, "src", ["dst", "start_time"], ["start_time"], scratch)
+        if layout.total:
+            state = self._updated(spark, scratch, state, layout, batch_id)
+        layout.release()
+        scratch.save(state, f"state/{batch_id}")
+        self.last_batch = batch_id
+
+    def _updated(self, spark: SparkSession, scratch: Scratch, state: DataFrame, new: Layout, batch_id: int) -> DataFrame:
+        n_state = state.count()
         unused = state.withColumn("prev_time", F.lit(None).cast(self.time))
-        merged = merge(state, expand(layout, unused, n_state, self.strict))
+        merged = merge(state, expand(new, unused, n_state, self.strict))
         first_day = F.min(F.when(F.col("changed"), F.to_date("arrival_time").cast("string"))).alias("first_day")
         state, seen = scratch.save_counted(merged, f"work/{batch_id}/first", changed_rows(), total_rows(), first_day)
-        layout.release()
-        if seen["improved"]:
-            # From a node's old arrival on, all edges are used: the stored ones by earlier batches, the new ones just
-            # now. What is left are edges between its new and its old arrival, which is what ``relax`` looks at.
-            schema = new.schema.add("batch_id", "long").add("day", "date")
-            stored = spark.read.schema(schema).parquet(scratch.path("edges")).filter(
-                (F.col("batch_id") <= batch_id) & (F.col("day") >= F.lit(seen["first_day"]).cast("date")))
-            layout = lay_out(stored.select(columns), "src", ["dst", "start_time"], ["start_time"], scratch)
-            state, _, _, _ = relax(layout, state, seen["total"], state.filter("changed"), seen["improved"], scratch,
-                                   f"work/{batch_id}/more", self.strict)
+        if not seen["improved"]:
+            return state
+        # From a node's old arrival on, all edges are used: the stored ones by earlier batches, the new ones just
+        # now. What is left are edges between its new and its old arrival, which is what ``relax`` looks at.
+        layout = new
+        if batch_id:
+            columns = new.rows.select("src", "start_time", "end_time", "dst")
+            stored = spark.read.schema(columns.schema.add("batch_id", "long").add("day", "date")).parquet(
+                scratch.path("edges")
+            ).filter((F.col("batch_id") <= batch_id) & (F.col("day") >= F.lit(seen["first_day"]).cast("date")))
+            layout = lay_out(stored.select(columns.columns), "src", ["dst", "start_time"], ["start_time"], scratch)
+        state, _, _, _ = relax(layout, state, seen["total"], state.filter("changed"), seen["improved"], scratch,
+                               f"work/{batch_id}/more", self.strict)
+        if layout is not new:
             layout.release()
-        scratch.save(state, f"state/{batch_id}")
-        self.last_batch = batch_id
+        return state
 
     def _state(self, scratch: Scratch, batch_id: int) -> DataFrame:
         """The state after a batch; before batch 0 there are only the start nodes."""

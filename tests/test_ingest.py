@@ -102,7 +102,7 @@ def test_hot_key_is_spread(spark):
     facts = spark.range(1000).selectExpr("if(id % 3 = 0, 0, id) AS k", "id AS v")
     dim = spark.range(1000).selectExpr("id AS k", "id * 2 AS w")
     plain = facts.join(dim, "k")
-    spread = spread_join(facts, dim, "k", ["v"], Scratch(spark), partitions=50, hot_floor=10)
+    spread = spread_join(facts, dim, ["k"], ["v"], Scratch(spark), partitions=50, hot_floor=10)
     assert "salt" in spread._jdf.queryExecution().toString()
     assert sorted(map(tuple, spread.collect())) == sorted(map(tuple, plain.collect()))
 
