@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgetide.functions.mail_text import edge_id, header, header_block
+from edgetide.functions.mail_text import edge_id, header, header_block, unix_lines
 from edgetide.functions.names import normalize_time, route
 from edgetide.operators import degree as deg
 from edgetide.operators import edges as edge_ops
@@ -283,7 +283,7 @@ def q_normalize_time(spark, d):
 def q_conversation_headers(spark, d):
     """Header values found in whole conversation texts behind a rendered header."""
     content = F.concat(F.lit("From: "), F.col("role"), F.lit("@x.test\nTo: a@x.test\n\n"), F.col("text"))
-    block = header_block(content)
+    block = header_block(unix_lines(content))
     return src.read(spark, d, "conversations").select(
         "conv_id", "turn", header(block, "From").alias("sender"), header(block, "To").alias("to_value"),
         header(block, "Date").isNull().alias("undated"))

@@ -23,22 +23,25 @@ FOLD = "\u0001"
 SPACE = r"[\s\x1c-\x1f]"
 
 
-def header_block(content: Column) -> Column:
-    """The leading header lines, each folded header on one line (the fold is kept as a marker).
+def unix_lines(content: Column) -> Column:
+    return F.regexp_replace(content, r"\r\n?", "\n")
+
+
+def header_block(text: Column) -> Column:
+    """The leading header lines of a text with ``\\n`` line ends, each folded header on one line (folds are marked).
 
     The block ends at the first line that cannot be a header line, such as a blank one.
     """
-    text = F.regexp_replace(content, r"\r\n?", "\n")
     end = F.regexp_instr(text, F.lit(rf"(?d)\n(?!{HEADER_LINE})"))
-    block = F.when(end > 0, F.substring(text, F.lit(1), end - 1)).otherwise(text)
-    block = F.when(text.rlike(rf"\A{HEADER_LINE}"), block).otherwise(F.lit(""))
-    return F.regexp_replace(block, r"\n(?=[ \t])", FOLD)
+    block = F.when(text.rlike(rf"\A{HEADER_LINE}"), F.substring(text, F.lit(1), F.coalesce(F.nullif(end, F.lit(0)) - 1, F.length(text))))
+    return F.regexp_replace(F.coalesce(block, F.lit("")), r"\n(?=[ \t])", FOLD)
 
 
 def header(block: Column, name: str) -> Column:
     """The value of the first header of this name, null when there is none."""
-    value = F.regexp_extract(block, rf"(?idm)^{name}:[ \t]*([^\n]*)", 1)
-    return F.when(block.rlike(rf"(?idm)^{name}:"), F.translate(value, FOLD, "\n"))
+    line = F.nullif(F.regexp_extract(block, rf"(?idm)^{name}:[^\n]*", 0), F.lit(""))
+    value = F.ltrim(F.substring(line, F.lit(len(name) + 2), F.length(line)), F.lit(" \t"))
+    return F.translate(value, FOLD, "\n")
 
 
 def strip(text: Column) -> Column:
@@ -53,10 +56,13 @@ def addresses(value: Column) -> Column:
 
 
 def date_parts(value: Column) -> Column:
-    """Day, month name, year, hour, minute, second and zone of a mail date, as an array of texts."""
-    pattern = (r"(?i)^\s*(?:[a-z]+\s*,?\s*)?(\d{1,2})[\s-]+([a-z]{3})[a-z]*[\s-]+(\d{4}|\d{2})\s+"
-               r"(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([+-]\d{4}|[a-z]+)?(?![\w:])")
-    return F.array(*(F.regexp_extract(value, pattern, i) for i in range(1, 8)))
+    """Day, month name, year, hour, minute, second and zone of a mail date, as an array of texts.
+
+    A text that is no such date gives an array of itself only.
+    """
+    pattern = (r"(?is)^\s*(?:[a-z]+\s*,?\s*)?(\d{1,2})[\s-]+([a-z]{3})[a-z]*[\s-]+(\d{4}|\d{2})\s+"
+               r"(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([+-]\d{4}|[a-z]+)?(?![\w:]).*$")
+    return F.split(F.regexp_replace(value, pattern, FOLD.join(f"${i}" for i in range(1, 8))), FOLD)
 
 
 def local_and_offset(parts: Column) -> tuple[Column, Column]:
@@ -64,15 +70,16 @@ def local_and_offset(parts: Column) -> tuple[Column, Column]:
 
     The offset is empty for a date without one, with -0000 or with an unknown zone name.
     """
-    month = F.array_position(F.array(*(F.lit(m) for m in MONTHS)), F.lower(parts[1]))
-    number = parts[2].try_cast("int")
-    year = F.when(F.length(parts[2]) == 4, number).when(number > 68, number + 1900).otherwise(number + 2000)
-    second = F.when(parts[5] == "", F.lit("00")).otherwise(parts[5])
+    day, month, year, hour, minute, second, zone = (F.get(parts, i) for i in range(7))
+    month = F.array_position(F.array(*(F.lit(m) for m in MONTHS)), F.lower(month))
+    number = year.try_cast("int")
+    year = F.when(F.length(year) == 4, number).when(number > 68, number + 1900).otherwise(number + 2000)
+    second = F.when(second == "", F.lit("00")).otherwise(second)
     local = F.concat(
         F.lpad(year.cast("string"), 4, "0"), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"),
-        F.lpad(parts[0], 2, "0"), F.lit("T"), F.lpad(parts[3], 2, "0"), F.lit(":"), parts[4], F.lit(":"), second)
+        F.lpad(day, 2, "0"), F.lit("T"), F.lpad(hour, 2, "0"), F.lit(":"), minute, F.lit(":"), second)
     names = F.create_map(*(F.lit(x) for pair in ZONES.items() for x in pair))
-    zone = F.when(parts[6].rlike(r"^[+-]\d{4}$"), parts[6]).otherwise(F.element_at(names, F.upper(parts[6])))
+    zone = F.when(zone.rlike(r"^[+-]\d{4}$"), zone).otherwise(F.element_at(names, F.upper(zone)))
     offset = F.when(zone.isNull() | (zone == "-0000"), F.lit("")).otherwise(
         F.concat(F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, 4, 2)))
     return local, offset

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgetide.functions.mail_text import (
-    addresses, date_parts, header, header_block, local_and_offset, moment_of, strip)
+    addresses, date_parts, header, header_block, local_and_offset, moment_of, strip, unix_lines)
 
 
 def read_mail(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,7 +36,8 @@ def parse_mail(mail: DataFrame) -> DataFrame:
     ``reason`` says why a message is rejected and is null for the accepted ones. Copies are read from X-cc and X-bcc.
     The ISO text keeps the date's own offset because edge ids are hashed from it.
     """
-    block = _once(mail, ["path"], block=header_block(F.col("content")))
+    text = _once(mail, ["path"], text=unix_lines(F.col("content")))
+    block = _once(text, ["path"], block=header_block(F.col("text")))
     names = {"from_value": "From", "to_value": "To", "cc_value": "X-cc", "bcc_value": "X-bcc", "date_value": "Date"}
     values = _once(block, ["path"], **{c: header(F.col("block"), name) for c, name in names.items()})
     parts = _once(
