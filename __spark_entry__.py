@@ -131,7 +131,8 @@ def q_reach_recursive_sql(spark, d):
 def q_reach_stream(spark, d):
     events = spark.readStream.schema(src.read(spark, d, "events").schema).option(
         "pathGlobFilter", "events.parquet").parquet(d)
-    job = ReachStream(spark, rch.single_source(_events(spark, d), EVENT_SEED, EVENT_START, EVENT_HOURS), late="60 days")
+    job = ReachStream(spark, rch.single_source(_events(spark, d), EVENT_SEED, EVENT_START, EVENT_HOURS), late="60 days",
+                      partitions=spark.sparkContext.defaultParallelism)
     job.start(src.event_edges(events)).awaitTermination()
     return job.arrivals().select("node_id", "arrival_time")
 
@@ -291,11 +292,19 @@ def q_conversation_headers(spark, d):
 
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship query: earliest arrival at every node reachable within the window."""
-    return q_reach(spark, "/root/testdata/sf0.001")
+    return queries()["reach"](spark, "/root/testdata/sf0.001")
+
+
+def _in_utc(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The statements know no time zones, so the queries run in a session set to UTC."""
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return query(spark, folder)
+    return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name[2:]: f for name, f in globals().items() if name.startswith("q_")}
+    return {name[2:]: _in_utc(f) for name, f in globals().items() if name.startswith("q_")}
 
 
 # ---- DuckDB statements

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from edgetide.operators.layout import Layout, lay_out
 from edgetide.operators.reach import KEYS, changed_rows, expand, merge, relax, seed_state, total_rows
-from edgetide.schema import time_type
+from edgetide.schema import from_micros, micros, time_type
 from edgetide.scratch import Scratch
 
 
@@ -18,10 +18,10 @@ from edgetide.scratch import Scratch
 class ReachStream:
     """Stream job whose state after each micro-batch equals ``reach`` over all edges accepted so far.
 
-    Folders below ``base``: ``edges/day=.../batch_id=N`` holds the accepted edges, ``state/N`` the arrivals after
-    batch N. Batch N reads state N-1 and writes both with overwrite, so a replayed batch changes nothing. New edges
-    only ever lower arrivals: a batch joins its edges with the state, and only what improves is carried on through
-    the stored edges, of which just the days from the first improved arrival on are read.
+    Folders below ``base``: ``edges/batch_id=N`` holds the accepted edges, ``state/N`` the arrivals after batch N.
+    Batch N reads state N-1 and writes both with overwrite, so a replayed batch changes nothing. New edges only ever
+    lower arrivals: a batch joins its edges with the state, and only what improves is carried on through the stored
+    edges. Those are sorted by time, and the scan skips the ones before the first improved arrival.
     """
 
     spark: SparkSession
@@ -29,6 +29,8 @@ class ReachStream:
     base: str | None = None
     late: str = "1 hour"
     strict: bool = False
+    # partitions of the stream's own state, which holds the edge ids seen; fixed for good by the first start
+    partitions: int | None = None
 
     def __post_init__(self):
         self.scratch = Scratch(self.spark, self.base)
@@ -48,29 +50,42 @@ class ReachStream:
             .select("src", "dst", F.col("sent_at").cast(self.time).alias("sent_at"))
         )
         writer = accepted.writeStream.outputMode("append").option("checkpointLocation", f"{self.base}/progress")
-        return writer.foreachBatch(self.process).trigger(**(trigger or {"availableNow": True})).start()
+        writer = writer.foreachBatch(self.process).trigger(**(trigger or {"availableNow": True}))
+        setting = "spark.sql.shuffle.partitions"
+        before = self.spark.conf.get(setting)
+        # a starting stream takes the setting with it
+        self.spark.conf.set(setting, str(self.partitions or before))
+        try:
+            return writer.start()
+        finally:
+            self.spark.conf.set(setting, before)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        # the edges are stored first, and everything below reads the stored rows in the batch's own session
-        spark = batch.sparkSession
-        scratch = Scratch(spark, self.base)
-        edges = batch.selectExpr("src", "sent_at AS start_time", "sent_at AS end_time", "dst", "date(sent_at) AS day")
-        columns = ["src", "start_time", "end_time", "dst"]
-        new = scratch.save(edges, f"edges/batch_id={batch_id}", ["day"]).select(columns)
-        state = self._state(scratch, batch_id - 1)
-        layout = lay_out(new, "src", ["dst", "start_time"], ["start_time"], scratch)
+        # A stream's own session runs without adaptive execution and cuts a batch into as many pieces as the stream has
+        # state partitions. So the batch is stored as it comes, and all else runs in the caller's session.
+        arrived = batch.selectExpr("src", "sent_at AS start_time", "sent_at AS end_time", "dst")
+        arrived = self.scratch.read(self._stored(arrived, batch_id), arrived.schema)
+        new = self.scratch.save(
+            arrived.hint("rebalance").sortWithinPartitions("start_time"), f"edges/batch_id={batch_id}")
+        state = self._state(batch_id - 1)
+        layout = lay_out(new, "src", ["dst", "start_time"], ["start_time"], self.scratch)
         if layout.total:
-            state = self._updated(spark, scratch, state, layout, batch_id)
+            state = self._updated(state, layout, batch_id)
         layout.release()
-        scratch.save(state, f"state/{batch_id}")
+        self.scratch.save(state, f"state/{batch_id}")
         self.last_batch = batch_id
 
-    def _updated(self, spark: SparkSession, scratch: Scratch, state: DataFrame, new: Layout, batch_id: int) -> DataFrame:
+    def _stored(self, arrived: DataFrame, batch_id: int) -> str:
+        name = f"work/{batch_id}/arrived"
+        arrived.write.mode("overwrite").parquet(self.scratch.path(name))
+        return name
+
+    def _updated(self, state: DataFrame, new: Layout, batch_id: int) -> DataFrame:
         n_state = state.count()
         unused = state.withColumn("prev_time", F.lit(None).cast(self.time))
         merged = merge(state, expand(new, unused, n_state, self.strict))
-        first_day = F.min(F.when(F.col("changed"), F.to_date("arrival_time").cast("string"))).alias("first_day")
-        state, seen = scratch.save_counted(merged, f"work/{batch_id}/first", changed_rows(), total_rows(), first_day)
+        first = F.min(F.when(F.col("changed"), micros(F.col("arrival_time")))).alias("first")
+        state, seen = self.scratch.save_counted(merged, f"work/{batch_id}/first", changed_rows(), total_rows(), first)
         if not seen["improved"]:
             return state
         # From a node's old arrival on, all edges are used: the stored ones by earlier batches, the new ones just
@@ -78,21 +93,20 @@ class ReachStream:
         layout = new
         if batch_id:
             columns = new.rows.select("src", "start_time", "end_time", "dst")
-            stored = spark.read.schema(columns.schema.add("batch_id", "long").add("day", "date")).parquet(
-                scratch.path("edges")
-            ).filter((F.col("batch_id") <= batch_id) & (F.col("day") >= F.lit(seen["first_day"]).cast("date")))
-            layout = lay_out(stored.select(columns.columns), "src", ["dst", "start_time"], ["start_time"], scratch)
-        state, _, _, _ = relax(layout, state, seen["total"], state.filter("changed"), seen["improved"], scratch,
+            stored = self.scratch.read("edges", columns.schema.add("batch_id", "long")).filter(
+                (F.col("batch_id") <= batch_id) & (F.col("start_time") >= from_micros(seen["first"], self.time)))
+            layout = lay_out(stored.select(columns.columns), "src", ["dst", "start_time"], ["start_time"], self.scratch)
+        state, _, _, _ = relax(layout, state, seen["total"], state.filter("changed"), seen["improved"], self.scratch,
                                f"work/{batch_id}/more", self.strict)
         if layout is not new:
             layout.release()
         return state
 
-    def _state(self, scratch: Scratch, batch_id: int) -> DataFrame:
+    def _state(self, batch_id: int) -> DataFrame:
         """The state after a batch; before batch 0 there are only the start nodes."""
-        return scratch.read("seeds" if batch_id < 0 else f"state/{batch_id}", self.seeds.schema)
+        return self.scratch.read("seeds" if batch_id < 0 else f"state/{batch_id}", self.seeds.schema)
 
     def arrivals(self, batch_id: int | None = None) -> DataFrame:
         """(source_id, node_id, arrival_time) after a batch, by default the last one processed here."""
         batch_id = self.last_batch if batch_id is None else batch_id
-        return self._state(self.scratch, batch_id).select(*KEYS, "arrival_time")
+        return self._state(batch_id).select(*KEYS, "arrival_time")
