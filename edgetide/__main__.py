@@ -1,4 +1,4 @@
-"""Command line for spark-submit: ``spark-submit -m``-style entry to the jobs in ``edgetide.plans.jobs``."""
+"""Command line of the jobs in ``edgetide.plans``: ``spark-submit --py-files edgetide.zip edgetide/__main__.py ...``."""
 
 from __future__ import annotations
 
@@ -21,7 +21,8 @@ def main(argv: list[str] | None = None) -> None:
             sub.add_argument(flag, default=default, type=kind, required=default is None)
         return sub
 
-    window = (("--email", jobs.DEFAULTS["email"]), ("--start", jobs.DEFAULTS["start"]), ("--hours", jobs.DEFAULTS["hours"]))
+    window = (("--email", None), ("--start", jobs.DEFAULTS["start"]),
+              ("--hours", jobs.DEFAULTS["hours"]))
     command("create-tables", ("--buckets", 16), ("--format", "parquet"))
     command("load-mail", ("--folder", None))
     command("mail-to-json", ("--folder", None), ("--out", None))

@@ -33,7 +33,8 @@ def header_block(text: Column) -> Column:
     The block ends at the first line that cannot be a header line, such as a blank one.
     """
     end = F.regexp_instr(text, F.lit(rf"(?d)\n(?!{HEADER_LINE})"))
-    block = F.when(text.rlike(rf"\A{HEADER_LINE}"), F.substring(text, F.lit(1), F.coalesce(F.nullif(end, F.lit(0)) - 1, F.length(text))))
+    length = F.when(end > 0, end - 1).otherwise(F.length(text))
+    block = F.when(text.rlike(rf"\A{HEADER_LINE}"), F.substring(text, F.lit(1), length))
     return F.regexp_replace(F.coalesce(block, F.lit("")), r"\n(?=[ \t])", FOLD)
 
 

@@ -17,7 +17,8 @@ from edgetide.scratch import Scratch
 from edgetide.sources.graph_json import load_graph_json, write_graph_json
 from edgetide.sources.mail import accepted, parse_mail, read_mail, rejects
 
-DEFAULTS = {"db": "graph_db", "email": "bob.ambrocik@enron.com", "start": "2001-10-05 00:00:00", "hours": 100}
+# What the jobs use when the command line does not say otherwise.
+DEFAULTS = {"db": "graph_db", "start": "2001-10-05 00:00:00", "hours": 100}
 
 
 def mail_to_graph(spark: SparkSession, mail_folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
