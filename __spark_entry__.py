@@ -25,6 +25,12 @@ from edgetide.sources import tables as src
 from edgetide.sources.mail import accepted, parse_mail
 from edgetide.streaming.reach_stream import ReachStream
 
+try:
+    import corpus_pipeline
+    from edgetide.llm import queries as llm
+except ImportError:
+    llm = None
+
 # Both windows hold all edges of their graph; the trade graph has whole days only, so many equal times.
 EVENT_SEED, EVENT_START, EVENT_HOURS = 3, "2024-01-01 00:00:00", 720
 TRADE_SEED, TRADE_START, TRADE_HOURS = 1, "1995-01-01 00:00:00", 60_000
@@ -307,7 +313,10 @@ def _in_utc(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name[2:]: _in_utc(f) for name, f in globals().items() if name.startswith("q_")}
+    found = {name[2:]: f for name, f in globals().items() if name.startswith("q_")}
+    if llm:
+        found |= llm.queries() | {"pipeline": corpus_pipeline.run}
+    return {name: _in_utc(f) for name, f in found.items()}
 
 
 # ---- DuckDB statements
@@ -405,6 +414,10 @@ person as (select row_number() over (order by email) as node_id, email
 
 
 def oracle_sql() -> dict[str, str]:
+    return _graph_sql() | (llm.oracle_sql() if llm else {})
+
+
+def _graph_sql() -> dict[str, str]:
     events, trade = f"with edges as ({EVENTS})", f"with edges as ({TRADE})"
     trade_window = _window(QUARTER_START, QUARTER_HOURS)
     hashed = "sha256('{\"dst\": ' || dst || ', \"src\": ' || src || ', \"timestamp\": \"' || %s || '\", \"type\": \"' || edge_type || '\"}')"

@@ -2,26 +2,21 @@
 
 Loops cut their lineage by writing each step as Parquet into the folder named by ``spark.checkpoint.dir`` and
 reading it back. One write is one job, row counts come out of that same job, and a lost executor costs nothing
-that was written. The files are left to the folder's own cleaning, as with Spark's ``checkpoint()``.
+that was written. ``drop`` releases a step that a later one has replaced; whoever owns the run calls ``close`` when
+its result has been used. What nobody closes is left to the folder's own cleaning, as with Spark's ``checkpoint()``.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; where none is set, one below the session's warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="edgetide-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return (root or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch").rstrip("/")
 
 
 class Scratch:
@@ -49,3 +44,16 @@ class Scratch:
         seen = Observation(f"{name}-{uuid.uuid4().hex}")
         saved = self.save(df.observe(seen, *metrics), name)
         return saved, seen.get
+
+    def drop(self, name: str) -> None:
+        """Release a step that nothing reads any more."""
+        self._delete(self.path(name))
+
+    def close(self) -> None:
+        """Release the whole run; DataFrames that read it are of no use afterwards."""
+        self._delete(self.base)
+
+    def _delete(self, path: str) -> None:
+        context = self.spark.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
