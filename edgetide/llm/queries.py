@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgetide.llm import quality_rules
+from edgetide.llm import bin_packing, entropy_mix, feistel, quality_rules
 from edgetide.llm.common import table
 
 WORD_SQL = r"'[^\x20\x09-\x0D]+'"
 
 
+def q_op1_vector_bin_packing(spark: SparkSession, d: str) -> DataFrame:
+    return bin_packing.shards_of(table(spark, d, "documents")).select(
+        "doc_id", F.col("bytes").alias("size"), "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "tokens")
+
+
 def q_op2_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     entries = quality_rules.ledger(table(spark, d, "documents").select("doc_id", "text"))
     return entries.select(
@@ -21,6 +27,22 @@ def q_op2_quality_rules(spark: SparkSession, d: str) -> DataFrame:
         (quality_rules.rejected(quality_rules.POLICY) == 0).alias("kept"), "failed")
 
 
+def q_op3_entropy_balancing(spark: SparkSession, d: str) -> DataFrame:
+    return entropy_mix.mix(table(spark, d, "documents").select("doc_id", "text", "source")).select(
+        "doc_id", *(f"_mix.{c}" for c in ("size", "source_size", "target", "taken", "rate", "copies")))
+
+
+# In production the key comes from a secret store; the queries need one that reruns agree on.
+PSEUDONYM_KEY = "key of the registered queries"
+
+
+def q_op9_feistel_pseudonyms(spark: SparkSession, d: str) -> DataFrame:
+    """The whole texts with their pseudonyms, and what was replaced by kind."""
+    return feistel.pseudonymise(table(spark, d, "documents").select("doc_id", "text"), PSEUDONYM_KEY).select(
+        "doc_id", "text", F.size("found").cast("long").alias("n_replaced"),
+        F.array_join(F.array_sort(F.array_distinct("found.kind")), ",").alias("kinds"))
+
+
 QUALITY = rf"""with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
 w as (select r, doc_id, text, regexp_extract_all(text, {WORD_SQL}) as w,
   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from d),
