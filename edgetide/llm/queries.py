@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgetide.llm import bin_packing, entropy_mix, feistel, quality_rules
+from edgetide.llm import bin_packing, entropy_mix, feistel, license_join, quality_rules
 from edgetide.llm.common import table
 
 WORD_SQL = r"'[^\x20\x09-\x0D]+'"
@@ -43,6 +43,10 @@ def q_op9_feistel_pseudonyms(spark: SparkSession, d: str) -> DataFrame:
         F.array_join(F.array_sort(F.array_distinct("found.kind")), ",").alias("kinds"))
 
 
+def q_op10_license_join(spark: SparkSession, d: str) -> DataFrame:
+    return license_join.scan(table(spark, d, "documents"))
+
+
 QUALITY = rf"""with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
 w as (select r, doc_id, text, regexp_extract_all(text, {WORD_SQL}) as w,
   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from d),
@@ -63,9 +67,30 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, b0 o
   (b0::int + 2 * b1::int + 4 * b2::int + 8 * b3::int + 16 * b4::int + 32 * b5::int + 64 * b6::int)::bigint as failed from f"""
 
 
+LICENSE_WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+LICENSES = f"""with d as (select row_number() over () as r, doc_id,
+    translate(coalesce(text, ''), '{license_join.UPPER}', '{license_join.LOWER}') as t from documents),
+w as (select r, doc_id, t, regexp_extract_all(t, {LICENSE_WORD}) as w from d),
+phrases(p, label) as (values {", ".join(f"({p.split()}, '{label}')" for p, label in license_join.PHRASES.items())}),
+base as (select r, count(*) as n, min(i) - 1 as first_word, max(i) - 1 as last_word, list(distinct label) as labels
+  from (select r, w, unnest(range(1, len(w) + 1)) as i from w) join phrases on w[i:i + len(p) - 1] = p group by r),
+templates as (select label, list_distinct(regexp_extract_all(translate(t, '{license_join.UPPER}', '{license_join.LOWER}'), {LICENSE_WORD})) as tw
+  from (values {", ".join(f"('{label}', '{t}')" for label, t in license_join.TEMPLATES)}) as x(label, t)),
+blocks as (select r, list_distinct(regexp_extract_all(line, {LICENSE_WORD})) as own
+  from (select r, unnest(string_split(t, chr(10))) as line from d)),
+found as (select r, list(distinct label) as labels, max(n / len(tw)) as score
+  from (select r, label, tw, len(list_intersect(own, tw)) as n from blocks join templates on len(list_intersect(own, tw)) > 0)
+  where n >= ceil({license_join.CONTAINMENT} * len(tw) - 1e-9) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(b.n, 0)::bigint as n_base, first_word::bigint as first_word,
+  last_word::bigint as last_word, coalesce(array_to_string(list_sort(b.labels), ','), '') as base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(b.labels, f.labels))), ','), '') as labels,
+  case when b.n > 0 then 1.0::double else coalesce(score, 0)::double end as score
+from w left join base b using (r) left join found f using (r)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name[2:]: f for name, f in globals().items() if name.startswith("q_")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": QUALITY}
+    return {"op2_quality_rules": QUALITY, "op10_license_join": LICENSES}
