@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgetide.llm import bin_packing, entropy_mix, feistel, license_join, quality_rules
+from edgetide.llm import bin_packing, entropy_mix, feistel, license_join, quality_rules, template_leaks
 from edgetide.llm.common import table
 
 WORD_SQL = r"'[^\x20\x09-\x0D]+'"
@@ -32,6 +32,12 @@ def q_op3_entropy_balancing(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", *(f"_mix.{c}" for c in ("size", "source_size", "target", "taken", "rate", "copies")))
 
 
+def q_op4_template_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """A row for every document and benchmark item that it leaks."""
+    return template_leaks.leaks(table(spark, d, "documents"), table(spark, d, "benchmark")).select(
+        "doc_id", "item_id", "coverage", "slots", "changed")
+
+
 # In production the key comes from a secret store; the queries need one that reruns agree on.
 PSEUDONYM_KEY = "key of the registered queries"
 
