@@ -25,6 +25,16 @@ def text_key(text: Column) -> Column:
     return F.coalesce(F.sha2(text.cast("binary"), 256), F.lit(""))
 
 
+def content_key(text: Column) -> Column:
+    """16 bytes that are equal for equal texts (half of a SHA-256); null texts share a key that no text has."""
+    return F.coalesce(F.unhex(F.substr(F.sha2(text.cast("binary"), 256), F.lit(1), F.lit(32))), F.lit(b"").cast("binary"))
+
+
+def broadcast_below(df: DataFrame, rows: int) -> DataFrame:
+    """Hints a broadcast if a count of the (saved) DataFrame allows it; beyond that the join shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the DataFrame does not have yet, whatever extra columns it carries."""
     taken = {c.lower() for c in df.columns}
@@ -44,4 +54,4 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-__all__ = ["WORD", "Scratch", "fresh", "table", "text_key", "window_hashes", "word_count", "words"]
+__all__ = ["WORD", "Scratch", "broadcast_below", "content_key", "fresh", "table", "text_key", "window_hashes", "word_count", "words"]

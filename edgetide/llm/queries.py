@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgetide.llm import bin_packing, entropy_mix, feistel, license_join, quality_rules, template_leaks
+from edgetide.llm import bin_packing, entropy_mix, feistel, license_join, prob_minhash, quality_rules, template_leaks
 from edgetide.llm.common import table
 
 WORD_SQL = r"'[^\x20\x09-\x0D]+'"
@@ -38,6 +38,10 @@ def q_op4_template_leaks(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", "item_id", "coverage", "slots", "changed")
 
 
+def q_op6_prob_minhash(spark: SparkSession, d: str) -> DataFrame:
+    return prob_minhash.near_duplicates(table(spark, d, "documents"))
+
+
 # In production the key comes from a secret store; the queries need one that reruns agree on.
 PSEUDONYM_KEY = "key of the registered queries"
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgetide.llm.common import Scratch, fresh, window_hashes
+from edgetide.llm.common import Scratch, broadcast_below, content_key, fresh, window_hashes
 
 WINDOW, SHORTEST, LITERALS = 8, 4, 3
 COVERAGE = 0.5
@@ -52,11 +52,6 @@ def token_hashes(words: Column) -> Column:
                        .when(x.startswith(UNIT_MARK), F.lit(2).cast("long")).otherwise(F.lit(3).cast("long")))
 
 
-def content_key(text: Column) -> Column:
-    """16 bytes that are equal for equal texts."""
-    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
-
-
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """(item_id, n, size, at, hash, words, slots): the telling windows of each item, n of them."""
     items = benchmark.select("item_id", tokens(F.col("text")).alias("words")).filter(F.size("words") >= SHORTEST)
@@ -83,8 +78,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = scratch.save(item_windows(benchmark), "items")
     sizes = [r["size"] for r in windows.groupBy("size").agg(F.count(F.lit(1)).alias("rows")).collect()]  # at most WINDOW
     lookup = scratch.save(windows.select("hash", "size", "item_id", "at", "n", "slots"), "lookup")
-    if lookup.count() <= BROADCAST_ROWS:
-        lookup = F.broadcast(lookup)
+    lookup = broadcast_below(lookup, BROADCAST_ROWS)
 
     hashed = docs.select("doc_id", content_key(F.col("text")).alias("key"), tokens(F.col("text")).alias("words")).select(
         "doc_id", "key", token_hashes(F.col("words")).alias("hashes"))
@@ -131,5 +125,4 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     key = fresh(docs, "_key")
     bad = scratch.save(leaks(docs.select("doc_id", "text"), benchmark).select(F.col("key").alias(key)).distinct(), "bad")
-    bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    return docs.withColumn(key, content_key(F.col("text"))).join(bad, key, "left_anti").drop(key)
+    return docs.withColumn(key, content_key(F.col("text"))).join(broadcast_below(bad, BROADCAST_ROWS), key, "left_anti").drop(key)
