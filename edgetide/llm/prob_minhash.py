@@ -92,10 +92,10 @@ def signatures(documents: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     rate = np.concatenate([w for _, w in documents]).astype(float)
     first = np.full(len(documents) * REGISTERS, np.inf)
     holder = np.zeros(len(first), np.uint64)
-    at, step = np.zeros(len(element)), np.uint64(0)
+    at, step = np.zeros(len(element)), 0
     while len(element):
-        step = step + ODD if step else ODD
-        drawn = mix64(element + step)
+        step = (step + int(ODD)) % 2**64
+        drawn = mix64(element + np.uint64(step))
         at = at - np.log(((drawn >> np.uint64(11)).astype(float) + 1) / 2.0**53) / rate
         register = owner * REGISTERS + (mix64(drawn ^ ODD) % np.uint64(REGISTERS)).astype(np.int64)
         early = at < first[register]
