@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgetide.llm import bin_packing, entropy_mix, feistel, license_join, prob_minhash, quality_rules, template_leaks
+from edgetide.llm import bin_packing, entropy_mix, feistel, license_join, prob_minhash, quality_rules, template_leaks, warc
 from edgetide.llm.common import table
 
 WORD_SQL = r"'[^\x20\x09-\x0D]+'"
@@ -42,6 +42,11 @@ def q_op6_prob_minhash(spark: SparkSession, d: str) -> DataFrame:
     return prob_minhash.near_duplicates(table(spark, d, "documents"))
 
 
+def q_op7_warc(spark: SparkSession, d: str) -> DataFrame:
+    return warc.archive_and_read(spark, table(spark, d, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 # In production the key comes from a secret store; the queries need one that reruns agree on.
 PSEUDONYM_KEY = "key of the registered queries"
 
@@ -77,6 +82,15 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, b0 o
   (b0::int + 2 * b1::int + 4 * b2::int + 8 * b3::int + 16 * b4::int + 32 * b5::int + 64 * b6::int)::bigint as failed from f"""
 
 
+# SHA-1 as 160 bits, five of them to a character
+PAYLOADS = """with p as (select page_id, coalesce(html, '') as html from pages),
+h as (select page_id, strlen(html)::bigint as payload_bytes, cast(unhex(sha1(html))::bit as varchar) as bits,
+  min(page_id) over (partition by html) as first_id from p)
+select page_id, payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0b' || substr(bits, 1 + 5 * k, 5))::int), 1) for k in range(32)], '') as payload_digest,
+  case when page_id is null or page_id = first_id then 'response' else 'revisit' end as record_type,
+  case when page_id <> first_id then first_id end as refers_to from h"""
+
 LICENSE_WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 LICENSES = f"""with d as (select row_number() over () as r, doc_id,
     translate(coalesce(text, ''), '{license_join.UPPER}', '{license_join.LOWER}') as t from documents),
@@ -103,4 +117,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": QUALITY, "op10_license_join": LICENSES}
+    return {"op2_quality_rules": QUALITY, "op7_warc": PAYLOADS, "op10_license_join": LICENSES}
