@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgetide.llm import bin_packing, entropy_mix, feistel, license_join, prob_minhash, quality_rules, template_leaks, warc
+from edgetide.llm import bin_packing, compression_toxicity, entropy_mix, feistel, license_join, prob_minhash, quality_rules, template_leaks, tool_calls, warc
 from edgetide.llm.common import table
 
 WORD_SQL = r"'[^\x20\x09-\x0D]+'"
@@ -47,6 +47,22 @@ def q_op7_warc(spark: SparkSession, d: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def q_op8_compression_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    scored = compression_toxicity.score(docs, compression_toxicity.fit(docs, table(spark, d, "labels")))
+    return scored.select("doc_id", compression_toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+REPLY_SCHEMA = {"type": "object", "required": ["text", "turn"], "additionalProperties": False, "properties": {
+    "text": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}}}
+
+
+def q_op5_tool_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Whole conversations as calls of a reply tool: a row for every user and assistant turn."""
+    return tool_calls.link(tool_calls.exchange_events(table(spark, d, "conversations")), {"reply": REPLY_SCHEMA})
+
+
 # In production the key comes from a secret store; the queries need one that reruns agree on.
 PSEUDONYM_KEY = "key of the registered queries"
 
