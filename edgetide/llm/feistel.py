@@ -58,12 +58,17 @@ def bind(value: Column, use) -> Column:
 
 def permute(kind: str, digits: Column, radixes: Column, key: str, undo: bool = False) -> Column:
     """The keyed permutation of a list of digits, each below its radix."""
-    half = F.floor(F.size(digits) / 2)
+    return bind(F.struct(digits.cast("array<bigint>").alias("digits"), radixes.cast("array<bigint>").alias("radixes"),
+                         F.floor(F.size(digits) / 2).cast("int").alias("half"), F.array_join(radixes.cast("array<bigint>"), ",").alias("names")),
+                lambda x: _rounds(kind, x["digits"], x["radixes"], x["half"], x["names"], key, undo))
+
+
+def _rounds(kind: str, digits: Column, radixes: Column, half: Column, names: Column, key: str, undo: bool) -> Column:
 
     def turn(state: Column, step: Column) -> Column:
         first = step % 2 == 0  # even rounds add to the first half
         other = F.when(first, F.slice(state, half + 1, F.size(state))).otherwise(F.slice(state, 1, half))
-        seed = F.concat_ws("|", F.lit(key), F.lit(kind), step.cast("string"), F.array_join(radixes, ","),
+        seed = F.concat_ws("|", F.lit(key), F.lit(kind), step.cast("string"), names,
                            F.array_join(other, ","))
         drawn = F.concat(*(F.sha2(F.concat(seed, F.lit(f"|{block}")), 512) for block in range(4)))  # 64 numbers
 
@@ -77,7 +82,7 @@ def permute(kind: str, digits: Column, radixes: Column, key: str, undo: bool = F
         return bind(drawn, lambda numbers: F.transform(state, lambda x, i: moved(x, i, numbers)))
 
     steps = F.sequence(F.lit(ROUNDS - 1), F.lit(0), F.lit(-1)) if undo else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
-    return F.aggregate(steps, digits.cast("array<bigint>"), turn)
+    return F.aggregate(steps, digits, turn)
 
 
 def _characters(kind: str, text: Column, key: str, letters: int, undo: bool) -> Column:
@@ -90,7 +95,7 @@ def _characters(kind: str, text: Column, key: str, letters: int, undo: bool) ->
 
     def mapped(chars: Column) -> Column:
         moved = permute(kind, F.transform(chars, lambda c: F.ascii(c) - base(c)), F.transform(chars, radix), key, undo)
-        return F.array_join(F.transform(moved, lambda x, i: F.char(x + base(F.get(chars, i)))), "")
+        return bind(moved, lambda m: F.array_join(F.transform(m, lambda x, i: F.char(x + base(F.get(chars, i)))), ""))
 
     return bind(F.split(text, ""), mapped)
 
