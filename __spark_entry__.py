@@ -36,7 +36,7 @@ EVENT_SEED, EVENT_START, EVENT_HOURS = 3, "2024-01-01 00:00:00", 720
 TRADE_SEED, TRADE_START, TRADE_HOURS = 1, "1995-01-01 00:00:00", 60_000
 # The first quarter of 1998, for the queries that are about a window.
 QUARTER_START, QUARTER_HOURS = "1998-01-01 00:00:00", 2160
-RECURSION_HOPS = 16
+TWO_LOADS_FROM = "1995-01-01"
 HOPS = 3
 TOP_K = 10
 PATH_FROM, PATH_TO, PATH_MARGIN = 3, 14, 60
@@ -89,13 +89,28 @@ def q_reach_time_slices(spark, d):
 
 
 def q_reach_batch(spark, d):
-    """From every supplier at once, each with its own window of one week from its nation's day on."""
-    start = F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")
-    suppliers = src.read(spark, d, "supplier").select(
-        F.col("s_suppkey").alias("source_id"), (F.col("s_suppkey") * 2 + 1).alias("node_id"),
-        (start + F.make_dt_interval(F.col("s_nationkey"))).alias("start_time"),
-        (start + F.make_dt_interval(F.col("s_nationkey") + 7)).alias("window_end"))
-    return rch.reach(_trade(spark, d), suppliers).arrivals
+    """From one supplier of each region at once, each from its region's day on, over all of the trade graph."""
+    return rch.reach(_trade(spark, d), _region_suppliers(spark, d).select(
+        "source_id", "node_id", _day(F.col("region") * 100).alias("start_time"), _day(F.lit(4000)).alias("window_end"))).arrivals
+
+
+def _day(number):
+    return F.lit("1992-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(number.cast("int"))
+
+
+def _region_suppliers(spark, d):
+    """The supplier with the least key of each region."""
+    nations = src.read(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("region"))
+    first = src.read(spark, d, "supplier").join(nations, "s_nationkey").groupBy("region").agg(F.min("s_suppkey").alias("source_id"))
+    return first.withColumn("node_id", F.col("source_id") * 2 + 1)
+
+
+def q_reach_windows(spark, d):
+    """Three windows for each source, two of which overlap; a walk keeps to the window it starts in."""
+    window = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("w")
+    seeds = _region_suppliers(spark, d).select("source_id", "node_id", window).select(
+        "source_id", "node_id", _day(1100 + F.col("w") * 200).alias("start_time"), _day(1400 + F.col("w") * 80).alias("window_end"))
+    return rch.reach(_trade(spark, d), seeds).arrivals
 
 
 def q_reach_count(spark, d):
@@ -116,9 +131,9 @@ def q_reach_millis(spark, d):
 
 def q_reach_one_round(spark, d):
     """One relaxation round over the trade graph, from every supplier at the start of the window."""
-    edges = edge_ops.edges_in_window(_trade(spark, d), QUARTER_START, QUARTER_HOURS)
+    edges = edge_ops.edges_in_window(_trade(spark, d), TRADE_START, TRADE_HOURS)
     frontier = src.read(spark, d, "supplier").select(
-        (F.col("s_suppkey") * 2 + 1).alias("node_id"), F.lit(QUARTER_START).cast("timestamp_ntz").alias("arrival_time"))
+        (F.col("s_suppkey") * 2 + 1).alias("node_id"), F.lit(TRADE_START).cast("timestamp_ntz").alias("arrival_time"))
     return rch.one_round(edges, frontier)
 
 
@@ -134,7 +149,7 @@ def q_reach_hop_bounded(spark, d):
 
 
 def q_reach_recursive_sql(spark, d):
-    return reach_recursive_sql(_events(spark, d), EVENT_SEED, EVENT_START, EVENT_HOURS, RECURSION_HOPS)
+    return reach_recursive_sql(_trade(spark, d), TRADE_SEED, TRADE_START, TRADE_HOURS)
 
 
 def q_reach_stream(spark, d):
@@ -188,7 +203,7 @@ def q_edges_chronological(spark, d):
 
 def q_adjacency_list(spark, d):
     listed = edge_ops.adjacency_list(_events(spark, d)).select(
-        "src", F.size("neighbours").cast("long").alias("entries"),
+        "src", F.col("period").alias("day"), F.size("neighbours").cast("long").alias("entries"),
         F.array_join(F.transform("neighbours", lambda n: F.concat(
             F.date_format(n["sent_at"], "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(">"), n["dst"].cast("string"))), ",")
         .alias("neighbours"))
@@ -251,6 +266,21 @@ def q_mail_edges(spark, d):
     return ingest.mail_edges(recipients, person, scratch=scratch).select("edge_id", "src", "dst", "edge_type", "sent_at_iso")
 
 
+def q_mail_two_loads(spark, d):
+    """Mails before and from a day on as two loads: persons keep their ids, and the second load adds what is new."""
+    scratch = Scratch(spark)
+    recipients = scratch.save(_recipients(spark, d), "recipients")
+    early = F.col("sent_at_iso") < TWO_LOADS_FROM
+    person = scratch.save(ingest.person_dim(recipients.filter(early), scratch), "person-1")
+    edges = scratch.save(ingest.mail_edges(recipients.filter(early), person, scratch=scratch), "edges-1")
+    later = Scratch(spark)
+    person = later.save(ingest.person_dim(recipients.filter(~early), later, person), "person-2")
+    more = ingest.mail_edges(recipients.filter(~early), person, scratch=later)
+    edges = edges.unionByName(more.join(edges.select("edge_id"), "edge_id", "left_anti"))
+    sender, recipient = (person.select(F.col("node_id").alias(k), F.col("email").alias(v)) for k, v in (("src", "sender"), ("dst", "recipient")))
+    return edges.join(sender, "src").join(recipient, "dst").select("sender", "recipient", "edge_type", "sent_at_iso")
+
+
 def q_edge_hash(spark, d):
     iso = F.date_format("sent_at", "yyyy-MM-dd'T'HH:mm:ss")
     return _trade(spark, d).select(
@@ -398,12 +428,28 @@ back(target, node_id, src, edge_id, arrival_time, back) as (
 select target, cast(max(back) over (partition by target) - back as integer) as step, node_id, edge_id, arrival_time from back
 """ % (EVENTS, EVENT_SEED, EVENT_START, _window(EVENT_START, EVENT_HOURS))
 
+REGION_SUPPLIERS = """suppliers as (select n_regionkey as region, min(s_suppkey) as source_id
+  from supplier join nation on n_nationkey = s_nationkey group by n_regionkey)"""
+
+
+def _seeded_walk(start: str, end: str, windows: str) -> str:
+    """Each seed row is walked on its own, then the least arrival of a source counts."""
+    return f"""sources as (select source_id, 2 * source_id + 1 as node_id, timestamp '1992-01-01' + to_days(cast({start} as int)) as start_time,
+  timestamp '1992-01-01' + to_days(cast({end} as int)) as window_end from suppliers, {windows}),
+walk(source_id, node_id, arrival_time, window_end) as (
+  select source_id, node_id, start_time, window_end from sources
+  union
+  select r.source_id, e.dst, e.sent_at, r.window_end from walk r join edges e
+    on e.src = r.node_id and e.sent_at >= r.arrival_time and e.sent_at <= r.window_end)
+select source_id, node_id, min(arrival_time) as arrival_time from walk group by source_id, node_id"""
+
+
 # The rendered mail of an order: its boxes by return flag.
 MAIL = """select o_orderkey, 'customer' || o_custkey || '@x.test' as sender,
   strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S-07:00') as sent_at_iso, o_orderdate,
   count(*) filter (l_returnflag = 'R') as n_to, count(*) filter (l_returnflag = 'A') as n_cc,
   count(*) filter (l_returnflag = 'N') as n_bcc
-from orders join lineitem on l_orderkey = o_orderkey group by o_orderkey, o_custkey, o_orderdate"""
+from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey, o_custkey, o_orderdate"""
 
 RECIPIENTS = f"""mail as ({MAIL}),
 recipients as (select distinct sender, 'supplier' || l_suppkey || '@x.test' as recipient,
@@ -428,25 +474,21 @@ def _graph_sql() -> dict[str, str]:
         "reach_strict": _walk(TRADE, TRADE_SEED, TRADE_START, TRADE_HOURS, ">") + arrivals,
         "reach_time_slices": TRADE_WALK + arrivals,
         "reach_batch": f"""with recursive edges as ({TRADE}),
-sources as (select s_suppkey as source_id, 2 * s_suppkey + 1 as node_id,
-  timestamp '1998-01-01' + to_days(s_nationkey) as start_time, timestamp '1998-01-01' + to_days(s_nationkey + 7) as window_end
-  from supplier),
-walk(source_id, node_id, arrival_time, window_end) as (
-  select source_id, node_id, start_time, window_end from sources
-  union
-  select r.source_id, e.dst, e.sent_at, r.window_end from walk r join edges e
-    on e.src = r.node_id and e.sent_at >= r.arrival_time and e.sent_at <= r.window_end)
-select source_id, node_id, min(arrival_time) as arrival_time from walk group by source_id, node_id""",
+{REGION_SUPPLIERS},
+{_seeded_walk("region * 100", "4000", "(values (0)) x(w)")}""",
+        "reach_windows": f"""with recursive edges as ({TRADE}),
+{REGION_SUPPLIERS},
+{_seeded_walk("1100 + w * 200", "1400 + w * 80", "(values (0), (1), (2)) x(w)")}""",
         "reach_count": EVENT_WALK + "select count(*) as reachable from arrivals",
         "reach_named": TRADE_WALK + f"select email, arrival_time from arrivals join ({PERSONS}) using (node_id)",
         "reach_top_k": EVENT_WALK + f"select node_id, arrival_time from arrivals order by arrival_time, node_id limit {TOP_K}",
         "reach_millis": EVENT_WALK + """select node_id, epoch_us(arrival_time) // 1000 as arrival_millis,
   date_trunc('milliseconds', arrival_time) as arrival_time from arrivals""",
         "reach_one_round": f"""{trade} select e.dst as node_id, min(e.sent_at) as candidate_time
-from edges e join supplier on e.src = 2 * s_suppkey + 1 where {trade_window} group by e.dst""",
+from edges e join supplier on e.src = 2 * s_suppkey + 1 where {_window(TRADE_START, TRADE_HOURS)} group by e.dst""",
         "reach_two_hop": EVENT_WALK + arrivals,
         "reach_hop_bounded": _hop_walk(EVENTS, EVENT_SEED, EVENT_START, EVENT_HOURS, HOPS) + arrivals,
-        "reach_recursive_sql": _hop_walk(EVENTS, EVENT_SEED, EVENT_START, EVENT_HOURS, RECURSION_HOPS) + arrivals,
+        "reach_recursive_sql": TRADE_WALK + arrivals,
         "reach_stream": EVENT_WALK + arrivals,
         "earliest_path": PATH,
         "two_hop_index": f"{events} {INDEX}",
@@ -469,9 +511,9 @@ select n1, t1, n2, t2, n3 from level where n2 = {PATH_TO} or n3 = {PATH_TO}""",
         "vertices_in_window": f"""{trade} select e.src as node_id from edges e where {trade_window}
 union select e.dst from edges e where {trade_window}""",
         "edges_chronological": f"{events} select edge_id, src, dst, edge_type, sent_at from edges order by sent_at, edge_id",
-        "adjacency_list": f"""{events} select src, count(*) as entries,
+        "adjacency_list": f"""{events} select src, date_trunc('day', sent_at)::timestamp as day, count(*) as entries,
   string_agg(strftime(sent_at, '%Y-%m-%d %H:%M:%S.%f') || '>' || dst, ',' order by sent_at, dst) as neighbours
-from edges group by src""",
+from edges group by src, date_trunc('day', sent_at)""",
         "out_degree": f"{trade} select src as node_id, count(*) as out_degree from edges group by src",
         "in_degree": f"{trade} select dst as node_id, count(*) as in_degree from edges group by dst",
         "degree": f"""{trade} select node_id, coalesce(out_degree, 0) as out_degree, coalesce(in_degree, 0) as in_degree,
@@ -495,6 +537,7 @@ from ({MAIL})""",
   select s.node_id as src, r.node_id as dst, edge_type, sent_at_iso from recipients
     join person s on s.email = sender join person r on r.email = recipient where sender <> recipient)
 select {hashed % 'sent_at_iso'} as edge_id, src, dst, edge_type, sent_at_iso from edges""",
+        "mail_two_loads": f"with {RECIPIENTS} select sender, recipient, edge_type, sent_at_iso from recipients where sender <> recipient",
         "edge_hash": f"""{trade} select edge_id as line, {hashed % "strftime(sent_at, '%Y-%m-%dT%H:%M:%S')"} as edge_id
 from edges""",
         "person_flatten": PERSONS,

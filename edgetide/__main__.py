@@ -29,10 +29,12 @@ def main(argv: list[str] | None = None) -> None:
     command("load-json", ("--folder", None)).add_argument("--lines", action="store_true")
     command("build-two-hop")
     command("reach", *window).add_argument("--two-hop", action="store_true")
-    command("reach-sql", *window, ("--max-hops", 50))
+    command("reach-sql", *window)
     command("reach-hops", *window, ("--k", 50))
     command("path", *window, ("--target-email", None))
-    command("find-path", ("--from-node", 101), ("--to-node", 505), ("--margin", 0), ("--max-depth", 10))
+    search = command("find-path", ("--margin", 0), ("--max-depth", 10))
+    for end in ("--from-node", "--to-node"):
+        search.add_argument(end, type=int, required=True)
     command("degree")
     command("degree-stats")
     command("list")
@@ -50,7 +52,7 @@ def main(argv: list[str] | None = None) -> None:
         "load-json": lambda: jobs.load_json(spark, a.db, a.folder, not a.lines),
         "build-two-hop": lambda: jobs.build_two_hop(spark, a.db),
         "reach": lambda: jobs.reach_report(spark, a.db, *span, two_hop=a.two_hop),
-        "reach-sql": lambda: jobs.reach_sql_report(spark, a.db, *span, a.max_hops),
+        "reach-sql": lambda: jobs.reach_sql_report(spark, a.db, *span),
         "reach-hops": lambda: jobs.reach_hops_report(spark, a.db, *span, a.k),
         "path": lambda: jobs.path_report(spark, a.db, a.email, a.target_email, a.start, a.hours),
         "find-path": lambda: jobs.find_path(spark, a.db, a.from_node, a.to_node, a.margin, a.max_depth),

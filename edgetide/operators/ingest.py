@@ -23,14 +23,22 @@ def mail_recipients(parsed: DataFrame) -> DataFrame:
         "sender", "recipient", "edge_type", "sent_at_iso", "sent_at")
 
 
-def person_dim(recipients: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def person_dim(recipients: DataFrame, scratch: Scratch | None = None, known: DataFrame | None = None) -> DataFrame:
     """(node_id, email): every address once, numbered from 1 in the order of the e-mails.
 
+    Addresses in ``known`` (node_id, email) keep their ids; new ones are numbered from the largest known id on. So an
+    address has the same id in every load, and equal edges of different loads have equal hashes.
+
     The ids are dense without a single-partition window: the sorted addresses are written with their position in
     their range partition, and the partitions' offsets come from one row per partition.
     """
     scratch = scratch or Scratch(recipients.sparkSession)
     emails = recipients.select(F.explode(F.array("sender", "recipient")).alias("email")).distinct()
+    largest = 0
+    if known is not None:
+        known = known.select("node_id", "email")
+        largest = known.agg(F.coalesce(F.max("node_id"), F.lit(0)).cast("long")).first()[0]
+        emails = emails.join(known.select("email"), "email", "left_anti")
     numbered = scratch.save(
         emails.orderBy("email").select("email", F.monotonically_increasing_id().alias("at")), "emails")
     part, row = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
@@ -38,8 +46,9 @@ def person_dim(recipients: DataFrame, scratch: Scratch | None = None) -> DataFra
     # a window over one row per range partition
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    return numbered.withColumn("part", part).join(F.broadcast(offsets), "part").select(
-        (F.col("offset") + row + 1).alias("node_id"), "email")
+    new = numbered.withColumn("part", part).join(F.broadcast(offsets), "part").select(
+        (F.col("offset") + row + 1 + largest).alias("node_id"), "email")
+    return new if known is None else known.unionByName(new)
 
 
 def mail_edges(recipients: DataFrame, person: DataFrame, n_persons: int | None = None,

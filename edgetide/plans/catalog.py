@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgetide.schema import EDGES, PERSON, TWO_HOP
+from edgetide.schema import EDGES, PERSON, REJECTS, TWO_HOP
 
 # name -> (schema, key it is bucketed on, order inside the buckets, column that identifies a row)
 TABLES = {
     "person": (PERSON, "node_id", ["node_id"], "node_id"),
     "edges": (EDGES, "src", ["src", "sent_at"], "edge_id"),
     "two_hop_index": (TWO_HOP, "n1", ["n1", "t1"], None),
+    "mail_rejects": (REJECTS, "path", ["path"], "path"),
 }
 
 

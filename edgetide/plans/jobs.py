@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from edgetide.operators.degree import degree, degree_stats
 from edgetide.operators.edges import unified_edges
@@ -21,21 +22,26 @@ from edgetide.sources.mail import accepted, parse_mail, read_mail, rejects
 DEFAULTS = {"db": "graph_db", "start": "2001-10-05 00:00:00", "hours": 100}
 
 
-def mail_to_graph(spark: SparkSession, mail_folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(person, edges, rejects) of a mail corpus."""
+def mail_to_graph(spark: SparkSession, mail_folder: str,
+                  known: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(person, edges, rejects) of a mail corpus; persons in ``known`` (node_id, email) are there and keep their ids."""
     scratch = Scratch(spark)
     # the messages are parsed once; recipients and rejects read the parsed rows
     parsed = scratch.save(parse_mail(read_mail(spark, mail_folder)), "parsed")
     recipients = scratch.save(mail_recipients(accepted(parsed)), "recipients")
-    person = scratch.save(person_dim(recipients, scratch), "person")
+    person = scratch.save(person_dim(recipients, scratch, known), "person")
     return person, mail_edges(recipients, person, scratch=scratch), rejects(parsed)
 
 
 def load_mail(spark: SparkSession, db: str, mail_folder: str) -> None:
-    """Mail corpus -> person and edge tables, without files in between."""
-    person, edges, _ = mail_to_graph(spark, mail_folder)
+    """Mail corpus -> person, edge and reject tables, without files in between.
+
+    Persons of earlier loads keep their ids, so any number of folders may be loaded, also the same one again.
+    """
+    person, edges, rejected = mail_to_graph(spark, mail_folder, spark.table(f"{db}.person"))
     catalog.append(person, db, "person")
     catalog.append(edges, db, "edges")
+    catalog.append(rejected, db, "mail_rejects")
 
 
 def mail_to_json(spark: SparkSession, mail_folder: str, out: str, max_records: int = 50_000) -> None:
@@ -44,8 +50,14 @@ def mail_to_json(spark: SparkSession, mail_folder: str, out: str, max_records: i
 
 
 def load_json(spark: SparkSession, db: str, folder: str, multiline: bool = True) -> None:
+    """Graph files -> person and edge tables. Ids that the table has for another e-mail are an error."""
     graph = load_graph_json(spark, folder, multiline)
-    catalog.append(person_flatten(graph["nodes"]), db, "person")
+    person = person_flatten(graph["nodes"])
+    known = spark.table(f"{db}.person").select("node_id", F.col("email").alias("known"))
+    clash = person.join(known, "node_id").filter(~F.col("email").eqNullSafe(F.col("known"))).first()
+    if clash:
+        raise ValueError(f"node {clash.node_id} is {clash.known} in the table and {clash.email} in {folder}")
+    catalog.append(person, db, "person")
     catalog.append(edge_flatten(graph["edges"]), db, "edges")
 
 
@@ -79,9 +91,9 @@ def _quoted(text: str) -> str:
     return text.replace("\\", "\\\\").replace("'", "\\'")
 
 
-def reach_sql_report(spark: SparkSession, db: str, email: str, start: str, hours: int, max_hops: int = 50) -> DataFrame:
+def reach_sql_report(spark: SparkSession, db: str, email: str, start: str, hours: int) -> DataFrame:
     node = _start_node(spark, db, email)
-    found = reach_recursive_sql(spark.table(f"{db}.edges"), -1 if node is None else node, start, hours, max_hops)
+    found = reach_recursive_sql(spark.table(f"{db}.edges"), -1 if node is None else node, start, hours)
     return named(found, spark.table(f"{db}.person")).orderBy("arrival_time", "node_id").select("email", "arrival_time")
 
 

@@ -31,6 +31,12 @@ TWO_HOP = T.StructType([
     T.StructField("n3", T.LongType()),
 ])
 
+REJECTS = T.StructType([
+    T.StructField("path", T.StringType()),
+    T.StructField("reason", T.StringType()),
+    T.StructField("created_at", T.TimestampType()),
+])
+
 NODE_JSON = T.StructType([
     T.StructField("node_id", T.LongType()),
     T.StructField("labels", T.ArrayType(T.StringType())),

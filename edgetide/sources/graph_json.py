@@ -17,23 +17,41 @@ def _graph_file() -> Column:
     return F.regexp_extract("_metadata.file_path", r"/([^/]+\.json)(?:/|$)", 1)
 
 
+def _in_folder(spark: SparkSession, folder: str) -> Column:
+    """Whether a file is a graph file of ``folder`` itself, or a part file of one; other sub-folders, such as a
+    warehouse below it, do not count."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    base = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toUri().getPath().rstrip("/")
+    below = F.regexp_replace(F.col("_metadata.file_path"), r"^[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/]*)?", "")
+    below = F.when(F.startswith(below, F.lit(base)), F.substr(below, F.lit(len(base) + 1)))
+    return F.coalesce(below.rlike(r"^/[^/]+\.json(?:/[^/]+)?$"), F.lit(False))
+
+
 def list_graph_files(spark: SparkSession, folder: str) -> DataFrame:
     """The graph files in ``folder`` and what each holds: (name, kind, map_key, partition, prop_type, element_key)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", True)
-    names = files.load(folder).select(_graph_file().alias("name")).distinct()
+    names = files.load(folder).filter(_in_folder(spark, folder)).select(_graph_file().alias("name")).distinct()
     return names.select("name", *(column.alias(name) for name, column in route(F.col("name")).items()))
 
 
-def load_graph_json(spark: SparkSession, folder: str, multiline: bool = True) -> dict[str, DataFrame]:
+def load_graph_json(spark: SparkSession, folder: str, multiline: bool = True, prop_type: str = "static",
+                    elements: list[str] | None = None) -> dict[str, DataFrame]:
     """{"nodes": ..., "edges": ...} from all files of a kind in one read with a fixed schema, equal rows once.
 
+    Only files with this property type count and, where ``elements`` is given, with one of these element keys.
+
     ``multiline`` reads files that hold one JSON array; without it, one record per line as ``write_graph_json`` writes.
     The condition on the file's name is checked before the file is opened.
     """
     def load(schema, kind: str) -> DataFrame:
         reader = spark.read.schema(schema).option("multiLine", multiline).option("pathGlobFilter", "*.json")
         records = reader.option("recursiveFileLookup", True).json(folder)
-        return records.filter(route(_graph_file())["kind"] == kind).dropDuplicates()
+        held = route(_graph_file())
+        wanted = (held["kind"] == kind) & (held["prop_type"] == prop_type) & _in_folder(spark, folder)
+        if elements is not None:
+            wanted = wanted & held["element_key"].isin(elements)
+        return records.filter(wanted).dropDuplicates()
 
     return {"nodes": load(NODE_JSON, "nodes"), "edges": load(EDGE_JSON, "edges")}
 

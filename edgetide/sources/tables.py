@@ -46,7 +46,7 @@ def trade_persons(customer: DataFrame, supplier: DataFrame) -> DataFrame:
 def order_mail(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     """(path, content): one rendered message per order, from its customer to the suppliers of its lines.
 
-    Lines shipped with flag R go to To, A to X-cc, N to X-bcc; an order without an R line has no To address.
+    Lines shipped with flag R go to To, A to X-cc, N to X-bcc; an order without an R line, or without any, has no To address.
     """
     def suppliers(flag: str):
         lines = F.collect_list(F.when(F.col("l_returnflag") == flag, F.struct("l_linenumber", "l_suppkey")))
@@ -55,11 +55,11 @@ def order_mail(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
 
     # an order has at most a handful of lines
     boxes = lineitem.groupBy("l_orderkey").agg(*(suppliers(f).alias(f) for f in ("R", "A", "N")))
-    return orders.join(boxes, F.col("o_orderkey") == F.col("l_orderkey")).select(
+    return orders.join(boxes, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
         F.concat(F.lit("maildir/"), F.col("o_orderkey").cast("string"), F.lit(".")).alias("path"),
         F.concat(
             F.lit("Message-ID: <"), F.col("o_orderkey").cast("string"), F.lit("@x.test>\n"),
             F.lit("Date: "), F.date_format("o_orderdate", "d MMM yyyy HH:mm:ss"), F.lit(" -0700 (PDT)\n"),
-            F.lit("From:  Customer"), F.col("o_custkey").cast("string"), F.lit("@X.test \nTo: "), F.col("R"),
-            F.lit("\nX-cc: "), F.col("A"), F.lit("\nX-bcc: "), F.col("N"),
+            F.lit("From:  Customer"), F.col("o_custkey").cast("string"), F.lit("@X.test \nTo: "), F.coalesce("R", F.lit("")),
+            F.lit("\nX-cc: "), F.coalesce("A", F.lit("")), F.lit("\nX-bcc: "), F.coalesce("N", F.lit("")),
             F.lit("\n\nTo: nobody@x.test\n"), F.col("o_orderpriority")).alias("content"))

@@ -35,8 +35,8 @@ class ReachStream:
     def __post_init__(self):
         self.scratch = Scratch(self.spark, self.base)
         self.base = self.scratch.base
-        self.last_batch = -1
         self.time = time_type(self.sources, "start_time")
+        self.last_batch = self._stored_batch()
         self.seeds = self.scratch.save(seed_state(self.sources), "seeds")
 
     def start(self, edges: DataFrame, **trigger) -> StreamingQuery:
@@ -102,11 +102,18 @@ class ReachStream:
             layout.release()
         return state
 
+    def _stored_batch(self) -> int:
+        """The last batch whose state was written as a whole, so that a restarted stream goes on from there; else -1."""
+        context = self.spark.sparkContext
+        pattern = context._jvm.org.apache.hadoop.fs.Path(f"{self.base}/state/*/_SUCCESS")
+        found = pattern.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(pattern)
+        return max((int(f.getPath().getParent().getName()) for f in found or []), default=-1)
+
     def _state(self, batch_id: int) -> DataFrame:
         """The state after a batch; before batch 0 there are only the start nodes."""
         return self.scratch.read("seeds" if batch_id < 0 else f"state/{batch_id}", self.seeds.schema)
 
     def arrivals(self, batch_id: int | None = None) -> DataFrame:
-        """(source_id, node_id, arrival_time) after a batch, by default the last one processed here."""
+        """(source_id, node_id, arrival_time) after a batch, by default the last one processed, also by a stream before a restart."""
         batch_id = self.last_batch if batch_id is None else batch_id
         return self._state(batch_id).select(*KEYS, "arrival_time")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from edgetide import __main__ as cli
 from edgetide.plans import catalog, jobs
-from micro import M1, edge_frame, minute_of
+from micro import M1, edge_frame
 
 
 @pytest.fixture
@@ -42,7 +42,7 @@ def test_layout(spark, db):
 
 def test_loading_twice(spark, filled):
     counts = {r.table_name: r.row_count for r in catalog.table_report(spark, filled).collect()}
-    assert counts == {"person": 6, "edges": 9, "two_hop_index": 6}
+    assert counts == {"person": 6, "edges": 9, "two_hop_index": 6, "mail_rejects": 0}
 
 
 def test_report(spark, filled):
@@ -62,7 +62,7 @@ def test_reach_report(spark, filled, two_hop):
 
 def test_other_reports(spark, filled):
     window = ("p1@x.test", "2024-01-01 00:00:00", 1)
-    assert jobs.reach_sql_report(spark, filled, *window, 6).count() == 4
+    assert jobs.reach_sql_report(spark, filled, *window).count() == 4
     assert [r.email for r in jobs.reach_hops_report(spark, filled, *window, 1).collect()] == ["p1@x.test", "p2@x.test", "p3@x.test"]
     assert jobs.reach_hops_report(spark, filled, "o'hara@x.test", *window[1:]).count() == 0
     path = jobs.path_report(spark, filled, window[0], "p4@x.test", *window[1:]).collect()
@@ -112,6 +112,27 @@ def test_mail_to_tables(spark, db, tmp_path):
     assert [r.email for r in rows] == ["a0@x", "a1@x", "a2@x", "a3@x"]
 
 
-def test_minutes_helper():
-    from micro import at
-    assert minute_of(at(7)) == 7
+def mail_folder(path, mails):
+    path.mkdir()
+    for i, (sender, recipient) in enumerate(mails):
+        (path / f"{i}.").write_text(f"Date: 1 Jun 2001 08:0{i}:00 -0700\nFrom: {sender}\nTo: {recipient}\n\n")
+    return str(path)
+
+
+def test_a_second_corpus_keeps_persons(spark, db, tmp_path):
+    """Edges of any order of loads name the same persons; a repeated load adds nothing; rejects are stored."""
+    first, second = mail_folder(tmp_path / "one", [("m@x", "n@x")]), mail_folder(tmp_path / "two", [("a@x", "b@x"), ("a@x", "m@x"), ("a@x", "")])
+    for folder in (first, second, first, second):
+        jobs.load_mail(spark, db, folder)
+    names = {r.node_id: r.email for r in spark.table(f"{db}.person").collect()}
+    assert sorted(names.values()) == ["a@x", "b@x", "m@x", "n@x"]
+    edges = spark.table(f"{db}.edges").collect()
+    assert sorted((names[e.src], names[e.dst]) for e in edges) == [("a@x", "b@x"), ("a@x", "m@x"), ("m@x", "n@x")]
+    assert spark.table(f"{db}.mail_rejects").count() == 1
+
+
+def test_graph_files_with_other_ids_are_refused(spark, db, tmp_path):
+    jobs.load_mail(spark, db, mail_folder(tmp_path / "one", [("m@x", "n@x")]))
+    jobs.mail_to_json(spark, mail_folder(tmp_path / "two", [("a@x", "b@x")]), str(tmp_path / "json"))
+    with pytest.raises(ValueError, match="in the table"):
+        jobs.load_json(spark, db, str(tmp_path / "json"), multiline=False)

@@ -98,6 +98,13 @@ def test_person_ids_are_dense_over_many_partitions(spark):
     assert sorted(ids.values()) == list(range(1, 3701))
 
 
+def test_known_persons_keep_their_ids(spark):
+    known = spark.createDataFrame([(7, "m@x"), (9, "b@x")], "node_id long, email string")
+    rows = spark.createDataFrame([("a@x", "m@x"), ("z@x", "b@x")], "sender string, recipient string")
+    assert {r.email: r.node_id for r in person_dim(rows, known=known).collect()} == {"m@x": 7, "b@x": 9, "a@x": 10, "z@x": 11}
+    assert {r.email: r.node_id for r in person_dim(rows, known=known.limit(0)).collect()} == {"a@x": 1, "b@x": 2, "m@x": 3, "z@x": 4}
+
+
 def test_hot_key_is_spread(spark):
     facts = spark.range(1000).selectExpr("if(id % 3 = 0, 0, id) AS k", "id AS v")
     dim = spark.range(1000).selectExpr("id AS k", "id * 2 AS w")
@@ -180,12 +187,21 @@ def test_json_arrays(spark, tmp_path):
         (folder / f"path_1_person_static_props_{batch}.json").write_text(json.dumps([node, {**node, "node_id": 2 + batch}], indent=4))
         (folder / f"path_1_edges_static_props_{batch}.json").write_text(json.dumps([edge, loop, bad], indent=4))
     (folder / "readme.txt").write_text("x")
+    other = {**edge, "edge_id": "other", "target_id": 9}
+    (folder / "path_1_edges_dynamic_props_0.json").write_text(json.dumps([other]))
+    (folder / "warehouse" / "t").mkdir(parents=True)
+    for below in ("warehouse", "warehouse/t"):
+        (folder / below / "path_1_edges_static_props_7.json").write_text(json.dumps([other]))
+    dynamic = load_graph_json(spark, str(folder), prop_type="dynamic")
+    assert [r.edge_id for r in dynamic["edges"].collect()] == ["other"] and dynamic["nodes"].count() == 0
+    assert load_graph_json(spark, str(folder), elements=["none"])["edges"].count() == 0
     graph = load_graph_json(spark, str(folder))
     assert sorted(r.node_id for r in person_flatten(graph["nodes"]).collect()) == [1, 2, 3]
     flat = edge_flatten(graph["edges"]).select("edge_id", F.date_format("sent_at", "yyyy-MM-dd HH:mm").alias("t"))
     assert sorted(map(tuple, flat.collect())) == [("b", None), ("h", "2001-05-14 23:39")]
     listed = {r.name: r.kind for r in list_graph_files(spark, str(folder)).collect()}
-    assert listed == {f"path_1_{e}_static_props_{b}.json": k for b in (0, 1) for e, k in (("person", "nodes"), ("edges", "edges"))}
+    assert listed == {f"path_1_{e}_static_props_{b}.json": k for b in (0, 1) for e, k in (("person", "nodes"), ("edges", "edges"))} | {
+        "path_1_edges_dynamic_props_0.json": "edges"}
 
 
 def test_json_round_trip(spark, maildir, tmp_path):
