@@ -1,0 +1,95 @@
+import json
+
+from edgetide.llm import tool_calls as t
+
+SCHEMAS = {"search": {"type": "object", "required": ["q"], "additionalProperties": False, "properties": {
+    "q": {"type": "string", "minLength": 1, "maxLength": 10}, "n": {"type": "integer", "minimum": 1, "maximum": 5},
+    "tags": {"type": "array", "items": {"type": "string"}}, "mode": {"enum": ["a", "b"]}}}}
+COLUMNS = "conv_id long, turn long, role string, text string, depth int, status string"
+
+
+def call(i, args, after=None, name="search"):
+    return {"id": i, "name": name, "arguments": args, "after": after}
+
+
+def run(spark, messages):
+    rows = []
+    for conv, turn, role, body in messages:
+        text = body if isinstance(body, str) or body is None else json.dumps({"tool_calls": body} if isinstance(body, list) else body)
+        rows.append((conv, turn, role, text, 1, "x"))
+    linked = t.link(t.message_events(spark.createDataFrame(rows, COLUMNS)), SCHEMAS).collect()
+    return {(r.conv_id, r.kind, r.call_id): r for r in linked}, linked
+
+
+def result(i, content="fine"):
+    return {"tool_call_id": i, "content": content}
+
+
+def test_linking_order_and_canonical_lines(spark):
+    got, _ = run(spark, [
+        (1, 0, "user", "hello"), (1, 1, "assistant", [call("b", {"q": "é", "n": 2}, "a"), call("a", {"n": 1, "q": "x"})]),
+        (1, 2, "tool", result("a", {"z": 1, "y": [1, 2]})), (1, 3, "tool", result("b")), (2, 1, "assistant", [call("a", {"q": "y"})])])
+    assert {k: (r.status, r.depth, r.step, r.partner_turn) for k, r in got.items()} == {
+        (1, "call", "a"): ("ok", 0, 0, 2), (1, "result", "a"): ("ok", 0, 1, 1), (1, "call", "b"): ("ok", 1, 2, 3),
+        (1, "result", "b"): ("ok", 1, 3, 1), (2, "call", "a"): ("unanswered", 0, 0, None)}
+    assert got[1, "call", "b"].line == (
+        '{"role":"assistant","tool_calls":[{"function":{"arguments":{"n":2,"q":"é"},"name":"search"},"id":"b","type":"function"}]}')
+    assert got[1, "result", "a"].line == '{"content":{"y":[1,2],"z":1},"role":"tool","tool_call_id":"a"}'
+
+
+def test_statuses(spark):
+    got, rows = run(spark, [
+        (1, 0, "tool", result("early")), (1, 1, "assistant", [call("early", {"q": "x"}), call("long", {"q": "x" * 11}), call("none", {"q": "x"}, name="other"),
+                                                              call("lost", {"q": "x"}, "nowhere"), call("c1", {"q": "x"}, "c2"), call("c2", {"q": "x"}, "c1"),
+                                                              call("behind", {"q": "x"}, "c1"), call("text", "no json"), call(None, {"q": "x"})]),
+        (1, 2, "tool", result("ghost")), (1, 3, "assistant", [call("long", {"q": "again"})]), (1, 4, "assistant", "{not json"), (1, 5, "tool", None), (1, None, "tool", result("x"))])
+    status = {(k[1], k[2]): r.status for k, r in got.items() if k[2] != "long"}
+    assert status == {("result", "early"): "early", ("call", "early"): "ok", ("call", "none"): "invalid", ("call", "lost"): "orphan",
+                      ("call", "c1"): "cycle", ("call", "c2"): "cycle", ("call", "behind"): "cycle", ("call", "text"): "malformed",
+                      ("call", None): "malformed", ("result", "ghost"): "orphan"}
+    assert sorted(r.status for r in rows if r.call_id == "long") == ["duplicate", "invalid"]
+
+
+def test_repeated_rows_and_null_conversations(spark):
+    _, rows = run(spark, [(None, 1, "assistant", [call("a", {"q": "x"})]), (None, 2, "tool", result("a")), (None, 2, "tool", result("a"))])
+    assert sorted((r.kind, r.status) for r in rows) == [("call", "ok"), ("result", "ok"), ("result", "ok")]
+
+
+def test_schema_words():
+    v = lambda x: t.violations(x, SCHEMAS["search"])
+    assert v({"q": "a", "n": 5, "tags": ["x"], "mode": "b"}) == []
+    assert v({"n": 6, "tags": [1], "mode": "c", "more": 1}) == [
+        "$.q: missing", "$.more: unknown", "$.mode: not one of the values allowed", "$.n: out of range", "$.tags[0]: not string"]
+    assert v({"q": "", "n": True}) == ["$.n: not integer", "$.q: length"] and v([]) == ["$: not object"]
+
+
+def test_long_chain_takes_few_rounds(spark):
+    n = 300
+    calls = spark.createDataFrame([(1, f"c{i}", f"c{i - 1}" if i else None) for i in range(n)], "conv_id long, call_id string, after string")
+    from edgetide.llm.common import Scratch
+    got = {r.call_id: r.depth for r in t.depths(calls, Scratch(spark)).collect()}
+    assert got == {f"c{i}": i for i in range(n)}
+
+
+def test_whole_conversations_equal_brute_force(spark, sf):
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    rows = {(r.conv_id, r.turn): r for r in turns.collect()}
+    got = {(r.conv_id, r.turn): r for r in t.link(t.exchange_events(turns), {"reply": {"type": "object", "required": ["text"]}}).collect()}
+    assert set(got) == {k for k, r in rows.items() if r.role in ("user", "assistant")}
+    for (conv, turn), r in got.items():
+        at = turn if rows[conv, turn].role == "user" else turn - 1
+        asked = rows.get((conv, at))
+        if r.kind == "result" and (asked is None or asked.role != "user"):
+            assert r.status == "orphan"
+            continue
+        depth, back = 0, at
+        while (prior := rows.get((conv, back - 2))) is not None and prior.role == "user":
+            depth, back = depth + 1, back - 2
+        answer = rows.get((conv, at + 1))
+        want = "unanswered" if r.kind == "call" and (answer is None or answer.role != "assistant") else "ok"
+        assert (r.status, r.depth) == (want, depth)
+
+
+def test_empty_table(spark):
+    none = spark.createDataFrame([], COLUMNS)
+    assert t.link(t.message_events(none), SCHEMAS).count() == 0 and t.link(t.exchange_events(none), SCHEMAS).count() == 0
