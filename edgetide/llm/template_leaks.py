@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation (operator 4, DataFrame functions only).
 
-Texts become templates: numbers, names (a capitalised word inside a sentence) and units (after a number) are replaced
+Texts become templates: numbers, names (a capitalised word inside a sentence; words in capitals throughout are words) and units (after a number) are replaced
 by typed placeholders, all else is lower-cased words. Windows of ``WINDOW`` template words of the benchmark are hashed
 and joined with those of every document at every position. A document leaks an item if windows at consistent
 alignments cover ``COVERAGE`` of the item's windows. Consistent: where placeholders meet, equal values of the item
@@ -34,7 +34,7 @@ UNITS = ("mm cm dm m km in ft yd mi inch inches foot feet yard yards mile miles
 
 def tokens(text: Column) -> Column:
     """Words and numbers in lower case; names and units carry their mark."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"(\p{Lu})(?<=[\p{L}\p{N},;] .)", f"{NAME_MARK}$1")
+    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"(\p{Lu})(?=\p{Ll})(?<=[\p{L}\p{N},;] .)", f"{NAME_MARK}$1")
     units = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
     marked = F.regexp_replace(F.lower(marked), rf"([0-9] ?)(?=(?:{units})(?![\p{{L}}\p{{N}}]))", f"$1{UNIT_MARK}")
     return F.regexp_extract_all(
