@@ -9,12 +9,12 @@ as soon as its next arrival comes after every register has been taken, so most s
 2. Each member of a bucket is compared with the bucket's first one: a row per member, never a row per pair.
 3. Pairs whose signatures agree in ``PROMISING`` registers or more are verified on the full texts: a link is a
    probability Jaccard or a plain Jaccard similarity of ``SIMILARITY`` or more. Links make classes.
-4. Buckets that still hold several classes are compared whole, but only across classes, in blocks of ``BLOCK``
-   members: first the best pairs of each member and other class, verified and merged, then all that remain. A bucket
-   whose members are one class needs no more comparisons, so large groups of copies end after step 3.
+4. Buckets that still hold several classes are compared whole, in blocks: first by signature, which leaves the members
+   near to one of another class, then those by their texts. A task gives the links that join the classes of its
+   bucket, fewer than members, never all pairs. Buckets of one class, such as those of copies, end after step 3.
 
 With 24 bands of 4 registers a link at 0.8 misses every bucket with probability 3e-6, and falls below ``PROMISING``
-with less than 1e-4. Texts with fewer than five words have no shingles and are only joined by equality.
+with less than 4e-4. Texts with fewer than five words have no shingles and are only joined by equality.
 
 Defined results: null and empty texts are equal to their like only; a class is named after its smallest doc_id (null
 if all are null); repeated rows are members like any other; an empty table gives an empty table; extra columns are
@@ -35,8 +35,9 @@ from edgetide.llm.common import Scratch, broadcast_below, content_key, fresh
 
 SHINGLE, SIMILARITY = 5, 0.8
 REGISTERS, BANDS, ROWS = 96, 24, 4
-PROMISING = 0.64  # 0.8 less four standard deviations of 96 registers
-BLOCK = 2048
+PROMISING = 0.66  # 0.8 less 3.4 standard deviations of 96 registers
+BLOCK = 2048  # members of a block
+BLOCK_BYTES = 16 << 20
 BROADCAST_ROWS = 200_000  # at most so many keys are broadcast; more are joined by shuffle
 BATCH_ELEMENTS = 400_000
 SPACES = np.zeros(256, dtype=bool)
@@ -185,34 +186,98 @@ def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["a", "b"])
 
 
-def across(best: int | None):
-    """Pairs of two classes within a block pair of a bucket; with ``best`` only the closest of a member and other class."""
-    def pairs(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("node", ignore_index=True)
-        marks = np.frombuffer(b"".join(block["signature"]), np.uint8).reshape(-1, REGISTERS)
-        classes, inverse = np.unique(block["class"], return_inverse=True)
-        nodes, left, right = block["node"].to_numpy(), [], []
-        i_block, j_block = block["i"].iloc[0], block["j"].iloc[0]
-        mine = np.flatnonzero(block["part"] == i_block)
-        theirs = np.flatnonzero(block["part"] == j_block)
-        for k in mine:
-            others = theirs[inverse[theirs] != inverse[k]]
-            if i_block == j_block:
-                others = others[others > k] if best is None else others
-            agree = (marks[others] == marks[k]).mean(axis=1)
-            others, agree = others[agree >= PROMISING], agree[agree >= PROMISING]
-            if best is not None and len(others):
-                order = np.lexsort((-agree, inverse[others]))
-                sorted_class = inverse[others][order]
-                nth = np.arange(len(order)) - np.searchsorted(sorted_class, sorted_class)
-                others = others[order[nth < best]]
-            left.append(np.full(len(others), k))
-            right.append(others)
-        left, right = (np.concatenate(x) if x else np.empty(0, int) for x in (left, right))
-        low, high = np.minimum(left, right), np.maximum(left, right)
-        return pd.DataFrame({"a": nodes[low], "b": nodes[high]}).drop_duplicates()
-
-    return pairs
+def by_group(work):
+    """A ``mapInArrow`` function that hands whole groups of rows sorted by (bucket, i, j) to ``work(table, starts)``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            whole = pa.Table.from_batches([batch])
+            held = whole if held is None else pa.concat_tables([held, whole])
+            starts = _starts(held)
+            if len(starts) > 1:  # the last group may go on in the next batch
+                yield from work(held.slice(0, starts[-1]), starts[:-1])
+                held = held.slice(starts[-1])
+        if held is not None and held.num_rows:
+            yield from work(held, _starts(held))
+
+    return run
+
+
+def _starts(table: pa.Table) -> np.ndarray:
+    keys = np.stack([table.column(c).to_numpy() for c in ("bucket", "i", "j")])
+    return np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1)) if table.num_rows else np.empty(0, int)
+
+
+def _groups(table: pa.Table, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each group the rows of its one block and those of the other; the same array twice for a block on its own."""
+    part, i, j = (table.column(c).to_numpy() for c in ("part", "i", "j"))
+    for start, end in zip(starts, [*starts[1:], table.num_rows]):
+        own = np.arange(start, end)
+        yield (own, own) if i[start] == j[start] else (own[part[own] == i[start]], own[part[own] == j[start]])
+
+
+def _marks(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+    return marks, pd.factorize(np.array(table.column("class").to_pylist(), dtype=object))[0]
+
+
+def near_others(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(bucket, node) of the members whose signature agrees well enough with that of a member of another class."""
+    marks, classes = _marks(table)
+    found = np.zeros(table.num_rows, bool)
+    for mine, theirs in _groups(table, starts):
+        agree = np.zeros((len(mine), len(theirs)), np.uint8)
+        for r in range(REGISTERS):
+            agree += marks[mine, r][:, None] == marks[theirs, r][None, :]
+        good = (agree >= PROMISING * REGISTERS) & (classes[mine][:, None] != classes[theirs][None, :])
+        found[mine[good.any(axis=1)]] = True
+        found[theirs[good.any(axis=0)]] = True
+    for batch in table.select(["bucket", "node"]).filter(pa.array(found)).combine_chunks().to_batches():
+        yield batch
+
+
+def links_between(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(a, b): links that join all classes of a bucket that its members link, fewer than it has members.
+
+    Plain similarity is counted for a member and all others at once: its shingles are marked among all of the group,
+    and the marks within each other member are summed. Weighted similarity differs from it only where shingles repeat.
+    """
+    marks, classes = _marks(table)
+    nodes, texts = table.column("node").to_pylist(), table.column("text")
+    left, right = [], []
+    for mine, theirs in _groups(table, starts):
+        rows = np.unique(np.concatenate((mine, theirs)))
+        sets = [shingles(texts[int(r)].as_py()) for r in rows]
+        sizes = np.array([len(h) for h, _ in sets])
+        repeats = np.array([c.max() > 1 for _, c in sets])
+        ids = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)[1]
+        offsets = np.concatenate(([0], np.cumsum(sizes)))
+        marked, label = np.zeros(ids.max() + 1, bool), classes[rows].copy()
+        one, two = np.searchsorted(rows, mine), np.searchsorted(rows, theirs)
+        for x in one:
+            others = two[label[two] != label[x]]
+            if mine is theirs:
+                others = others[others > x]
+            if not len(others):
+                continue
+            own = ids[offsets[x]:offsets[x + 1]]
+            marked[own] = True
+            if 4 * len(others) > len(rows):
+                shared = np.add.reduceat(marked[ids], offsets[:-1], dtype=np.int64)[others]
+            else:
+                shared = np.array([marked[ids[offsets[y]:offsets[y + 1]]].sum() for y in others])
+            marked[own] = False
+            linked = shared >= (SIMILARITY - 1e-12) * (sizes[x] + sizes[others] - shared)
+            for k in np.flatnonzero(~linked & (repeats[others] | repeats[x])):
+                if (marks[rows[others[k]]] == marks[rows[x]]).mean() >= PROMISING:
+                    linked[k] = probability_jaccard(sets[x], sets[others[k]])[0] >= SIMILARITY - 1e-12
+            for y in others[linked]:
+                if label[y] != label[x]:
+                    label[label == label[y]] = label[x]
+                    left.append(nodes[rows[x]])
+                    right.append(nodes[rows[y]])
+    if left:
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
 
 
 def components(nodes: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -266,22 +331,33 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tested = scratch.save(_verified(stars, texts_of), "tested-0")
     found = scratch.save(components(nodes, tested.filter("linked"), scratch, "star-links"), "classes-0")
 
-    for turn, best in enumerate((2, None), 1):
-        placed = members.select("bucket", "n", "node").join(found, "node")
-        mixed = placed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("bucket")
-        parts = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-        split = placed.join(mixed, "bucket", "left_semi").join(signed, "node").withColumn("parts", parts).withColumn(
-            "part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
-        # a member goes to each pair of blocks that its own is one of
-        dealt = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-            "bucket", "node", "signature", "class", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-        pairs = dealt.groupBy("bucket", "i", "j").applyInPandas(across(best), PAIR).distinct().join(tested, ["a", "b"], "left_anti")
-        more = scratch.save(_verified(pairs, texts_of), f"tested-{turn}")
-        tested = tested.unionByName(more)
-        found = scratch.save(components(nodes, tested.filter("linked"), scratch, f"links-{turn}"), f"classes-{turn}")
+    links = tested.filter("linked").select("a", "b")
+    placed = members.select("bucket", "node").join(found, "node")
+    mixed = placed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("bucket")
+    near = scratch.save(_dealt(placed.join(mixed, "bucket", "left_semi").join(signed, "node").withColumn("bytes", F.lit(0)), scratch, "mixed").mapInArrow(
+        by_group(near_others), "bucket long, node binary").distinct(), "near")
+    with_texts = near.join(found, "node").join(signed, "node").join(texts_of, "node").withColumn("bytes", F.octet_length("text"))
+    more = scratch.save(_dealt(with_texts, scratch, "near-texts").mapInArrow(by_group(links_between), PAIR).distinct(), "links")
+    found = scratch.save(components(nodes, links.unionByName(more), scratch, "all-links"), "classes-1")
     return rows.select("doc_id", "key"), texts.select("node", "doc_id").join(found, "node")
 
 
+def _dealt(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Rows of buckets, sorted by pairs of blocks (bucket, i, j): a member goes to each pair that its block is one of.
+
+    A block has about ``BLOCK`` members or ``BLOCK_BYTES`` of text at most, so that a task holds two of them.
+    """
+    parts = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("parts")
+    counts = rows.groupBy("bucket").agg(parts)
+    large = scratch.save(counts.filter("parts > 1"), f"{name}-large")
+    # nearly all buckets are one block; the others are looked up
+    split = rows.drop("bytes").join(broadcast_below(large, BROADCAST_ROWS), "bucket", "left").withColumn(
+        "parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    each = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return each.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("other", "parts").repartition(
+        "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+
+
 def _texts_of(wanted: DataFrame, docs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, text) for the wanted nodes: the one text of each is read from its row of the smallest doc_id."""
     named = scratch.save(wanted.join(texts.select("node", F.col("doc_id").alias("least")), "node"), "wanted")
