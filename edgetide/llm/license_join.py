@@ -1,7 +1,8 @@
 """License scans by an exact set-similarity join (operator 10, DataFrame functions only).
 
-A block is a line of a text, a template a known license sentence; both are sets of words. Every block that contains at
-least ``CONTAINMENT`` of a template's words is found. With c words needed out of a template's n, and words ordered by
+A block is a line of a text, or a window of neighbouring words as long as the template, whatever line breaks are inside
+(notices are mostly wrapped); a template is a known license sentence. Both are sets of words. Every block that contains
+at least ``CONTAINMENT`` of a template's words is found. With c words needed out of a template's n, and words ordered by
 how rare they are in the whole corpus, rarest first:
 
 * prefix: such a block has one of the template's first n - c + 1 words, so only lines with one of these go on;
@@ -9,7 +10,8 @@ how rare they are in the whole corpus, rarest first:
 * position: a first common word at place i of the template and j of the block leaves at most
   1 + min(words after i, words after j) common words, which must reach c.
 
-What passes is verified word by word. Besides, the places of the base phrases are counted in every text.
+What passes is verified word by word. Windows are only looked at around the prefix words, in texts of several lines:
+those of a single line have no word that the line has not. Besides, the places of the base phrases are counted in every text.
 
 Defined results: a null text counts as an empty one; repeated rows are scanned one by one; a text without license has
 null places, empty labels and a score of 0; an empty table gives an empty table.
@@ -57,10 +59,11 @@ def lower_words(text: Column) -> Column:
 
 
 def template_words(spark: SparkSession) -> DataFrame:
-    """(template, label, word): the different words of each template, a table as small as the list above."""
+    """(template, label, length, word): the different words of each template, a table as small as the list above."""
     templates = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(TEMPLATES)],
                                       "template int, label string, text string")
-    return templates.select("template", "label", F.explode(F.array_distinct(lower_words(F.col("text")))).alias("word"))
+    return templates.select("template", "label", F.size(lower_words(F.col("text"))).alias("length"),
+                            F.explode(F.array_distinct(lower_words(F.col("text")))).alias("word"))
 
 
 def ordered_templates(spark: SparkSession, docs: DataFrame) -> tuple[list[dict], list[str]]:
@@ -78,20 +81,26 @@ def ordered_templates(spark: SparkSession, docs: DataFrame) -> tuple[list[dict],
     for i, (label, _) in enumerate(TEMPLATES):
         own = {r["word"] for r in listed if r["template"] == i}
         templates.append({"template": i, "label": label, "words": [w for w in vocabulary if w in own],
-                          "needed": math.ceil(CONTAINMENT * len(own) - 1e-9)})
+                          "needed": math.ceil(CONTAINMENT * len(own) - 1e-9),
+                          "length": next(r["length"] for r in listed if r["template"] == i)})
     return templates, vocabulary
 
 
-def block_matches(docs: DataFrame, templates: list[dict], vocabulary: list[str]) -> DataFrame:
-    """(doc_id, key, line, template, label, containment) for every block at or above the threshold."""
-    spark = docs.sparkSession
+def prefixes(spark: SparkSession, templates: list[dict]) -> tuple[DataFrame, DataFrame, list[str], str]:
+    """(word, place, template) and (template, label, words, needed, length); the prefix words and what finds one in a text."""
     prefix = [(w, i, t["template"]) for t in templates for i, w in enumerate(t["words"][:len(t["words"]) - t["needed"] + 1])]
     starts = spark.createDataFrame(prefix, "word string, place int, template int")
-    whole = spark.createDataFrame([(t["template"], t["label"], t["words"], t["needed"]) for t in templates],
-                                  "template int, label string, words array<string>, needed int")
-    wanted = "|".join(sorted({w for w, _, _ in prefix}))
+    whole = spark.createDataFrame([(t["template"], t["label"], t["words"], t["needed"], t["length"]) for t in templates],
+                                  "template int, label string, words array<string>, needed int, length int")
+    wanted = sorted({w for w, _, _ in prefix})
     letter = r"[0-9a-z\x{80}-\x{10FFFF}]"
-    worth = f"(?i)(?<!{letter})(?:{wanted})(?!{letter})"  # a prefix word, as a whole word and in any case
+    # a prefix word, as a whole word and in any case
+    return starts, whole, wanted, f"(?i)(?<!{letter})(?:{'|'.join(wanted)})(?!{letter})"
+
+
+def block_matches(docs: DataFrame, templates: list[dict], vocabulary: list[str]) -> DataFrame:
+    """(doc_id, key, line, template, label, containment) for every line at or above the threshold."""
+    starts, whole, _, worth = prefixes(docs.sparkSession, templates)
     lines = docs.filter(F.col("text").rlike(worth)).select(
         "doc_id", text_key(F.col("text")).alias("key"), F.posexplode(F.split("text", "\n")).alias("line", "block")).filter(
         F.col("block").rlike(worth))
@@ -110,6 +119,25 @@ def block_matches(docs: DataFrame, templates: list[dict], vocabulary: list[str])
         "doc_id", "key", "line", "template", "label", (F.col("overlap") / F.size("words")).alias("containment"))
 
 
+def window_matches(docs: DataFrame, templates: list[dict]) -> DataFrame:
+    """(doc_id, key, template, label, containment) for texts of several lines, by the best window around a prefix word."""
+    starts, whole, wanted, worth = prefixes(docs.sparkSession, templates)
+    far = max(t["length"] for t in templates) - 1
+    texts = docs.filter(F.contains("text", F.lit("\n")) & F.col("text").rlike(worth)).select(
+        "doc_id", text_key(F.col("text")).alias("key"), lower_words(F.col("text")).alias("w"))
+    spots = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).isin(wanted))
+    # the words that a window with the prefix word can have, and its place among them
+    around = F.transform(spots, lambda i: F.struct(F.get("w", i).alias("word"), F.least(i, F.lit(far)).alias("at"), F.slice(
+        "w", F.greatest(i - far, F.lit(0)) + 1, F.lit(2 * far + 1)).alias("near")))
+    pairs = texts.select("doc_id", "key", F.inline(around)).join(
+        F.broadcast(starts), "word").join(F.broadcast(whole), "template")
+    likely = pairs.filter(F.size(F.array_intersect("words", "near")) >= F.col("needed"))
+    overlaps = F.transform(F.sequence(F.greatest(F.col("at") - F.col("length") + 1, F.lit(0)), F.col("at")),
+                           lambda s: F.size(F.array_intersect("words", F.slice("near", s + 1, F.col("length")))))
+    return likely.withColumn("overlap", F.array_max(overlaps)).filter("overlap >= needed").select(
+        "doc_id", "key", "template", "label", (F.col("overlap") / F.size("words")).alias("containment"))
+
+
 def places(words: Column, phrase: list[str]) -> Column:
     """Where the words of a phrase stand one after the other."""
     def starts(i: Column) -> Column:
@@ -138,7 +166,9 @@ def scan(docs: DataFrame) -> DataFrame:
     base = base.withColumn("hits", F.when(F.size("w") > 0, hits)).select(
         "doc_id", "key", "n_words", F.coalesce(F.flatten("hits.at"), F.array().cast("array<int>")).alias("at"),
         F.coalesce(F.col("hits.label"), F.array().cast("array<string>")).alias("base"))
-    found = scratch.save(block_matches(docs, *ordered_templates(spark, docs)).groupBy("doc_id", "key").agg(
+    templates, vocabulary = ordered_templates(spark, docs)
+    blocks = block_matches(docs, templates, vocabulary).drop("line").unionByName(window_matches(docs, templates))
+    found = scratch.save(blocks.groupBy("doc_id", "key").agg(
         F.collect_set("label").alias("found"), F.max("containment").alias("score")), "found")
     same = F.col("b.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("b.key") == F.col("f.key"))
     joined = base.alias("b").join(found.alias("f"), same, "left")

@@ -68,3 +68,29 @@ def test_edge_rows(edge_docs, no_docs):
 def test_other_thresholds(spark, monkeypatch, threshold):
     monkeypatch.setattr(j, "CONTAINMENT", threshold)
     check(spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string"))
+
+
+def wrapped(template, at):
+    w = template.split()
+    return " * " + " ".join(w[:at]) + "\n * " + " ".join(w[at:])
+
+
+def test_notices_wrapped_over_lines_are_found(spark):
+    mit, bsd = (next(t for label, t in j.TEMPLATES if label == name and len(t) > 60) for name in ("mit", "bsd-3-clause"))
+    texts = [
+        "Copyright\n\n" + wrapped(mit, 13) + ", to deal\nin it", wrapped(bsd, 10), bsd.replace(" ", "\r\n"), "x " * 3000 + "\n" + wrapped(bsd.upper(), 10) + "\ny" * 3000,
+        "\n".join(reversed(bsd.split())), " a\nb ".join(bsd.split()), "\n".join(bsd.split()[:16]), "\n".join(bsd.split()[:17]),
+    ]
+    got = {r.doc_id: (r.labels, r.score) for r in j.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+    def best(text, template):
+        own, w = set(words(template)), words(text)
+        n = len(words(template))
+        blocks = [words(x) for x in text.split("\n")] + [w[i:i + n] for i in range(max(1, len(w) - n + 1))]
+        return max(len(own & set(x)) / len(own) for x in blocks)
+
+    for i, text in enumerate(texts):
+        shares = [(best(text, t), label) for label, t in j.TEMPLATES]
+        want = {label for share, label in shares if share >= j.CONTAINMENT - 1e-9}
+        assert got[i] == (",".join(sorted(want)), max([s for s, _ in shares if s >= j.CONTAINMENT - 1e-9], default=0.0))
+    assert [got[i][0] for i in range(8)] == ["mit", *["bsd-3-clause"] * 4, "", "", "bsd-3-clause"]
