@@ -1,14 +1,16 @@
 """Benchmark decontamination by template canonicalisation (operator 4, DataFrame functions only).
 
 Texts become templates: numbers, names (a capitalised word inside a sentence; words in capitals throughout are words) and units (after a number) are replaced
-by typed placeholders, all else is lower-cased words. Windows of ``WINDOW`` template words of the benchmark are hashed
-and joined with those of every document at every position. A document leaks an item if windows at consistent
+by typed placeholders, all else is lower-cased words. What is a name depends on its case, so there is a second, literal
+template: all words lower-cased, with their values. Windows of ``WINDOW`` words of the benchmark are hashed in both
+forms and joined with those of every document, in both forms, at every position; one of the two is enough. A document leaks an item if windows at consistent
 alignments cover ``COVERAGE`` of the item's windows. Consistent: where placeholders meet, equal values of the item
 stand for equal values of the document and the other way round, so a question asked again with other numbers or names
 is found, and one that only looks alike is not.
 
 Items shorter than a window are looked up as a whole, down to ``SHORTEST`` words. Windows with fewer than ``LITERALS``
-words outside placeholders say nothing and are left out; an item that has no others cannot be found.
+words outside placeholders say nothing and are left out. An item that has no others is looked up in literal form only,
+by its windows with ``LITERALS`` words that are no numbers; if it has none of these either, it cannot be found.
 
 Defined results: null and empty texts leak nothing; repeated rows and texts all leak; equal benchmark items are all
 reported; empty tables give empty results; extra columns are carried along by ``clean``.
@@ -34,7 +36,7 @@ UNITS = ("mm cm dm m km in ft yd mi inch inches foot feet yard yards mile miles
 
 def tokens(text: Column) -> Column:
     """Words and numbers in lower case; names and units carry their mark."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"(\p{Lu})(?=\p{Ll})(?<=[\p{L}\p{N},;] .)", f"{NAME_MARK}$1")
+    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"(\p{Lu})(?=\p{Ll})(?<=[\p{L}\p{N},;]\s{1,4}.)", f"{NAME_MARK}$1")
     units = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
     marked = F.regexp_replace(F.lower(marked), rf"([0-9] ?)(?=(?:{units})(?![\p{{L}}\p{{N}}]))", f"$1{UNIT_MARK}")
     return F.regexp_extract_all(
@@ -52,21 +54,38 @@ def token_hashes(words: Column) -> Column:
                        .when(x.startswith(UNIT_MARK), F.lit(2).cast("long")).otherwise(F.lit(3).cast("long")))
 
 
+def literal_hashes(words: Column) -> Column:
+    """A hash for each word or number as it is, whether or not it is a name or a unit."""
+    return F.transform(words, lambda x: F.xxhash64(F.translate(x, NAME_MARK + UNIT_MARK, "")))
+
+
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, n, size, at, hash, words, slots): the telling windows of each item, n of them."""
+    """(item_id, n, size, slots, words, at, hash, typed): the telling windows of each item, n of them, in literal form
+    and, where that is another, in typed form."""
     items = benchmark.select("item_id", tokens(F.col("text")).alias("words")).filter(F.size("words") >= SHORTEST)
-    items = items.withColumn("hashes", token_hashes(F.col("words"))).withColumn("size", F.least(F.size("words"), F.lit(WINDOW)))
+    items = items.withColumns({"hashes": token_hashes(F.col("words")), "literals": literal_hashes(F.col("words")),
+                               "size": F.least(F.size("words"), F.lit(WINDOW))})
     at = F.sequence(F.lit(0), F.size("words") - F.col("size"))
-    # hashes of words are 64-bit numbers, below 0 for half of them: only 1, 2 and 3 are placeholders
-    literal = F.transform(at, lambda i: F.struct(i.alias("at"), F.size(F.filter(
-        F.slice("hashes", i + 1, F.col("size")), lambda h: ~h.between(1, 3))).alias("n")))
-    telling = F.transform(F.filter(literal, lambda x: x["n"] >= LITERALS), lambda x: x["at"])
-    sized = F.when(F.col("size") == WINDOW, window_hashes(F.col("hashes"), WINDOW))
-    for size in range(SHORTEST, WINDOW):
-        sized = sized.when(F.col("size") == size, window_hashes(F.col("hashes"), size))
-    items = items.withColumn("windows", sized).withColumn("telling", telling)
-    return items.select("item_id", F.size("telling").alias("n"), "size", F.exists("words", is_slot).alias("slots"), "words",
-                        "windows", F.explode("telling").alias("at")).withColumn("hash", F.get("windows", F.col("at"))).drop("windows")
+
+    def telling(says) -> Column:
+        return F.filter(at, lambda i: F.size(F.filter(F.slice("words", i + 1, F.col("size")), says)) >= LITERALS)
+
+    def sized(hashes: str) -> Column:
+        found = F.when(F.col("size") == WINDOW, window_hashes(F.col(hashes), WINDOW))
+        for size in range(SHORTEST, WINDOW):
+            found = found.when(F.col("size") == size, window_hashes(F.col(hashes), size))
+        return found
+
+    items = items.withColumns({"typed": telling(lambda x: ~is_slot(x)), "literal": telling(lambda x: ~x.between("0", ":"))})
+    items = items.select("item_id", "size", F.exists("words", is_slot).alias("slots"), "words", sized("hashes").alias("typed_windows"),
+                         sized("literals").alias("literal_windows"), (F.size("typed") > 0).alias("told"),
+                         F.when(F.size("typed") > 0, F.col("typed")).otherwise(F.col("literal")).alias("telling"))
+    each = items.withColumn("n", F.size("telling")).withColumn("at", F.explode("telling"))
+    one, two = F.get("literal_windows", F.col("at")), F.get("typed_windows", F.col("at"))
+    forms = F.when(F.col("told") & (one != two), F.array(
+        F.struct(one.alias("hash"), F.lit(False).alias("typed")), F.struct(two.alias("hash"), F.lit(True).alias("typed")))).otherwise(
+        F.array(F.struct(one.alias("hash"), F.lit(False).alias("typed"))))
+    return each.select("item_id", "n", "size", "slots", "words", "at", F.inline(forms))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -77,20 +96,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     windows = scratch.save(item_windows(benchmark), "items")
     sizes = [r["size"] for r in windows.groupBy("size").agg(F.count(F.lit(1)).alias("rows")).collect()]  # at most WINDOW
-    lookup = scratch.save(windows.select("hash", "size", "item_id", "at", "n", "slots"), "lookup")
+    lookup = scratch.save(windows.select("hash", "size", "item_id", "at", "n", "slots", "typed"), "lookup")
     lookup = broadcast_below(lookup, BROADCAST_ROWS)
 
     hashed = docs.select("doc_id", content_key(F.col("text")).alias("key"), tokens(F.col("text")).alias("words")).select(
-        "doc_id", "key", token_hashes(F.col("words")).alias("hashes"))
+        "doc_id", "key", token_hashes(F.col("words")).alias("hashes"), literal_hashes(F.col("words")).alias("literals"))
     hits = None
     for size in sizes or [WINDOW]:
-        found = hashed.select("doc_id", "key", F.posexplode(window_hashes(F.col("hashes"), size)).alias("pos", "hash")).join(
-            lookup.filter(F.col("size") == size), "hash").select(
-            "doc_id", "key", "item_id", "at", "n", "slots", (F.col("pos") - F.col("at")).alias("shift"))
+        both = F.arrays_zip(window_hashes(F.col("literals"), size).alias("one"), window_hashes(F.col("hashes"), size).alias("two"))
+        forms = hashed.select("doc_id", "key", F.posexplode(both).alias("pos", "w")).select(
+            "doc_id", "key", "pos", F.explode(F.array_distinct(F.array("w.one", "w.two"))).alias("hash"))
+        found = forms.join(lookup.filter(F.col("size") == size), "hash").select(
+            "doc_id", "key", "item_id", "at", "n", "slots", "typed", (F.col("pos") - F.col("at")).alias("shift"))
         hits = found if hits is None else hits.unionByName(found)
     # repeated rows hit the same windows again, hence sets; a set has at most the windows of an item
-    aligned = hits.groupBy("doc_id", "key", "item_id", "n", "slots", "shift").agg(F.collect_set("at").alias("at"))
-    matched = aligned.groupBy("doc_id", "key", "item_id", "n", "slots").agg(F.collect_list(F.struct("shift", "at")).alias("found"))
+    aligned = hits.groupBy("doc_id", "key", "item_id", "n", "slots", "typed", "shift").agg(F.collect_set("at").alias("at"))
+    matched = aligned.groupBy("doc_id", "key", "item_id", "n", "slots").agg(F.collect_list(F.struct("typed", "shift", "at")).alias("found"))
     covered = F.size(F.array_distinct(F.flatten("found.at"))) / F.col("n")
     likely, seen = scratch.save_counted(matched.withColumn("coverage", covered).filter(F.col("coverage") >= COVERAGE), "likely",
                                         F.count_if("slots").alias("slotted"))
@@ -102,7 +123,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def check_slots(likely: DataFrame, docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(key, item_id, coverage, slots, changed) over the alignments whose placeholders are consistent."""
+    """(key, item_id, coverage, slots, changed) over the alignments whose placeholders are consistent, as literal ones are."""
     items = windows.groupBy("item_id").agg(F.first("words").alias("asked"), F.first("size").alias("size"))
     texts = docs.select(content_key(F.col("text")).alias("key"), "text").join(
         likely.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]).select("key", tokens(F.col("text")).alias("words"))
@@ -110,7 +131,7 @@ def check_slots(likely: DataFrame, docs: DataFrame, windows: DataFrame) -> DataF
     places = F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(i, i + F.col("size") - 1))))
     slots = F.filter(places, lambda p: is_slot(F.get("asked", p)))
     pairs = F.array_distinct(F.transform(slots, lambda p: F.struct(
-        F.get("asked", p).alias("asked"), F.get("words", p + F.col("shift")).alias("given"))))
+        F.get("asked", p).alias("asked"), F.when(F.col("typed"), F.get("words", p + F.col("shift"))).otherwise(F.get("asked", p)).alias("given"))))
     aligned = aligned.select("key", "item_id", "n", "at", pairs.alias("pairs"))
     consistent = (F.size(F.array_distinct("pairs.asked")) == F.size("pairs")) & (F.size(F.array_distinct("pairs.given")) == F.size("pairs"))
     changed = F.size(F.filter("pairs", lambda x: x["asked"] != x["given"]))

@@ -67,3 +67,13 @@ def test_whole_table_equals_brute_force(spark, sf):
     own = {r.doc_id: windows(r.text) for r in docs.collect()}
     want = {(d, r.item_id) for r in bench.collect() for d, w in own.items() if windows(r.text) and 2 * len(windows(r.text) & w) >= len(windows(r.text))}
     assert want and {(r.doc_id, r.item_id) for r in t.leaks(docs, bench).collect()} == want
+
+
+def test_copies_in_another_case_or_with_line_breaks_are_found(spark):
+    broken = ITEM.replace(" London", "\nLondon").replace(" Oxford", "\r\n  Oxford")
+    german = "Der Zug verlässt den Bahnhof der Stadt Bremen um 9 Uhr und fährt über Land bis zum Hafen von Emden an der Küste"
+    names = "Anna Berta Clara Dora Emma Frieda Greta Hanna Ida 7"
+    texts = [ITEM.lower(), ITEM.upper(), broken, german.lower(), german.upper(), german, "so " + names.lower(), names.replace("7", "8").upper(), "anna berta"]
+    got = found(spark, texts, items=((1, ITEM), (2, german), (3, names)))
+    assert set(got) == {(0, 1), (1, 1), (2, 1), (3, 2), (4, 2), (5, 2), (6, 3), (7, 3)}
+    assert all(r.coverage == 1 and r.changed == 0 for k, r in got.items() if k != (7, 3))
