@@ -8,8 +8,9 @@ tasks that failed or ran twice are never read.
 Reading: an archive is cut into byte ranges and each range is a row, so one large archive is read by many tasks. A task
 looks for the gzip magic in its range and on to the end of a record that starts inside. Magic bytes also occur by
 chance within compressed data, so each candidate is tried: it is a record only if it inflates and begins with a WARC
-version line and headers whose Content-Length fits. After a record the search goes on behind it; a range owns exactly
-the records that start inside, whatever its length.
+version line and headers of any length whose Content-Length fits. After a record the search goes on behind it; a range owns exactly
+the records that start inside, whatever its length. The writer leaves no gaps, so a range also checks that its records
+follow each other, and that another one begins where its last one ends: a record that cannot be read raises.
 
 A range may start within a record, where the data can hold by chance a candidate that inflates to a valid WARC header
 (a WARC file stored as a payload is compressed again by its member, so its own magic does not show). The odds of that
@@ -38,7 +39,6 @@ from edgetide.llm.common import Scratch
 MAGIC = b"\x1f\x8b\x08"
 RANGE_BYTES = 8 << 20
 READ_BYTES = 1 << 20
-HEADER_BYTES = 1 << 16
 ARCHIVE_BYTES = 1 << 30
 MANIFEST = "path string, length long, records long"
 RECORD = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary, offset long"
@@ -125,7 +125,7 @@ def inflate(window: Window, offset: int) -> tuple[bytes, int] | None:
         except zlib.error:
             return None
         used += len(piece) - len(tool.unused_data)
-        if not b"WARC/".startswith(bytes(content[:5])) or (len(content) > HEADER_BYTES and b"\r\n\r\n" not in content[:HEADER_BYTES]):
+        if not b"WARC/".startswith(bytes(content[:5])):
             return None
     return bytes(content), window.at + used
 
@@ -162,11 +162,17 @@ def records_in(file, size: int, start: int, end: int) -> Iterator[tuple[int, dic
         if record is None:
             offset += 1
         else:
-            yield offset, record
+            yield offset, record | {"end": member[1]}
             offset = member[1]
             window.forget(offset)
 
 
+def begins(file, size: int, offset: int) -> bool:
+    """Whether a whole record begins at an offset."""
+    member = inflate(Window(file, offset, size), offset)
+    return member is not None and parse(member[0]) is not None
+
+
 def _page(text: str | None) -> int | None:
     number = (text or "").removeprefix("<urn:page:").removesuffix(">")
     return int(number) if number else None
@@ -179,9 +185,12 @@ def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in batch.to_pylist():
             system, path = _open(part["path"])
-            rows, held = [], 0
+            rows, held, due = [], 0, None if part["start"] else 0
             with system.open_input_file(path) as file:
                 for offset, record in records_in(file, part["length"], part["start"], part["end"]):
+                    if due is not None and offset != due:
+                        raise ValueError(f"{part['path']} at {due}: no record can be read")
+                    due = record["end"]
                     digest, block = record["warc-payload-digest"].removeprefix("sha1:"), record["block"]
                     if record["warc-type"] == "response" and digest_of(block) != digest:
                         raise ValueError(f"{part['path']} at {offset}: the payload does not fit its digest")
@@ -193,6 +202,8 @@ def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if held > READ_BYTES:
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)
                         rows, held = [], 0
+                if due is not None and due < part["length"] and not begins(file, part["length"], due):
+                    raise ValueError(f"{part['path']} at {due}: no record can be read")
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 

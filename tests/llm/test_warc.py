@@ -62,3 +62,19 @@ def test_a_damaged_payload_is_noticed(spark, tmp_path):
     manifest = spark.createDataFrame([(f"file://{tmp_path}/x.warc.gz", (tmp_path / "x.warc.gz").stat().st_size)], "path string, length long")
     with pytest.raises(Exception, match="does not fit its digest"):
         w.read_archives(manifest).collect()
+
+
+@pytest.mark.parametrize("range_bytes", [500, 10**9])
+def test_long_urls_are_read_and_missing_records_are_noticed(spark, tmp_path, range_bytes):
+    url = "data:text/plain," + random.Random(1).randbytes(150_000).hex()
+    rows = [(1, "u1", "one"), (2, url, "two"), (3, url, "two"), (4, "u4", "four")]
+    scratch = Scratch(spark)
+    manifest = w.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), scratch.path("archives"), scratch)
+    got = w.read_archives(manifest, range_bytes).collect()
+    assert sorted((r.page_id, r.url) for r in got) == [r[:2] for r in rows]
+    data, starts = archive([b"one", b"two", b"three"])
+    for at in starts:
+        path = tmp_path / f"{at}.warc.gz"
+        path.write_bytes(data[:at] + b"\0" + data[at + 1:])
+        with pytest.raises(Exception, match="no record can be read"):
+            w.read_archives(spark.createDataFrame([(f"file://{path}", len(data))], "path string, length long"), range_bytes).collect()
