@@ -59,8 +59,8 @@ REPLY_SCHEMA = {"type": "object", "required": ["text", "turn"], "additionalPrope
 
 
 def q_op5_tool_calls(spark: SparkSession, d: str) -> DataFrame:
-    """Whole conversations as calls of a reply tool: a row for every user and assistant turn."""
-    return tool_calls.link(tool_calls.exchange_events(table(spark, d, "conversations")), {"reply": REPLY_SCHEMA})
+    """Whole conversations, user turns as calls of a reply tool: a row for every turn, whatever its role."""
+    return tool_calls.link(tool_calls.exchange_events(table(spark, d, "conversations"), whole=True), {"reply": REPLY_SCHEMA})
 
 
 # In production the key comes from a secret store; the queries need one that reruns agree on.

@@ -2,7 +2,8 @@
 
 Events are calls and results of tools within conversations. Calls and results meet in a hash join on (conversation,
 identifier), calls are ordered by what they come after, their arguments are validated against the tool's schema, and
-every event is serialised as canonical JSON (sorted keys, no blanks, UTF-8 as it is).
+every event is serialised as canonical JSON (sorted keys, no blanks, UTF-8 as it is). With ``whole=True`` turns that make
+no call or result are events of kind ``message``, which have a line and a status, but no place in the order.
 
 Everything is a row per event: no conversation is ever gathered in one place, so one that holds a third of all turns
 is dealt like the rest. A call names at most one call it comes after, so the order is a forest; depths are found by
@@ -11,7 +12,8 @@ pointer doubling in log2(longest chain) joins. Calls on a cycle, or behind one,
 Status of an event, the first that applies:
 
 ================= ====================================================================================
-malformed         a call or result without identifier, or whose arguments are no JSON object
+malformed         a call or result without identifier, or whose arguments are no JSON object; a message of an
+                  assistant that is broken JSON or whose calls cannot be read
 duplicate         not the first event of its kind with its identifier, by (turn, position)
 cycle             a call that comes after itself over any number of calls, and its result
 orphan            a result without call, or a call that comes after one that does not exist
@@ -21,7 +23,7 @@ early             a result that stands before its call
 ok                all else
 ================= ====================================================================================
 
-Defined results: null texts, roles and turns make no event of ``message_events``; a null conv_id is a conversation of
+Defined results: null texts, roles and turns make no call or result, and a message with ``whole=True``; a null conv_id is a conversation of
 its own; repeated rows are duplicates of each other; empty tables give empty tables.
 """
 
@@ -69,48 +71,70 @@ def violations(value, schema: dict, path: str = "$") -> list[str]:
     return found
 
 
-def message_events(messages: DataFrame) -> DataFrame:
+def message_events(messages: DataFrame, whole: bool = False) -> DataFrame:
     """Events of messages (conv_id, turn, role, text) whose texts are JSON.
 
     An assistant message holds {"tool_calls": [{"id", "name", "arguments", "after"}, ...]}, a tool message
-    {"tool_call_id", "content"}; other texts are no events.
+    {"tool_call_id", "content"}; other texts are no events, or with ``whole`` events of kind ``message``.
     """
     def events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [event for row in batch.to_pylist() for event in _message(row)]
+            rows = [event for row in batch.to_pylist() for event in _message(row, whole)]
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
-    said = messages.filter(F.col("role").isin("assistant", "tool") & F.col("turn").isNotNull() & F.ltrim("text").startswith("{"))
-    return said.select("conv_id", "turn", "role", "text").mapInArrow(events, MESSAGE_SCHEMA)
+    said = F.coalesce(F.col("role").isin("assistant", "tool") & F.col("turn").isNotNull() & F.ltrim("text").startswith("{"), F.lit(False))
+    found = messages.filter(said).select("conv_id", "turn", "role", "text").mapInArrow(events, MESSAGE_SCHEMA)
+    return found.unionByName(_plain(messages.filter(~said))) if whole else found
+
+
+def _plain(turns: DataFrame) -> DataFrame:
+    """Turns as events of kind ``message``: their role stands in ``tool``, their text in ``body``."""
+    none = F.lit(None).cast("string")
+    return turns.select(
+        "conv_id", F.col("turn").cast("long").alias("turn"), F.lit(0).alias("position"), F.lit("message").alias("kind"),
+        none.alias("call_id"), F.col("role").alias("tool"), F.col("text").alias("body"), none.alias("after"))
 
 
 _ARROW = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("position", pa.int32()), ("kind", pa.string()),
                     ("call_id", pa.string()), ("tool", pa.string()), ("body", pa.string()), ("after", pa.string())])
 
 
-def _message(row: dict) -> list[dict]:
+def _message(row: dict, whole: bool) -> list[dict]:
+    base = {"conv_id": row["conv_id"], "turn": row["turn"]}
+    plain = {"kind": "message", "call_id": None, "tool": row["role"], "body": row["text"], "after": None}
     try:
         said = json.loads(row["text"])
     except ValueError:
-        return []
-    base = {"conv_id": row["conv_id"], "turn": row["turn"]}
+        return [base | {"position": 0} | plain] if whole else []
     if row["role"] == "tool" and "tool_call_id" in said:
         return [base | {"position": 0, "kind": "result", "call_id": _text(said["tool_call_id"]), "tool": None,
                         "body": canonical(said.get("content")), "after": None}]
     calls = said.get("tool_calls") if row["role"] == "assistant" else None
-    return [base | {"position": i, "kind": "call", "call_id": _text(c.get("id")), "tool": _text(c.get("name")),
-                    "body": c["arguments"] if isinstance(c.get("arguments"), str) else canonical(c.get("arguments")),
-                    "after": _text(c.get("after"))}
-            for i, c in enumerate(calls if isinstance(calls, list) else []) if isinstance(c, dict)]
+    found = [base | {"position": i} | ({
+        "kind": "call", "call_id": _text(c.get("id")), "tool": _text(c.get("name")),
+        "body": c["arguments"] if isinstance(c.get("arguments"), str) else canonical(c.get("arguments")),
+        "after": _text(c.get("after"))} if isinstance(c, dict) else plain)
+        for i, c in enumerate(calls if isinstance(calls, list) else []) if whole or isinstance(c, dict)]
+    return found or ([base | {"position": 0} | plain] if whole else [])
+
+
+def _broken(role: str | None, text: str | None) -> bool:
+    """Whether a message should have been calls or a result: it is of a tool, or broken JSON, or holds unreadable calls."""
+    if role != "assistant" or not (text or "").lstrip(" ").startswith("{"):
+        return role == "tool"
+    try:
+        return bool(json.loads(text).get("tool_calls"))
+    except ValueError:
+        return True
 
 
 def _text(value) -> str | None:
     return value if value is None or isinstance(value, str) else canonical(value)
 
 
-def exchange_events(turns: DataFrame, tool: str = "reply") -> DataFrame:
+def exchange_events(turns: DataFrame, tool: str = "reply", whole: bool = False) -> DataFrame:
     """Events of plain conversations: a user turn calls ``reply`` with its text, the next turn is the result if it is
-    the assistant's, and a call comes after the one two turns before."""
+    the assistant's, and a call comes after the one two turns before. With ``whole`` all other turns are messages."""
     known = turns.filter(F.col("turn").isNotNull() & F.col("text").isNotNull()).select("conv_id", "turn", "role", "text")
     call_turn = F.when(F.col("role") == "user", F.col("turn")).when(F.col("role") == "assistant", F.col("turn") - 1)
     body = F.when(F.col("role") == "user", F.to_json(F.struct("text", "turn"))).otherwise(F.to_json(F.struct("text")))
@@ -120,7 +144,11 @@ def exchange_events(turns: DataFrame, tool: str = "reply") -> DataFrame:
         F.when(F.col("role") == "user", tool).alias("tool"), body.alias("body"), (call_turn - 2).alias("before"))
     asked = known.filter(F.col("role") == "user").select(F.col("conv_id").alias("c"), F.col("turn").alias("t")).distinct()
     same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("before") == F.col("t")) & (F.col("kind") == "call")
-    return events.join(asked, same, "left").withColumn("after", F.concat(F.lit("call-"), F.col("t").cast("string"))).select(EVENT)
+    linked = events.join(asked, same, "left").withColumn("after", F.concat(F.lit("call-"), F.col("t").cast("string"))).select(EVENT)
+    if not whole:
+        return linked
+    replied = F.col("role").isin("user", "assistant") & F.col("turn").isNotNull() & F.col("text").isNotNull()
+    return linked.unionByName(_plain(turns.filter(~F.coalesce(replied, F.lit(False)))))
 
 
 def depths(calls: DataFrame, scratch: Scratch) -> DataFrame:
@@ -156,6 +184,8 @@ def checked(events: DataFrame, schemas: dict[str, dict]) -> DataFrame:
 
 
 def _check(row: dict, schemas: dict[str, dict]) -> tuple[str | None, str]:
+    if row["kind"] == "message":
+        return "malformed" if _broken(row["tool"], row["body"]) else None, canonical({"role": row["tool"], "content": row["body"]})
     try:
         body, whole = json.loads(row["body"]) if row["body"] is not None else None, True
     except ValueError:
@@ -178,7 +208,8 @@ def link(events: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     (depth, turn) is a topological order of a conversation: what an event needs has a smaller step.
     """
     scratch = Scratch(events.sparkSession)
-    seen = scratch.save(checked(events, schemas), "checked")
+    saved = scratch.save(checked(events, schemas), "checked")
+    seen, said = saved.filter("kind <> 'message'"), saved.filter("kind = 'message'")
     # the first of each identifier by (turn, position); equal rows count once
     key = ["conv_id", "kind", "call_id"]
     first = F.struct("turn", "position", F.xxhash64("body", "tool", "after"))
@@ -210,7 +241,7 @@ def link(events: DataFrame, schemas: dict[str, dict]) -> DataFrame:
         .when(~call & (F.struct("turn", "position") < F.struct("asked.turn", "asked.position")), "early")
         .otherwise("ok"))
     placed = F.col("status").isin("ok", "invalid", "unanswered", "early")
-    return (
+    rows = (
         seen.join(linked, at_call, "left").join(own, at_own, "left")
         .withColumn("status", status)
         .withColumn("depth", F.when(placed, F.col("depth")))
@@ -218,3 +249,7 @@ def link(events: DataFrame, schemas: dict[str, dict]) -> DataFrame:
                 (2 * F.col("depth") + F.when(call, 0).otherwise(1)).alias("step"),
                 F.when(placed, F.when(call, F.col("answered.turn")).otherwise(F.col("asked.turn"))).alias("partner_turn"),
                 F.when(F.col("status") == "invalid", F.col("fault")).alias("fault"), "line"))
+    # messages are linked with nothing, so they meet no join either
+    status = F.coalesce("fault", F.lit("ok")).alias("status")
+    empty = {c: F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("depth", "step", "partner_turn", "fault")}
+    return rows.unionByName(said.select(*(status if c == "status" else empty.get(c, F.col(c)) for c in rows.columns)))

@@ -93,3 +93,27 @@ def test_whole_conversations_equal_brute_force(spark, sf):
 def test_empty_table(spark):
     none = spark.createDataFrame([], COLUMNS)
     assert t.link(t.message_events(none), SCHEMAS).count() == 0 and t.link(t.exchange_events(none), SCHEMAS).count() == 0
+
+
+def test_every_turn_is_a_row(spark, sf):
+    from edgetide.llm import queries
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    got = queries.q_op5_tool_calls(spark, sf).collect()
+    assert sorted((r.conv_id, r.turn) for r in got) == sorted((r.conv_id, r.turn) for r in turns.collect())
+    lines = sorted(t.canonical({"role": r.role, "content": r.text}) for r in turns.collect() if r.role not in ("user", "assistant"))
+    assert sorted(r.line for r in got if r.kind == "message") == lines
+    odd = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", None), (1, None, "user", "x"), (1, 2, None, "n"), (1, 3, "user", "q")],
+                                "conv_id long, turn long, role string, text string")
+    rows = t.link(t.exchange_events(odd, whole=True), SCHEMAS).collect()
+    assert sorted((r.turn if r.turn is not None else -1, r.kind) for r in rows) == [(-1, "message"), (0, "message"), (1, "message"), (2, "message"), (3, "call")]
+
+
+def test_plain_and_broken_messages_have_a_status(spark):
+    texts = [("user", "hello"), ("assistant", "plain"), ("assistant", "{broken"), ("assistant", '{"note":1}'), ("tool", None), ("tool", '{"content":1}'),
+             ("assistant", '{"tool_calls":5}'), ("assistant", '{"tool_calls":[7,{"id":"a","name":"search","arguments":{"q":"x"}}]}')]
+    rows = [(1, i, *x) for i, x in enumerate(texts)]
+    got = t.link(t.message_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), whole=True), SCHEMAS).collect()
+    assert sorted((r.turn, r.position, r.kind, r.status) for r in got) == [
+        (0, 0, "message", "ok"), (1, 0, "message", "ok"), (2, 0, "message", "malformed"), (3, 0, "message", "ok"), (4, 0, "message", "malformed"),
+        (5, 0, "message", "malformed"), (6, 0, "message", "malformed"), (7, 0, "message", "malformed"), (7, 1, "call", "unanswered")]
+    assert next(r.line for r in got if r.turn == 0) == '{"content":"hello","role":"user"}'
