@@ -4,10 +4,12 @@ Shingles of five words weigh as often as they occur. Each shingle is a Poisson p
 arrivals are exponential gaps apart, each arrival picks a register, a register keeps the shingle that arrives first.
 Two texts then agree in a register with the probability Jaccard similarity of their weighted shingles. A process stops
 as soon as its next arrival comes after every register has been taken, so most shingles draw a number or two.
+A second signature with all weights 1 estimates the plain Jaccard similarity, which repeated passages leave high while
+the weighted one falls. It is the first one again for texts that repeat no shingle.
 
-1. Equal texts are one node, however many rows they have. Its signature is cut into bands; equal bands are buckets.
+1. Equal texts are one node, however many rows they have. Its signatures are cut into bands; equal bands are buckets.
 2. Each member of a bucket is compared with the bucket's first one: a row per member, never a row per pair.
-3. Pairs whose signatures agree in ``PROMISING`` registers or more are verified on the full texts: a link is a
+3. Pairs of which either signature agrees in ``PROMISING`` registers or more are verified on the full texts: a link is a
    probability Jaccard or a plain Jaccard similarity of ``SIMILARITY`` or more. Links make classes.
 4. Buckets that still hold several classes are compared whole, in blocks: first by signature, which leaves the members
    near to one of another class, then those by their texts. A task gives the links that join the classes of its
@@ -109,13 +111,22 @@ def signatures(documents: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return holder.reshape(-1, REGISTERS)
 
 
+def both_signatures(documents: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The registers by weights and, behind them, those with all weights 1."""
+    weighted = signatures(documents)
+    plain, repeats = weighted.copy(), [i for i, (_, w) in enumerate(documents) if w.max() > 1]
+    if repeats:
+        plain[repeats] = signatures([(documents[i][0], np.ones_like(documents[i][1])) for i in repeats])
+    return np.hstack((weighted, plain))
+
+
 SIGNED = "doc_id long, key binary, signature binary, bands array<long>"
 
 
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, key, text) -> ``SIGNED``; a short text has null signature and bands."""
     def flush(rows: list, found: list) -> pa.RecordBatch:
-        registers = iter(signatures(found)) if found else iter(())
+        registers = iter(both_signatures(found)) if found else iter(())
         ids, keys, marks, bands = [], [], [], []
         for doc_id, key, has in rows:
             own = next(registers) if has else None
@@ -143,10 +154,19 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bands(registers: np.ndarray) -> list[int]:
-    mixed = np.arange(BANDS, dtype=np.uint64)
-    for k in range(ROWS):
-        mixed = mix64(mixed * ODD + registers[k::ROWS][:BANDS])
-    return mixed.astype(np.int64).tolist()
+    """The different bands of both signatures; a text without repeats meets the second one of a text with some by its first."""
+    found = []
+    for own in registers.reshape(2, REGISTERS):
+        mixed = np.arange(BANDS, dtype=np.uint64)
+        for k in range(ROWS):
+            mixed = mix64(mixed * ODD + own[k::ROWS][:BANDS])
+        found += mixed.astype(np.int64).tolist()
+    return list(dict.fromkeys(found))
+
+
+def agreement(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The share of equal registers of the better of both signatures."""
+    return (one == two).reshape(-1, 2, REGISTERS).mean(axis=2).max(axis=1)
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
@@ -181,8 +201,8 @@ def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, signature_a, signature_b) -> the pairs (a, b) whose signatures agree well enough."""
     for batch in batches:
         if batch.num_rows:
-            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in ("signature_a", "signature_b"))
-            good = pa.array((one == two).mean(axis=1) >= PROMISING)
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 2 * REGISTERS) for c in ("signature_a", "signature_b"))
+            good = pa.array(agreement(one, two) >= PROMISING)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["a", "b"])
 
 
@@ -217,7 +237,7 @@ def _groups(table: pa.Table, starts: np.ndarray) -> Iterator[tuple[np.ndarray, n
 
 
 def _marks(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+    marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, 2 * REGISTERS)
     return marks, pd.factorize(np.array(table.column("class").to_pylist(), dtype=object))[0]
 
 
@@ -226,10 +246,15 @@ def near_others(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]
     marks, classes = _marks(table)
     found = np.zeros(table.num_rows, bool)
     for mine, theirs in _groups(table, starts):
-        agree = np.zeros((len(mine), len(theirs)), np.uint8)
-        for r in range(REGISTERS):
-            agree += marks[mine, r][:, None] == marks[theirs, r][None, :]
-        good = (agree >= PROMISING * REGISTERS) & (classes[mine][:, None] != classes[theirs][None, :])
+        near = np.zeros((len(mine), len(theirs)), bool)
+        rows = np.union1d(mine, theirs)
+        repeats = (marks[rows, :REGISTERS] != marks[rows, REGISTERS:]).any()  # without any, both signatures are the same
+        for at in (0, REGISTERS) if repeats else (0,):
+            agree = np.zeros(near.shape, np.uint8)
+            for r in range(at, at + REGISTERS):
+                agree += marks[mine, r][:, None] == marks[theirs, r][None, :]
+            near |= agree >= PROMISING * REGISTERS
+        good = near & (classes[mine][:, None] != classes[theirs][None, :])
         found[mine[good.any(axis=1)]] = True
         found[theirs[good.any(axis=0)]] = True
     for batch in table.select(["bucket", "node"]).filter(pa.array(found)).combine_chunks().to_batches():
@@ -269,7 +294,7 @@ def links_between(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatc
             marked[own] = False
             linked = shared >= (SIMILARITY - 1e-12) * (sizes[x] + sizes[others] - shared)
             for k in np.flatnonzero(~linked & (repeats[others] | repeats[x])):
-                if (marks[rows[others[k]]] == marks[rows[x]]).mean() >= PROMISING:
+                if (marks[rows[others[k]], :REGISTERS] == marks[rows[x], :REGISTERS]).mean() >= PROMISING:
                     linked[k] = probability_jaccard(sets[x], sets[others[k]])[0] >= SIMILARITY - 1e-12
             for y in others[linked]:
                 if label[y] != label[x]:

@@ -77,3 +77,16 @@ def test_edge_rows(edge_docs, no_docs):
     assert kept.schema == edge_docs.schema
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5, 6, 7]
     assert p.near_duplicates(no_docs).count() == 0 and p.first_of_each(no_docs).count() == 0
+
+
+def test_repeated_passages_do_not_hide_plain_similarity(spark):
+    texts = []
+    for seed in range(8):
+        w = [f"s{seed}w{i}" for i in range(200)]
+        texts += [" ".join(w + w[-20:] * more) for more in (0, 10, 20)]
+    texts += ["t " * 40 + " ".join(f"u{i}" for i in range(100)), "t " * 400 + " ".join(f"u{i}" for i in range(100))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check(docs)
+    first, last = (p.shingles(texts[i].encode()) for i in (0, 2))
+    weighted, plain = p.probability_jaccard(first, last)
+    assert weighted < 0.5 and plain >= 0.8 and len({r.class_id for r in p.near_duplicates(docs).collect()}) == 9
