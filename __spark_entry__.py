@@ -94,6 +94,17 @@ def q_reach_batch(spark, d):
         "source_id", "node_id", _day(F.col("region") * 100).alias("start_time"), _day(F.lit(4000)).alias("window_end"))).arrivals
 
 
+def q_reach_batch_totals(spark, d):
+    """From every supplier at once, each from its region's day on, over all of the trade graph: how many nodes each
+    reaches and when the last."""
+    nations = src.read(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("region"))
+    seeds = src.read(spark, d, "supplier").join(nations, "s_nationkey").select(
+        F.col("s_suppkey").alias("source_id"), (F.col("s_suppkey") * 2 + 1).alias("node_id"),
+        _day(F.col("region") * 100).alias("start_time"), _day(F.lit(4000)).alias("window_end"))
+    return rch.reach(_trade(spark, d), seeds).arrivals.groupBy("source_id").agg(
+        F.count(F.lit(1)).alias("reached"), F.max("arrival_time").alias("last_arrival"))
+
+
 def _day(number):
     return F.lit("1992-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(number.cast("int"))
 
@@ -476,6 +487,10 @@ def _graph_sql() -> dict[str, str]:
         "reach_batch": f"""with recursive edges as ({TRADE}),
 {REGION_SUPPLIERS},
 {_seeded_walk("region * 100", "4000", "(values (0)) x(w)")}""",
+        "reach_batch_totals": f"""select source_id, count(*) as reached, max(arrival_time) as last_arrival from (
+with recursive edges as ({TRADE}),
+suppliers as (select n_regionkey as region, s_suppkey as source_id from supplier join nation on n_nationkey = s_nationkey),
+{_seeded_walk("region * 100", "4000", "(values (0)) x(w)")}) group by source_id""",
         "reach_windows": f"""with recursive edges as ({TRADE}),
 {REGION_SUPPLIERS},
 {_seeded_walk("1100 + w * 200", "1400 + w * 80", "(values (0), (1), (2)) x(w)")}""",
