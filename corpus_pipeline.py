@@ -3,7 +3,8 @@
 documents -> quality rules -> one document of each near-duplicate class -> no benchmark leaks -> sources mixed to
 their targets (a document stands as often as it is taken) -> shard and slot of every row. All stages but the last
 return the columns of documents. The mix solves a convex problem by Newton steps, which SQL cannot express, so there
-is no statement to compare with; the tests compare each stage with a brute-force version.
+is no statement to compare with; the tests compare the first three stages with brute-force versions,
+the mix with its targets, and check that sharding keeps every row once.
 """
 
 from __future__ import annotations
