@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgetide.llm import bin_packing, bpe_codec, compression_toxicity, entropy_mix, feistel, license_join, prob_minhash, quality_rules, template_leaks, tool_calls, warc
+from edgetide.llm import bin_packing, bpe_codec, cholesky_whitening, compression_toxicity, entropy_mix, feistel, license_join, prob_minhash, quality_rules, template_leaks, tool_calls, warc
 from edgetide.llm.common import table
 
 WORD_SQL = r"'[^\x20\x09-\x0D]+'"
@@ -86,6 +86,10 @@ def q_op11_bpe_codec(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def q_op12_cholesky_whitening(spark: SparkSession, d: str) -> DataFrame:
+    return cholesky_whitening.whitened_components(table(spark, d, "embeddings"))
+
+
 QUALITY = rf"""with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
 w as (select r, doc_id, text, regexp_extract_all(text, {WORD_SQL}) as w,
   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from d),
