@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgetide.llm import bin_packing, bpe_codec, cholesky_whitening, compression_toxicity, entropy_mix, feistel, license_join, prob_minhash, quality_rules, template_leaks, tool_calls, warc
+from edgetide.llm import bin_packing, bpe_codec, cholesky_whitening, compression_toxicity, document_fp_tree, entropy_mix, feistel, license_join, prob_minhash, quality_rules, template_leaks, tool_calls, warc
 from edgetide.llm.common import table
 
 WORD_SQL = r"'[^\x20\x09-\x0D]+'"
@@ -90,6 +90,10 @@ def q_op12_cholesky_whitening(spark: SparkSession, d: str) -> DataFrame:
     return cholesky_whitening.whitened_components(table(spark, d, "embeddings"))
 
 
+def q_op13_document_fp_tree(spark: SparkSession, d: str) -> DataFrame:
+    return document_fp_tree.search(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 QUALITY = rf"""with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
 w as (select r, doc_id, text, regexp_extract_all(text, {WORD_SQL}) as w,
   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from d),
@@ -140,9 +144,30 @@ select doc_id, len(w)::bigint as n_words, coalesce(b.n, 0)::bigint as n_base, fi
 from w left join base b using (r) left join found f using (r)"""
 
 
+def _terms(text: str) -> str:
+    folded = f"translate(coalesce({text}, ''), '{document_fp_tree.UPPER}', '{document_fp_tree.LOWER}')"
+    return f"regexp_extract_all({folded}, '{document_fp_tree.TERM}')"
+
+
+RANKED = f"""with d as (select row_number() over () as r, doc_id, {_terms("text")} as t from documents),
+items as (select row_number() over () as i, item_id, list_distinct({_terms("text")}) as t from benchmark),
+stats as (select count(*) filter (len(t) > 0)::bigint as docs, sum(len(t))::bigint as words from d),
+tf as (select r, term, count(*)::bigint as tf from (select r, unnest(t) as term from d)
+  where term in (select unnest(t) from items) group by r, term),
+weights as (select term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::bigint as w from tf, stats group by term),
+norms as (select r, doc_id, 100 - 50 + ((50 * len(t)::bigint * docs) // words) as m from d, stats where len(t) > 0),
+scores as (select i, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint as score
+  from (select i, item_id, unnest(t) as term from items) join weights using (term) join tf using (term) join norms using (r)
+  group by i, item_id, r, doc_id)
+select item_id, rank::int as rank, doc_id, score from (
+  select *, row_number() over (partition by i order by score desc, doc_id) as rank from scores where score > 0)
+where rank <= {document_fp_tree.TOP}"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name[2:]: f for name, f in globals().items() if name.startswith("q_")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": QUALITY, "op7_warc": PAYLOADS, "op10_license_join": LICENSES}
+    return {"op2_quality_rules": QUALITY, "op7_warc": PAYLOADS, "op10_license_join": LICENSES,
+            "op13_document_fp_tree": RANKED}
