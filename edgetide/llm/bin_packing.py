@@ -1,18 +1,18 @@
 """Sharding by vector bin packing (operator 1).
 
 A group (rows of equal text) is a load vector of bytes, tokens and rows. A group is placed in the shard where the dot
-product of its load with the shard's residual capacity is highest (bytes weigh 4, tokens and rows 1), large groups first. Three levels keep every step
+product of its load with the shard's residual capacity is highest (bytes weigh 32, tokens and rows 1), large groups first. Three levels keep every step
 bounded:
 
 * Groups above 1/``FINE`` of the total in some dimension: at most 3 * FINE of them, placed one after the other by the
-  driver, which sees one vector each. A group above 1/``WHOLE`` of the total is cut into pieces by doc_id first, so
-  that a hot text fills shards instead of breaking one; its pieces are placed like groups.
+  driver, which sees one vector each. Groups stay whole; only one that no shard can hold, above 1/``shards`` of the
+  total, is first cut by doc_id into the fewest pieces that fit, which are placed like groups.
 * All others: hashed into cells of about ``CELL`` groups. Each cell is packed in a task of its own against its share of
   the capacity that the large groups left.
 * Slots: rows are dealt by (shard, cell of doc_id); a cell's first slot is the number of rows before it.
 
 Defined results: a null text is a group of its own with a size of 1 byte and no tokens; null and repeated doc_ids and
-repeated rows are placed like any other; an empty table gives an empty table.
+repeated rows are placed like any other; texts of any length are measured whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,11 +26,10 @@ from edgetide.llm.common import Scratch, text_key, word_count
 
 SHARDS = 16
 FINE = 4096
-WHOLE = 16 * SHARDS
 CELL = 4096
 SLOT_ROWS = 20_000
 DIMENSIONS = ["bytes", "tokens", "rows"]
-WEIGHTS = np.array([4.0, 1.0, 1.0])  # in the dot product; the law is about bytes
+WEIGHTS = np.array([32.0, 1.0, 1.0])  # in the dot product; the law is about bytes
 
 
 def loads() -> list[Column]:
@@ -65,12 +64,12 @@ def shards_of(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     total = np.array([max(float(totals[c] or 0), 1.0) for c in DIMENSIONS])
     share = F.greatest(*(F.col(c) / F.lit(float(t)) for c, t in zip(DIMENSIONS, total)))
 
-    # a hot text in pieces: at most 3 * WHOLE such groups, each with at most WHOLE pieces, their number in proportion
-    hot = groups.filter(share > 1 / WHOLE).select("group", F.ceil(share * WHOLE).cast("int").alias("pieces"))
+    # a text that fills more than a shard in pieces: at most 3 * shards such groups, each with at most as many pieces
+    hot = groups.filter(share > 1 / shards).select("group", F.ceil(share * shards).cast("int").alias("pieces"))
     piece = F.when(F.col("pieces").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), "pieces")).cast("int")
     rows = rows.join(F.broadcast(hot), "group", "left").withColumn("piece", piece).drop("pieces")
     hot_pieces = rows.join(F.broadcast(hot.select("group")), "group", "left_semi").groupBy("group", "piece").agg(*loads())
-    whole = groups.filter((share > 1 / FINE) & (share <= 1 / WHOLE)).select("group", F.lit(0).alias("piece"), *DIMENSIONS)
+    whole = groups.filter((share > 1 / FINE) & (share <= 1 / shards)).select("group", F.lit(0).alias("piece"), *DIMENSIONS)
     large = hot_pieces.unionByName(whole).orderBy("group", "piece").toPandas()
     capacity = np.tile(large[DIMENSIONS].to_numpy(dtype=float).sum(axis=0) / total / shards, (shards, 1))
     small = 1 - capacity.sum(axis=0)

@@ -35,7 +35,6 @@ def test_balance_and_groups_stay_together(spark, sf):
 
 def test_hot_group_is_cut_and_small_groups_go_through_cells(spark, monkeypatch):
     monkeypatch.setattr(b, "FINE", 512)
-    monkeypatch.setattr(b, "WHOLE", 256)
     monkeypatch.setattr(b, "CELL", 200)
     monkeypatch.setattr(b, "SLOT_ROWS", 100)
     docs = spark.range(3000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'the same text' else concat('text ', repeat(id, id % 7)) end as text")
@@ -45,7 +44,24 @@ def test_hot_group_is_cut_and_small_groups_go_through_cells(spark, monkeypatch):
         load[r.shard] += r.bytes
         rows[r.shard] += 1
     assert len({r.shard for r in got if r.doc_id % 3 == 0}) > 4
-    assert max(load.values()) < 1.05 * min(load.values()) and max(rows.values()) < 1.15 * min(rows.values())
+    # the law is about bytes; a group in the fewest pieces leaves rows and tokens uneven
+    assert len({r.shard for r in got if r.doc_id % 3 == 0}) < 8
+    assert max(load.values()) < 1.05 * min(load.values()) and max(rows.values()) < 2 * min(rows.values())
+
+
+def test_groups_that_fit_a_shard_stay_whole(spark):
+    """Groups of equal texts of up to 1/16 of all bytes, beside many small ones."""
+    sizes = [60, 30, 20, 20, 5, 1]  # in thousandths of the rows
+    rows = [f"copy {g} with some words" for g, k in enumerate(sizes) for _ in range(10 * k)]
+    rows += [f"text {i:06d} with one more" for i in range(10_000 - len(rows))]
+    got = check(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    load, shards = defaultdict(int), defaultdict(set)
+    for r in got:
+        load[r.shard] += r.bytes
+        shards[r.group].add(r.shard)
+    assert all(len(s) == 1 for s in shards.values())
+    mean = sum(load.values()) / b.SHARDS
+    assert all(abs(x / mean - 1) < 0.01 for x in load.values())
 
 
 def test_place_takes_the_largest_dot_product():
