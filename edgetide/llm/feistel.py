@@ -11,7 +11,8 @@ format, whatever its size; no rejection and no table is needed.
 ======== ================================================= =================================================
 kind     what is taken as such                             what its pseudonym keeps
 ======== ================================================= =================================================
-email    local part, @, domain with a dot                  domain, length, character classes
+email    local part, @, domain with a dot                  domain, length, character classes; signs and letters
+                                                           beyond ASCII stay in their places
 iban     two letters, two check digits, 11 to 30 more,     country, grouping, character classes; the check
          mod 97 right                                      digits are computed anew
 card     13 to 19 digits, blanks or hyphens, Luhn right    grouping, length; the last digit is the Luhn digit
@@ -24,7 +25,8 @@ secret   32 to 128 hexadecimal digits, letters among them  length, digits and le
 ======== ================================================= =================================================
 
 Defined results: a null text stays null, a text without such values stays as it is, candidates that fail their
-validation are left alone; repeated rows get equal results; extra columns are carried along.
+validation are left alone; repeated rows get equal results; extra columns are carried along; texts of any length are
+read whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -37,9 +39,11 @@ from edgetide.llm.common import fresh
 ROUNDS = 8
 ERA_START, ERA_DAYS, DAY_RADIX = "1900-01-01", 146_097, (189, 773)  # 400 years; 189 * 773 = 146,097
 
-# Fixed patterns, one per kind.
+# Letters of addresses. Scripts written without blanks are left out, as words before an address would join it.
+LETTERS = r"\p{IsLatin}\p{IsGreek}\p{IsCyrillic}"
+# Fixed patterns, one per kind. A name has at most 127 labels; the bound also keeps Java's recursion over them shallow.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    "email": rf"[{LETTERS}0-9._%+\-]{{1,64}}+@[{LETTERS}0-9\-]++(?:\.[{LETTERS}0-9\-]++){{0,125}}\.[{LETTERS}]{{2,}}",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "secret": r"[0-9A-Fa-f]{32,128}(?![A-Za-z0-9])",
     "phone": r"\+\d{1,3}(?:[ .\-]?\(\d{1,4}\))?(?:[ .\-]?\d{2,4}){2,5}(?!\d)",
@@ -95,7 +99,11 @@ def _characters(kind: str, text: Column, key: str, letters: int, undo: bool) ->
 
     def mapped(chars: Column) -> Column:
         moved = permute(kind, F.transform(chars, lambda c: F.ascii(c) - base(c)), F.transform(chars, radix), key, undo)
-        return bind(moved, lambda m: F.array_join(F.transform(m, lambda x, i: F.char(x + base(F.get(chars, i)))), ""))
+        def letter(x: Column, i: Column) -> Column:
+            c = F.get(chars, i)
+            return F.when(radix(c) > 1, F.char(x + base(c))).otherwise(c)
+
+        return bind(moved, lambda m: F.array_join(F.transform(m, letter), ""))
 
     return bind(F.split(text, ""), mapped)
 

@@ -80,3 +80,18 @@ def test_long_text_with_many_values(spark):
     text = " ".join(f"word{i} {i % 256}.2.3.4 x{i}@mail.example.com" for i in range(3000))
     got = run(spark, [text])
     assert run(spark, got, undo=True) == [text] and len(got[0].split()) == len(text.split())
+
+
+def test_addresses_with_letters_beyond_ascii_are_linked(spark):
+    got = run(spark, ["müller@ex.de and jané@ex.com", "müller@ex.de", "иван@пример.рф", "no @ here, nor a@b or x@y.z"])
+    assert got[0].split()[0] == got[1] != "müller@ex.de" and got[1][1] == "ü" and got[1].endswith("@ex.de")
+    assert "jan" not in got[0] and got[2] == "иван@пример.рф" and got[3] == "no @ here, nor a@b or x@y.z"
+    assert run(spark, got, undo=True)[:2] == ["müller@ex.de and jané@ex.com", "müller@ex.de"]
+
+
+def test_long_repetitions_of_every_group_do_not_crash(spark):
+    texts = ["a@" + "b." * 1_000_000 + "com", "x@" + "b-" * 500_000 + ".org", "+1" + " 555" * 300_000, "DE89" + " 3704" * 300_000,
+             "1 " * 1_000_000, "1.2." * 300_000, "a1" * 500_000, "1-" * 1_000_000, "é" * 1_000_000 + "@ex.de"]
+    got = run(spark, texts)
+    assert [len(x) for x in got] == [len(x) for x in texts]
+    assert got[0] == texts[0] and got[1].endswith(".org") and got[1] != texts[1]
