@@ -23,7 +23,9 @@ early             a result that stands before its call
 ok                all else
 ================= ====================================================================================
 
-Defined results: null texts, roles and turns make no call or result, and a message with ``whole=True``; a null conv_id is a conversation of
+JSON texts that hold NaN, infinite numbers, half a surrogate pair or deeper nesting than Python follows count as broken.
+
+Defined results: texts of any length are read whole; null texts, roles and turns make no call or result, and a message with ``whole=True``; a null conv_id is a conversation of
 its own; repeated rows are duplicates of each other; empty tables give empty tables.
 """
 
@@ -44,7 +46,18 @@ TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool,
 
 
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def load(text: str):
+    """The value of a JSON text; ValueError for what has no canonical form either: NaN, infinite numbers, halves of
+    surrogate pairs, and lists nested deeper than Python follows."""
+    try:
+        value = json.loads(text)
+        canonical(value).encode()
+    except RecursionError:
+        raise ValueError("nested too deeply") from None
+    return value
 
 
 def violations(value, schema: dict, path: str = "$") -> list[str]:
@@ -103,7 +116,7 @@ def _message(row: dict, whole: bool) -> list[dict]:
     base = {"conv_id": row["conv_id"], "turn": row["turn"]}
     plain = {"kind": "message", "call_id": None, "tool": row["role"], "body": row["text"], "after": None}
     try:
-        said = json.loads(row["text"])
+        said = load(row["text"])
     except ValueError:
         return [base | {"position": 0} | plain] if whole else []
     if row["role"] == "tool" and "tool_call_id" in said:
@@ -123,7 +136,7 @@ def _broken(role: str | None, text: str | None) -> bool:
     if role != "assistant" or not (text or "").lstrip(" ").startswith("{"):
         return role == "tool"
     try:
-        return bool(json.loads(text).get("tool_calls"))
+        return bool(load(text).get("tool_calls"))
     except ValueError:
         return True
 
@@ -187,7 +200,7 @@ def _check(row: dict, schemas: dict[str, dict]) -> tuple[str | None, str]:
     if row["kind"] == "message":
         return "malformed" if _broken(row["tool"], row["body"]) else None, canonical({"role": row["tool"], "content": row["body"]})
     try:
-        body, whole = json.loads(row["body"]) if row["body"] is not None else None, True
+        body, whole = load(row["body"]) if row["body"] is not None else None, True
     except ValueError:
         body, whole = row["body"], False
     if row["kind"] == "result":

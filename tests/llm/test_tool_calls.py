@@ -117,3 +117,16 @@ def test_plain_and_broken_messages_have_a_status(spark):
         (0, 0, "message", "ok"), (1, 0, "message", "ok"), (2, 0, "message", "malformed"), (3, 0, "message", "ok"), (4, 0, "message", "malformed"),
         (5, 0, "message", "malformed"), (6, 0, "message", "malformed"), (7, 0, "message", "malformed"), (7, 1, "call", "unanswered")]
     assert next(r.line for r in got if r.turn == 0) == '{"content":"hello","role":"user"}'
+
+
+def test_json_without_a_canonical_form_is_malformed(spark):
+    deep = "[" * 200_000 + "]" * 200_000
+    bodies = ["NaN", "-Infinity", "1e999", deep, '"\\ud800"', "1" * 10_000]
+    rows = [(1, i, "tool", f'{{"tool_call_id":"r{i}","content":{b}}}') for i, b in enumerate(bodies)]
+    rows += [(1, 10 + i, "assistant", f'{{"tool_calls":[{{"id":"c{i}","name":"search","arguments":{{"q":{b}}}}}]}}') for i, b in enumerate(bodies)]
+    inner = ['{"q":%s}' % b for b in bodies]  # arguments as text
+    rows += [(2, i, "assistant", json.dumps({"tool_calls": [call(f"t{i}", x)]})) for i, x in enumerate(inner)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = t.link(t.message_events(frame, whole=True), SCHEMAS).collect()
+    assert len(got) == len(rows) and all(r.status == "malformed" for r in got)
+    assert all(json.loads(r.line) for r in got)
