@@ -12,7 +12,7 @@ Items shorter than a window are looked up as a whole, down to ``SHORTEST`` words
 words outside placeholders say nothing and are left out. An item that has no others is looked up in literal form only,
 by its windows with ``LITERALS`` words that are no numbers; if it has none of these either, it cannot be found.
 
-Defined results: null and empty texts leak nothing; repeated rows and texts all leak; equal benchmark items are all
+Defined results: null and empty texts leak nothing; texts of any length are read whole; repeated rows and texts all leak; equal benchmark items are all
 reported; empty tables give empty results; extra columns are carried along by ``clean``.
 """
 
@@ -35,12 +35,15 @@ UNITS = ("mm cm dm m km in ft yd mi inch inches foot feet yard yards mile miles
 
 
 def tokens(text: Column) -> Column:
-    """Words and numbers in lower case; names and units carry their mark."""
+    """Words and numbers in lower case; names and units carry their mark.
+
+    Repeated groups are possessive: Java matches those in a loop, others by recursion, which long lists overflow.
+    """
     marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"(\p{Lu})(?=\p{Ll})(?<=[\p{L}\p{N},;]\s{1,4}.)", f"{NAME_MARK}$1")
     units = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
     marked = F.regexp_replace(F.lower(marked), rf"([0-9] ?)(?=(?:{units})(?![\p{{L}}\p{{N}}]))", f"$1{UNIT_MARK}")
     return F.regexp_extract_all(
-        marked, F.lit(rf"[{NAME_MARK}{UNIT_MARK}]?[\p{{L}}\p{{M}}]+|[0-9]+(?:[.,:/][0-9]+)*"), F.lit(0))
+        marked, F.lit(rf"[{NAME_MARK}{UNIT_MARK}]?[\p{{L}}\p{{M}}]+|[0-9]++(?:[.,:/][0-9]++)*+"), F.lit(0))
 
 
 def is_slot(token: Column) -> Column:

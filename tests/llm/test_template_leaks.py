@@ -77,3 +77,8 @@ def test_copies_in_another_case_or_with_line_breaks_are_found(spark):
     got = found(spark, texts, items=((1, ITEM), (2, german), (3, names)))
     assert set(got) == {(0, 1), (1, 1), (2, 1), (3, 2), (4, 2), (5, 2), (6, 3), (7, 3)}
     assert all(r.coverage == 1 and r.changed == 0 for k, r in got.items() if k != (7, 3))
+
+
+def test_long_lists_of_numbers_and_words_do_not_crash(spark):
+    texts = ["7" + ",7" * 1_000_000, "1:2/3." * 300_000, "x" * 1_000_000, "A" + "b" * 1_000_000, "9 km" * 200_000, "so " + ITEM + " 3" + ",4" * 500_000]
+    assert set(found(spark, texts)) == {(5, 1)}
