@@ -39,6 +39,7 @@ from edgetide.llm.common import Scratch
 MAGIC = b"\x1f\x8b\x08"
 RANGE_BYTES = 8 << 20
 READ_BYTES = 1 << 20
+MAX_TASKS = 20_000
 ARCHIVE_BYTES = 1 << 30
 MANIFEST = "path string, length long, records long"
 RECORD = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary, offset long"
@@ -62,9 +63,17 @@ def encode(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", compresslevel=6, mtime=0)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as a URI with the scheme that Spark itself would use for it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    uri = system.makeQualified(path).toString()
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def _open(uri: str):
-    """The file system and path of a URI; a path without scheme is a shared local one."""
-    return fs.FileSystem.from_uri(uri) if ":" in uri.split("/")[0] else (fs.LocalFileSystem(), uri)
+    """The file system and path of a URI."""
+    return fs.FileSystem.from_uri(uri)
 
 
 def writer(folder: str):
@@ -210,6 +219,7 @@ def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_archives(pages: DataFrame, folder: str, scratch: Scratch) -> DataFrame:
     """Writes ``pages`` (page_id, url, html) below a shared folder; the saved manifest."""
+    folder = qualified(pages.sparkSession, folder)
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b"").cast("binary"))
     named = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha1", F.unhex(F.sha1("payload")))
     first = named.groupBy("sha1").agg(F.min("page_id").alias("first"))
@@ -230,11 +240,17 @@ def _base32(hexed):
 
 
 def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """``RECORD`` rows of all archives in a manifest (path, length), by byte ranges dealt over the cluster."""
+    """``RECORD`` rows of all archives in a manifest (path, length), by byte ranges dealt over the cluster.
+
+    A task reads one range; only beyond ``MAX_TASKS`` ranges it reads several. The number of tasks is given, as adaptive
+    execution would put ranges, which are small rows, together in one.
+    """
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))
     ranges = manifest.filter("length > 0").select("path", "length", F.explode(starts).alias("start"))
     ranges = ranges.withColumn("end", F.least("length", F.col("start") + range_bytes))
-    return ranges.repartition("path", "start").mapInArrow(read, RECORD)
+    count = F.ceil(F.col("length") / F.lit(range_bytes))
+    tasks = manifest.agg(F.coalesce(F.sum(count), F.lit(0)).alias("n")).first()["n"]
+    return ranges.repartition(max(1, min(int(tasks), MAX_TASKS))).mapInArrow(read, RECORD)
 
 
 def archive_and_read(spark: SparkSession, pages: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from edgetide.llm import warc as w
 from edgetide.llm.common import Scratch
@@ -78,3 +79,16 @@ def test_long_urls_are_read_and_missing_records_are_noticed(spark, tmp_path, ran
         path.write_bytes(data[:at] + b"\0" + data[at + 1:])
         with pytest.raises(Exception, match="no record can be read"):
             w.read_archives(spark.createDataFrame([(f"file://{path}", len(data))], "path string, length long"), range_bytes).collect()
+
+
+def test_ranges_are_read_by_as_many_tasks(spark):
+    rng = random.Random(5)
+    pages = spark.createDataFrame([(i, f"u{i}", rng.randbytes(2000).hex()) for i in range(300)], "page_id long, url string, html string")
+    scratch = Scratch(spark)
+    manifest = w.write_archives(pages, scratch.path("archives"), scratch).cache()
+    range_bytes = 20_000
+    ranges = sum(-(-r.length // range_bytes) for r in manifest.collect())
+    read = w.read_archives(manifest, range_bytes)
+    per_task = read.groupBy(F.spark_partition_id()).count().collect()
+    assert read.rdd.getNumPartitions() == ranges > 20 and len(per_task) > ranges // 2
+    assert sum(r["count"] for r in per_task) == 300 == sum(r.records for r in manifest.collect())
