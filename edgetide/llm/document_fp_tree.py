@@ -12,7 +12,8 @@ descends depth first, children with the largest bound first, and leaves out ever
 contributes at most, is below the k-th best score so far. Runs of at most ``LEAF`` documents are scored exactly, and
 so are documents that end at a node.
 
-Tasks build a tree over ``TREE_ENTRIES`` (document, term) pairs at a time and carry their k best from tree to tree.
+Tasks build a tree over ``TREE_ENTRIES`` (document, term) pairs at a time and carry their k best from tree to tree. The
+vectors, a small part of the texts, are dealt evenly over tasks of ``TASK_ENTRIES`` pairs, whatever the files hold.
 The best of all tasks are ranked by item, in two steps, so that one item's candidates are never one large group.
 What reaches the driver and all tasks are the items' terms, their document frequencies and the item numbers, in blocks of about ``BLOCK_TERMS``
 terms; each block reads the documents again. Only one item's own distinct terms are held whole. No shuffle moves texts.
@@ -39,7 +40,8 @@ from edgetide.llm.common import Scratch
 
 TOP = 50
 BLOCK_TERMS = 200_000
-TREE_ENTRIES = 1_000_000
+TREE_ENTRIES = 300_000
+TASK_ENTRIES = 2_000_000
 LEAF = 32
 MERGE = 1024
 NO_ID = 2**63 - 1
@@ -318,7 +320,8 @@ def _search_block(docs: DataFrame, items: list[tuple[int | None, list[str]]], k:
     terms = sorted({t for _, own in items for t in own})
     rows, seen = scratch.save_counted(
         vectors(docs, {t.encode(): i for i, t in enumerate(terms)}), f"vectors-{block}",
-        F.count_if(F.col("n") > 0).alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms"))
+        F.count_if(F.col("n") > 0).alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms"),
+        F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("entries"))
     counted = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     df = dict(map(tuple, counted.collect()))  # as many rows as the block has terms
     order = sorted(df, key=lambda t: (-df[t], terms[t]))
@@ -338,6 +341,9 @@ def _search_block(docs: DataFrame, items: list[tuple[int | None, list[str]]], k:
             new = pa.ListArray.from_arrays(pa.array(offsets - offsets[:1], pa.int32()), pa.array(by_place.value[lists.flatten().to_numpy()], pa.int32()))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["m"], new, batch["tfs"]], names=batch.schema.names)
 
+    # small tables go to as many tasks as there are cores, if each has a tree to build
+    few = min(spark.sparkContext.defaultParallelism, -(-seen["entries"] // TREE_ENTRIES))
+    ready = ready.repartition(max(1, few, -(-seen["entries"] // TASK_ENTRIES)))
     ready = ready.mapInArrow(renumber, "doc_id long, m long, terms array<int>, tfs array<int>")
     best = ranked(ranked(best_of_tasks(ready, wanted, weights, k), ["item", "part"], k), ["item"], k)
     ids = spark.createDataFrame([(i, item_id) for i, (item_id, _) in enumerate(items)], "item int, item_id long")
