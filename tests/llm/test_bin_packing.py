@@ -45,7 +45,7 @@ def test_hot_group_is_cut_and_small_groups_go_through_cells(spark, monkeypatch):
         rows[r.shard] += 1
     assert len({r.shard for r in got if r.doc_id % 3 == 0}) > 4
     # the law is about bytes; a group in the fewest pieces leaves rows and tokens uneven
-    assert len({r.shard for r in got if r.doc_id % 3 == 0}) < 8
+    assert len({r.shard for r in got if r.doc_id % 3 == 0}) <= 8  # it has nearly half of all tokens
     assert max(load.values()) < 1.05 * min(load.values()) and max(rows.values()) < 2 * min(rows.values())
 
 
