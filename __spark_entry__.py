@@ -18,6 +18,7 @@ from edgetide.operators import ingest, reach as rch
 from edgetide.operators.messages import reach_hop_bounded
 from edgetide.operators.paths import earliest_path
 from edgetide.operators.recursive import reach_recursive_sql
+from edgetide.operators.sweep import sweep
 from edgetide.operators.two_hop import two_hop_index, two_hop_path_search
 from edgetide.plans.catalog import row_counts
 from edgetide.scratch import Scratch
@@ -88,40 +89,38 @@ def q_reach_time_slices(spark, d):
     return _trade_reach(spark, d, slice_rows=-(-total // 4))
 
 
+def _supplier_seeds(spark, d):
+    """Every supplier, from its region's day on, over all of the trade graph."""
+    return _suppliers(spark, d).select(
+        "source_id", "node_id", _day(F.col("region") * 100).alias("start_time"), _day(F.lit(4000)).alias("window_end"))
+
+
 def q_reach_batch(spark, d):
-    """From one supplier of each region at once, each from its region's day on, over all of the trade graph."""
-    return rch.reach(_trade(spark, d), _region_suppliers(spark, d).select(
-        "source_id", "node_id", _day(F.col("region") * 100).alias("start_time"), _day(F.lit(4000)).alias("window_end"))).arrivals
+    """From every supplier at once: a row for each node that each reaches."""
+    return sweep(_trade(spark, d), _supplier_seeds(spark, d)).arrivals()
 
 
 def q_reach_batch_totals(spark, d):
-    """From every supplier at once, each from its region's day on, over all of the trade graph: how many nodes each
-    reaches and when the last."""
-    nations = src.read(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("region"))
-    seeds = src.read(spark, d, "supplier").join(nations, "s_nationkey").select(
-        F.col("s_suppkey").alias("source_id"), (F.col("s_suppkey") * 2 + 1).alias("node_id"),
-        _day(F.col("region") * 100).alias("start_time"), _day(F.lit(4000)).alias("window_end"))
-    return rch.reach(_trade(spark, d), seeds).arrivals.groupBy("source_id").agg(
-        F.count(F.lit(1)).alias("reached"), F.max("arrival_time").alias("last_arrival"))
+    """From every supplier at once: how many nodes each reaches and when the last."""
+    return sweep(_trade(spark, d), _supplier_seeds(spark, d)).totals()
 
 
 def _day(number):
     return F.lit("1992-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(number.cast("int"))
 
 
-def _region_suppliers(spark, d):
-    """The supplier with the least key of each region."""
+def _suppliers(spark, d):
     nations = src.read(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("region"))
-    first = src.read(spark, d, "supplier").join(nations, "s_nationkey").groupBy("region").agg(F.min("s_suppkey").alias("source_id"))
-    return first.withColumn("node_id", F.col("source_id") * 2 + 1)
+    return src.read(spark, d, "supplier").join(nations, "s_nationkey").select(
+        F.col("s_suppkey").alias("source_id"), (F.col("s_suppkey") * 2 + 1).alias("node_id"), "region")
 
 
 def q_reach_windows(spark, d):
-    """Three windows for each source, two of which overlap; a walk keeps to the window it starts in."""
+    """Three windows for each supplier, two of which overlap; a walk keeps to the window it starts in."""
     window = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("w")
-    seeds = _region_suppliers(spark, d).select("source_id", "node_id", window).select(
+    seeds = _suppliers(spark, d).select("source_id", "node_id", window).select(
         "source_id", "node_id", _day(1100 + F.col("w") * 200).alias("start_time"), _day(1400 + F.col("w") * 80).alias("window_end"))
-    return rch.reach(_trade(spark, d), seeds).arrivals
+    return sweep(_trade(spark, d), seeds).arrivals()
 
 
 def q_reach_count(spark, d):
@@ -353,8 +352,12 @@ def _in_utc(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     return run
 
 
+def graph_queries() -> list[str]:
+    return [name[2:] for name in globals() if name.startswith("q_")]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {name[2:]: f for name, f in globals().items() if name.startswith("q_")}
+    found = {name: globals()[f"q_{name}"] for name in graph_queries()}
     if llm:
         found |= llm.queries() | {"pipeline": corpus_pipeline.run}
     return {name: _in_utc(f) for name, f in found.items()}
@@ -439,19 +442,23 @@ back(target, node_id, src, edge_id, arrival_time, back) as (
 select target, cast(max(back) over (partition by target) - back as integer) as step, node_id, edge_id, arrival_time from back
 """ % (EVENTS, EVENT_SEED, EVENT_START, _window(EVENT_START, EVENT_HOURS))
 
-REGION_SUPPLIERS = """suppliers as (select n_regionkey as region, min(s_suppkey) as source_id
-  from supplier join nation on n_nationkey = s_nationkey group by n_regionkey)"""
+SUPPLIERS = "suppliers as (select n_regionkey as region, s_suppkey as source_id from supplier join nation on n_nationkey = s_nationkey)"
 
 
 def _seeded_walk(start: str, end: str, windows: str) -> str:
-    """Each seed row is walked on its own, then the least arrival of a source counts."""
-    return f"""sources as (select source_id, 2 * source_id + 1 as node_id, timestamp '1992-01-01' + to_days(cast({start} as int)) as start_time,
+    """Each seed row is walked on its own and keeps the least arrival of each node; then the least of a source counts."""
+    return f"""with recursive edges as ({TRADE}),
+{SUPPLIERS},
+sources as (select source_id, w, 2 * source_id + 1 as node_id, timestamp '1992-01-01' + to_days(cast({start} as int)) as start_time,
   timestamp '1992-01-01' + to_days(cast({end} as int)) as window_end from suppliers, {windows}),
-walk(source_id, node_id, arrival_time, window_end) as (
-  select source_id, node_id, start_time, window_end from sources
+walk(source_id, w, node_id, arrival_time, window_end) using key (source_id, w, node_id) as (
+  select source_id, w, node_id, start_time, window_end from sources
   union
-  select r.source_id, e.dst, e.sent_at, r.window_end from walk r join edges e
-    on e.src = r.node_id and e.sent_at >= r.arrival_time and e.sent_at <= r.window_end)
+  select r.source_id, r.w, e.dst, min(e.sent_at), any_value(r.window_end) from walk r join edges e
+    on e.src = r.node_id and e.sent_at >= r.arrival_time and e.sent_at <= r.window_end
+    left join recurring.walk k on k.source_id = r.source_id and k.w = r.w and k.node_id = e.dst
+  where k.arrival_time is null or e.sent_at < k.arrival_time
+  group by r.source_id, r.w, e.dst)
 select source_id, node_id, min(arrival_time) as arrival_time from walk group by source_id, node_id"""
 
 
@@ -471,10 +478,10 @@ person as (select row_number() over (order by email) as node_id, email
 
 
 def oracle_sql() -> dict[str, str]:
-    return _graph_sql() | (llm.oracle_sql() if llm else {})
+    return graph_sql() | (llm.oracle_sql() if llm else {})
 
 
-def _graph_sql() -> dict[str, str]:
+def graph_sql() -> dict[str, str]:
     events, trade = f"with edges as ({EVENTS})", f"with edges as ({TRADE})"
     trade_window = _window(QUARTER_START, QUARTER_HOURS)
     hashed = "sha256('{\"dst\": ' || dst || ', \"src\": ' || src || ', \"timestamp\": \"' || %s || '\", \"type\": \"' || edge_type || '\"}')"
@@ -484,16 +491,10 @@ def _graph_sql() -> dict[str, str]:
         "reach_ties": TRADE_WALK + arrivals,
         "reach_strict": _walk(TRADE, TRADE_SEED, TRADE_START, TRADE_HOURS, ">") + arrivals,
         "reach_time_slices": TRADE_WALK + arrivals,
-        "reach_batch": f"""with recursive edges as ({TRADE}),
-{REGION_SUPPLIERS},
-{_seeded_walk("region * 100", "4000", "(values (0)) x(w)")}""",
-        "reach_batch_totals": f"""select source_id, count(*) as reached, max(arrival_time) as last_arrival from (
-with recursive edges as ({TRADE}),
-suppliers as (select n_regionkey as region, s_suppkey as source_id from supplier join nation on n_nationkey = s_nationkey),
-{_seeded_walk("region * 100", "4000", "(values (0)) x(w)")}) group by source_id""",
-        "reach_windows": f"""with recursive edges as ({TRADE}),
-{REGION_SUPPLIERS},
-{_seeded_walk("1100 + w * 200", "1400 + w * 80", "(values (0), (1), (2)) x(w)")}""",
+        "reach_batch": _seeded_walk("region * 100", "4000", "(values (0)) x(w)"),
+        "reach_batch_totals": f"""select source_id, count(*) as reached, max(arrival_time) as last_arrival
+from ({_seeded_walk("region * 100", "4000", "(values (0)) x(w)")}) group by source_id""",
+        "reach_windows": _seeded_walk("1100 + w * 200", "1400 + w * 80", "(values (0), (1), (2)) x(w)"),
         "reach_count": EVENT_WALK + "select count(*) as reachable from arrivals",
         "reach_named": TRADE_WALK + f"select email, arrival_time from arrivals join ({PERSONS}) using (node_id)",
         "reach_top_k": EVENT_WALK + f"select node_id, arrival_time from arrivals order by arrival_time, node_id limit {TOP_K}",

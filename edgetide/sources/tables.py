@@ -53,9 +53,10 @@ def order_mail(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         return F.array_join(F.transform(F.sort_array(lines), lambda x: F.concat(
             F.lit("Supplier"), x["l_suppkey"].cast("string"), F.lit("@X.test"))), ",\n\t")
 
-    # an order has at most a handful of lines
+    # An order has at most a handful of lines. Both sides are shuffled, also when one is small: were the boxes broadcast,
+    # all messages would be rendered and read in as many tasks as the orders have files.
     boxes = lineitem.groupBy("l_orderkey").agg(*(suppliers(f).alias(f) for f in ("R", "A", "N")))
-    return orders.join(boxes, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+    return orders.join(boxes.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
         F.concat(F.lit("maildir/"), F.col("o_orderkey").cast("string"), F.lit(".")).alias("path"),
         F.concat(
             F.lit("Message-ID: <"), F.col("o_orderkey").cast("string"), F.lit("@x.test>\n"),
