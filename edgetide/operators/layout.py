@@ -96,6 +96,12 @@ def measure(df: DataFrame, key: str) -> Measured:
     return Measured(counts, total, top)
 
 
+def computed(df: DataFrame) -> bool:
+    """Whether reading the rows takes more than a scan with filters and projections."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return any(step in plan for step in ("Join", "Aggregate", "Generate", "Window", "Sort", "Repartition"))
+
+
 def lay_out(
     df: DataFrame,
     key: str,
@@ -105,9 +111,13 @@ def lay_out(
     measured: Measured | None = None,
     rows_per_partition: int = ROWS_PER_PARTITION,
     hot_floor: int = ROWS_PER_PARTITION,
+    collapse: bool = False,
 ) -> Layout:
     """Partition ``df`` for repeated joins on ``key``, splitting keys that hold too many rows.
 
+    With ``collapse`` equal rows are kept once; of those that differ in ``edge_id`` only, the one with the least.
+    They meet in the partition of their key, so that takes no shuffle of its own.
+
     ``limit >= 4 * total / partitions``, so at most ``partitions / 4`` <= 5,000 keys can be hot: that bounds the
     broadcast of the hot list.
     """
@@ -119,12 +129,12 @@ def lay_out(
     if measured.top > limit:
         fan, salt = scratch.save(hot_keys(measured.counts, key, limit), f"hot-{key}"), ["salt"]
         df = df.join(F.broadcast(fan), key, "left").withColumn("salt", salt_of(spread_by, F.coalesce("fan", F.lit(1))))
-    rows = (
-        df.drop("fan")
-        .repartition(partitions, key, *salt)
-        .sortWithinPartitions(key, *salt, *order_by)
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    rows = df.drop("fan").repartition(partitions, key, *salt)
+    if collapse and "edge_id" in rows.columns:
+        rows = rows.groupBy([c for c in rows.columns if c != "edge_id"]).agg(F.min("edge_id").alias("edge_id"))
+    elif collapse:
+        rows = rows.dropDuplicates()
+    rows = rows.sortWithinPartitions(key, *salt, *order_by).persist(StorageLevel.MEMORY_AND_DISK)
     return Layout(rows, key, measured.total, fan)
 
 

@@ -58,6 +58,7 @@ def message_rounds(
             state.alias("s").join(received.alias("m"), "id", "left").select(
                 "id", new.alias(column), (~new.eqNullSafe(old)).alias("changed")),
             f"round-{number}", changes)
+        scratch.drop(f"round-{number - 1}")
     layout.release()
     return state.select("id", column)
 

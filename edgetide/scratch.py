@@ -32,6 +32,10 @@ class Scratch:
     def read(self, name: str, schema) -> DataFrame:
         return self.spark.read.schema(schema).parquet(self.path(name))
 
+    def read_all(self, names: list[str], schema) -> DataFrame:
+        """Several steps of the same schema as one scan."""
+        return self.spark.read.schema(schema).parquet(*(self.path(name) for name in names))
+
     def save(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         writer = df.write.mode("overwrite")
         if partition_by:

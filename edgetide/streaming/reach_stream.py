@@ -9,19 +9,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from edgetide.operators.layout import Layout, lay_out
-from edgetide.operators.reach import KEYS, changed_rows, expand, merge, relax, seed_state, total_rows
+from edgetide.operators.known import KEYS, Known
+from edgetide.operators.reach import candidates, relax, seed_state, total_rows
 from edgetide.schema import from_micros, micros, time_type
 from edgetide.scratch import Scratch
 
+# After so many batches the state is written as a whole, so that it never takes more folders than this to read it.
+SNAPSHOT_BATCHES = 16
+
 
 @dataclass
 class ReachStream:
     """Stream job whose state after each micro-batch equals ``reach`` over all edges accepted so far.
 
-    Folders below ``base``: ``edges/batch_id=N`` holds the accepted edges, ``state/N`` the arrivals after batch N.
-    Batch N reads state N-1 and writes both with overwrite, so a replayed batch changes nothing. New edges only ever
-    lower arrivals: a batch joins its edges with the state, and only what improves is carried on through the stored
-    edges. Those are sorted by time, and the scan skips the ones before the first improved arrival.
+    Folders below ``base``: ``edges/batch_id=N`` holds the accepted edges, ``state/N`` the arrivals that batch N has
+    improved, or all of them where N is a multiple of SNAPSHOT_BATCHES. Batch N reads what the batches before it wrote
+    and writes both with overwrite, so a replayed batch changes nothing. New edges only ever lower arrivals: a batch
+    joins its edges with the state, and only what improves is carried on through the stored edges. Those are sorted by
+    time, and the scan skips the ones before the first improved arrival.
     """
 
     spark: SparkSession
@@ -67,12 +72,20 @@ class ReachStream:
         arrived = self.scratch.read(self._stored(arrived, batch_id), arrived.schema)
         new = self.scratch.save(
             arrived.hint("rebalance").sortWithinPartitions("start_time"), f"edges/batch_id={batch_id}")
-        state = self._state(batch_id - 1)
-        layout = lay_out(new, "src", ["dst", "start_time"], ["start_time"], self.scratch)
+        layout = lay_out(new, "src", ["dst", "start_time"], ["start_time"], self.scratch, collapse=True)
+        known = self._known(batch_id - 1)
+        before = list(known.saved)
         if layout.total:
-            state = self._updated(state, layout, batch_id)
+            self._update(known, layout, batch_id)
         layout.release()
-        self.scratch.save(state, f"state/{batch_id}")
+        if batch_id and batch_id % SNAPSHOT_BATCHES == 0:
+            improved = known.rows()
+        else:
+            known.saved = known.saved[len(before):]
+            improved = known.rows() if known.saved else self._state(-1).limit(0)
+        self.scratch.save(improved, f"state/{batch_id}")
+        known.close()
+        self.scratch.drop(f"work/{batch_id}")
         self.last_batch = batch_id
 
     def _stored(self, arrived: DataFrame, batch_id: int) -> str:
@@ -80,14 +93,17 @@ class ReachStream:
         arrived.write.mode("overwrite").parquet(self.scratch.path(name))
         return name
 
-    def _updated(self, state: DataFrame, new: Layout, batch_id: int) -> DataFrame:
+    def _update(self, known: Known, new: Layout, batch_id: int) -> None:
+        state = known.rows()
         n_state = state.count()
         unused = state.withColumn("prev_time", F.lit(None).cast(self.time))
-        merged = merge(state, expand(new, unused, n_state, self.strict))
-        first = F.min(F.when(F.col("changed"), micros(F.col("arrival_time")))).alias("first")
-        state, seen = self.scratch.save_counted(merged, f"work/{batch_id}/first", changed_rows(), total_rows(), first)
-        if not seen["improved"]:
-            return state
+        first = F.min(micros(F.col("arrival_time"))).alias("first")
+        name = f"work/{batch_id}/first"
+        improved, seen = self.scratch.save_counted(
+            known.improved(candidates(new, unused, n_state, self.strict)), name, total_rows(), first)
+        if not seen["total"]:
+            return
+        known.add(name, seen["total"])
         # From a node's old arrival on, all edges are used: the stored ones by earlier batches, the new ones just
         # now. What is left are edges between its new and its old arrival, which is what ``relax`` looks at.
         layout = new
@@ -95,12 +111,10 @@ class ReachStream:
             columns = new.rows.select("src", "start_time", "end_time", "dst")
             stored = self.scratch.read("edges", columns.schema.add("batch_id", "long")).filter(
                 (F.col("batch_id") <= batch_id) & (F.col("start_time") >= from_micros(seen["first"], self.time)))
-            layout = lay_out(stored.select(columns.columns), "src", ["dst", "start_time"], ["start_time"], self.scratch)
-        state, _, _, _ = relax(layout, state, seen["total"], state.filter("changed"), seen["improved"], self.scratch,
-                               f"work/{batch_id}/more", self.strict)
+            layout = lay_out(stored.select(columns.columns), "src", ["dst", "start_time"], ["start_time"], self.scratch, collapse=True)
+        relax(layout, known, improved, seen["total"], f"work/{batch_id}/more", self.strict)
         if layout is not new:
             layout.release()
-        return state
 
     def _stored_batch(self) -> int:
         """The last batch whose state was written as a whole, so that a restarted stream goes on from there; else -1."""
@@ -109,9 +123,20 @@ class ReachStream:
         found = pattern.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(pattern)
         return max((int(f.getPath().getParent().getName()) for f in found or []), default=-1)
 
+    def _written(self, batch_id: int) -> list[str]:
+        """The folders that make up the state after a batch; before batch 0 there are only the start nodes."""
+        whole = batch_id - batch_id % SNAPSHOT_BATCHES if batch_id >= 0 else 0
+        start = [] if whole else ["seeds"]
+        return start + [f"state/{n}" for n in range(whole, batch_id + 1)]
+
+    def _known(self, batch_id: int) -> Known:
+        names = self._written(batch_id)
+        return Known.of(self.scratch, names, self.seeds.schema, self.scratch.read_all(names, self.seeds.schema).count())
+
     def _state(self, batch_id: int) -> DataFrame:
-        """The state after a batch; before batch 0 there are only the start nodes."""
-        return self.scratch.read("seeds" if batch_id < 0 else f"state/{batch_id}", self.seeds.schema)
+        known = self._known(batch_id)
+        known.close()
+        return known.rows()
 
     def arrivals(self, batch_id: int | None = None) -> DataFrame:
         """(source_id, node_id, arrival_time) after a batch, by default the last one processed, also by a stream before a restart."""

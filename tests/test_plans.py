@@ -3,8 +3,11 @@
 import re
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as registry
 from edgetide.operators import degree, edges, reach
+from edgetide.operators.known import Known
 from edgetide.operators.layout import lay_out
 from edgetide.operators.two_hop import two_hop_index
 from edgetide.scratch import Scratch
@@ -51,7 +54,7 @@ def laid_out(spark, **options):
 
 def round_plan(spark, layout, n_frontier):
     state = reach.seed_state(source_frame(spark, [(0, 1, 0, 10)]))
-    return plan(reach.merge(state, reach.expand(layout, state, n_frontier)))
+    return plan(reach.candidates(layout, state, n_frontier))
 
 
 def above_the_cache(text):
@@ -90,6 +93,61 @@ def test_large_frontier_meets_edges_where_they_are(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_a_round_shuffles_candidates_and_writes_improvements(spark):
+    """Layers of what is known are neither shuffled nor sorted again, and a round writes only rows that are better."""
+    scratch = Scratch(spark)
+    seeds = scratch.save(reach.seed_state(source_frame(spark, [(0, n, 5, 100) for n in range(40)])), "seeds")
+    known = Known(scratch, "seeds", seeds.schema, 40)
+    better = seeds.filter("node_id < 4").withColumn("arrival_time", F.expr("arrival_time - interval 1 minute"))
+    scratch.save(better, "one")
+    known.add("one", 4)
+    assert [n for _, n, _ in known.layers] == [40, 4]
+    for _, n, layer in known.layers:
+        assert layer.count() == n  # as after a round; before that, the plan does not know the layer's partitions yet
+    found = seeds.select("source_id", "node_id", F.expr("arrival_time - interval 30 second").alias("arrival_time"), "window_end").filter("node_id < 8")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        improved = known.improved(found.groupBy("source_id", "node_id").agg(F.min("arrival_time").alias("arrival_time"), F.max("window_end").alias("window_end")))
+        text = above_the_cache(plan(improved))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("Exchange hashpartitioning") == 1 and text.count("SortMergeJoin") == 2
+    assert sorted(r["node_id"] for r in improved.collect()) == [4, 5, 6, 7]
+    assert {r["node_id"]: r["arrival_time"] for r in known.rows().collect()} == {
+        r["node_id"]: r["arrival_time"] for r in seeds.filter("node_id >= 4").unionByName(better).collect()}
+    scratch.save(seeds.limit(30), "two")
+    known.add("two", 30)
+    assert [n for _, n, _ in known.layers] == [74]  # 4 <= 2 * 30, then 40 <= 2 * 34
+    known.close()
+
+
+def test_input_with_joins_is_computed_once(spark, monkeypatch):
+    """Before the first round, lineitem is read for the copy of the window only."""
+    scans = []
+    save = Scratch.save
+
+    def spy(self, df, name, partition_by=None):
+        if "lineitem.parquet" in plan(df):
+            scans.append(name)
+        return save(self, df, name, partition_by)
+
+    monkeypatch.setattr(Scratch, "save", spy)
+    trade = tables.trade_edges(tables.read(spark, FOLDER, "orders"), tables.read(spark, FOLDER, "lineitem"))
+    found = reach.reach(trade, reach.single_source(trade, 1, "1995-01-01 00:00:00", 60_000))
+    assert scans == ["window"] and found.converged
+    assert "lineitem.parquet" not in plan(found.arrivals)
+
+
+def test_equal_edges_are_laid_out_once(spark):
+    rows = edge_frame(spark, [(1, 2, 3)] * 2000 + [(1, 2, 4), (2, 1, 4)])
+    one = lay_out(rows.drop("edge_id"), "src", ["dst"], ["sent_at"], Scratch(spark), collapse=True)
+    assert one.rows.count() == 3 and "Exchange" in plan(one.rows)
+    two = lay_out(rows, "src", ["dst"], ["sent_at"], Scratch(spark), collapse=True)
+    assert sorted(r["edge_id"] for r in two.rows.collect()) == ["e00000", "e02000", "e02001"]
+    for layout in (one, two):
+        layout.release()
+
+
 def test_index_joins_are_equi_joins(spark):
     text = plan(two_hop_index(edge_frame(spark, M1)))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text

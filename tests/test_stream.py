@@ -85,3 +85,19 @@ def test_restart_goes_on(spark, tmp_path):
     assert len(found(again.arrivals())) > 1  # what was reached before the restart, also without new files
     run(spark, tmp_path / "in", again)
     assert found(again.arrivals()) == {1: 0, 2: 1, 3: 2, 4: 2}
+
+
+def test_a_batch_writes_what_it_improves_and_now_and_then_all(spark, monkeypatch):
+    monkeypatch.setattr("edgetide.streaming.reach_stream.SNAPSHOT_BATCHES", 3)
+    sources = source_frame(spark, [(0, 0, 0, 1000)])
+    job = ReachStream(spark, sources)
+    chain = [(i, i + 1, i + 1) for i in range(8)]
+    for number, edge in enumerate(chain):
+        job.process(edge_frame(spark, [edge]).drop("edge_id"), number)
+    written = [job.scratch.read(f"state/{n}", job.seeds.schema).count() for n in range(8)]
+    assert written == [1, 1, 1, 5, 1, 1, 8, 1]
+    assert found(job.arrivals()) == {i: i for i in range(9)}
+    assert found(job.arrivals(4)) == {i: i for i in range(6)}
+    # an edge that was missing makes all that follows earlier
+    job.process(edge_frame(spark, [(0, 1, 0)]).drop("edge_id"), 8)
+    assert job.scratch.read("state/8", job.seeds.schema).count() == 1 and found(job.arrivals())[1] == 0
