@@ -177,6 +177,13 @@ def q_earliest_path(spark, d):
     return earliest_path(events, sources).drop("source_id")
 
 
+def q_earliest_path_slices(spark, d):
+    """The same as ``earliest_path``, in five time slices."""
+    events = _events(spark, d)
+    sources = rch.single_source(events, EVENT_SEED, EVENT_START, EVENT_HOURS)
+    return earliest_path(events, sources, slice_rows=-(-events.count() // 5)).drop("source_id")
+
+
 # ---- two-hop index
 
 def q_two_hop_index(spark, d):
@@ -507,6 +514,7 @@ from edges e join supplier on e.src = 2 * s_suppkey + 1 where {_window(TRADE_STA
         "reach_recursive_sql": TRADE_WALK + arrivals,
         "reach_stream": EVENT_WALK + arrivals,
         "earliest_path": PATH,
+        "earliest_path_slices": PATH,
         "two_hop_index": f"{events} {INDEX}",
         "unified_edges": f"""{events} select e.src, e.sent_at as start_time, e.sent_at as end_time, e.dst
 from edges e where {_window(EVENT_START, EVENT_HOURS)}
