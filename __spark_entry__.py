@@ -19,7 +19,7 @@ from edgetide.operators.messages import reach_hop_bounded
 from edgetide.operators.paths import earliest_path
 from edgetide.operators.recursive import reach_recursive_sql
 from edgetide.operators.sweep import sweep
-from edgetide.operators.two_hop import two_hop_index, two_hop_path_search
+from edgetide.operators.two_hop import current_index, two_hop_index, two_hop_path_search, two_hop_update
 from edgetide.plans.catalog import row_counts
 from edgetide.scratch import Scratch
 from edgetide.sources import tables as src
@@ -190,6 +190,14 @@ def q_two_hop_index(spark, d):
     return two_hop_index(_events(spark, d))
 
 
+def q_two_hop_index_two_loads(spark, d):
+    """The index of the events of even users, brought up to date with those of all others."""
+    events = _events(spark, d)
+    first, second = events.filter("src % 2 = 0"), events.filter("src % 2 = 1")
+    index = Scratch(spark).save(two_hop_index(first), "index")
+    return current_index(index.unionByName(two_hop_update(index, first, second)))
+
+
 def q_unified_edges(spark, d):
     events = _events(spark, d)
     return edge_ops.unified_edges(events, two_hop_index(events), EVENT_START, EVENT_HOURS)
@@ -516,6 +524,7 @@ from edges e join supplier on e.src = 2 * s_suppkey + 1 where {_window(TRADE_STA
         "earliest_path": PATH,
         "earliest_path_slices": PATH,
         "two_hop_index": f"{events} {INDEX}",
+        "two_hop_index_two_loads": f"{events} {INDEX}",
         "unified_edges": f"""{events} select e.src, e.sent_at as start_time, e.sent_at as end_time, e.dst
 from edges e where {_window(EVENT_START, EVENT_HOURS)}
 union all select n1, t1, t2, n3 from ({INDEX})

@@ -2,108 +2,123 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgetide.operators.layout import Measured, lay_out, spread_join
+from edgetide.operators.layout import BROADCAST_ROWS, lay_out
 from edgetide.schema import micros
 from edgetide.scratch import Scratch
 
-# Rows of one side in one join cell; a hub with more on either side is spread over a grid of cells.
+# Targets whose departures meet the same arrivals in one group of the join; those of a hub with more are spread.
 CELL_ROWS = 20_000
+# Arrivals of one middle node that are joined together.
+BLOCK_ARRIVALS = 64
 HOUR = 3_600_000_000
-MAX_LEVEL = 20
+INDEX = ["n1", "t1", "n2", "t2", "n3"]
+INDEX_KEY = ["n1", "t1", "n2", "n3"]
 
 
 def two_hop_index(edges: DataFrame, strict: bool = True, cell_rows: int = CELL_ROWS,
-                  chunk_micros: int = HOUR) -> DataFrame:
+                  chunk_micros: int = HOUR, block_arrivals: int = BLOCK_ARRIVALS) -> DataFrame:
     """(n1, t1, n2, t2, n3): for each edge n1 -> n2 at t1 and each n3, the earliest onward edge n2 -> n3 after t1.
 
     Joining all pairs of edges that meet in n2 and keeping the minimum would emit in-degree times out-degree rows.
-    Instead each onward edge carries the departure before it (``p2``) to the same target: it is the earliest one
-    after t1 exactly when ``p2 <= t1 < t2`` (``p2 < t1 <= t2`` when not strict). The join therefore emits the index
-    rows and nothing else.
-
-    To compare little more than it emits, the interval [p2, t2] is put into time blocks. A pair (n2, n3) with m
-    departures has 2^ceil(log2 m) blocks, so that about one departure falls into each, and all intervals together
-    give a number of block rows proportional to the number of edges. An in-edge looks into its own block of each
-    block size that occurs at n2. A hub's in-edges and onward edges are spread over a grid of cells.
+    Here arrivals and departures of a middle node are merged into one run in time order, and arrivals are numbered.
+    A departure to n3 is the earliest one for just those arrivals that lie between the departure to n3 before it and
+    itself: a range of numbers. Departures without arrivals in their range are dropped, all others stay open over the
+    blocks of ``block_arrivals`` arrivals that their range touches. So a departure is copied once per block, not once
+    per arrival, and the join compares little more rows than it emits.
     """
-    scratch = Scratch(edges.sparkSession)
-    at = micros(F.col("sent_at"))
-    # both sides and the statistics read the distinct edges, so they are written once
-    distinct, seen = scratch.save_counted(
-        edges.select("src", "dst", "sent_at").filter("src IS NOT NULL AND dst IS NOT NULL").dropDuplicates(),
-        "distinct", F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("total"))
-    if not seen["total"]:
-        return distinct.selectExpr("src AS n1", "sent_at AS t1", "dst AS n2", "sent_at AS t2", "dst AS n3")
-    first, span, total = seen["first"], seen["last"] - seen["first"] + 1, seen["total"]
-
-    onward = scratch.save(_departures(distinct, chunk_micros), "onward")
-    per_level = onward.groupBy("n2", "level").agg(F.count(F.lit(1)).alias("n_out"), F.max("t2").alias("last"))
-    counted = distinct.groupBy(F.col("dst").alias("n2")).agg(F.count(F.lit(1)).alias("n_in"))
-    # per middle node and block size: the number of cells (rows and columns of a grid) its edges are spread over
-    grid, top = scratch.save_counted(
-        per_level.join(counted, "n2").select(
-            "n2", "level", "last", "n_in", "n_out",
-            F.ceil(F.col("n_in") / cell_rows).cast("int").alias("n_rows"),
-            F.ceil(F.col("n_out") / cell_rows).cast("int").alias("n_cols")),
-        "grid", F.max("n_in").alias("n_in"), F.max("n_out").alias("n_out"))
-    n_in = Measured(grid.groupBy("n2").agg(F.max("n_in").alias("n")), total, top["n_in"] or 0)
-    n_out = Measured(grid.groupBy("n2").agg(F.sum("n_out").alias("n")), total, (top["n_out"] or 0) * (MAX_LEVEL + 1))
-
-    late = F.col("sent_at") < F.col("last") if strict else F.col("sent_at") <= F.col("last")
-    arriving = distinct.selectExpr("dst AS n2", "src AS n1", "sent_at")
-    left = (
-        spread_join(arriving, grid.select("n2", "level", "last", "n_rows", "n_cols"), ["n2"], ["n1", "sent_at"],
-                    scratch, n_in)
-        .filter(late)
-        .withColumn("cell_row", F.pmod(F.xxhash64("n1", "sent_at"), F.col("n_rows")).cast("int"))
-        .withColumn("cell_col", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)))
-        .withColumn("block", _block(F.col("sent_at"), F.col("level"), first, span))
-        .select("n2", "level", "block", "cell_row", "cell_col", "n1", F.col("sent_at").alias("t1"))
-    )
-    from_block = F.coalesce(_block(F.col("p2"), F.col("level"), first, span), F.lit(0).cast("long"))
-    right = (
-        spread_join(onward, grid.select("n2", "level", "n_rows", "n_cols"), ["n2", "level"], ["n3", "t2"], scratch, n_out)
-        .withColumn("cell_col", F.pmod(F.xxhash64("n3", "t2"), F.col("n_cols")).cast("int"))
-        .withColumn("cell_row", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)))
-        .withColumn("block", F.explode(F.sequence(from_block, _block(F.col("t2"), F.col("level"), first, span))))
-        .select("n2", "level", "block", "cell_row", "cell_col", "n3", "t2", "p2")
-    )
-    if strict:
-        fits = (F.col("t1") < F.col("t2")) & (F.col("p2").isNull() | (F.col("t1") >= F.col("p2")))
-    else:
-        fits = (F.col("t1") <= F.col("t2")) & (F.col("p2").isNull() | (F.col("t1") > F.col("p2")))
-    return left.join(right, ["n2", "level", "block", "cell_row", "cell_col"]).filter(fits).select(
-        "n1", "t1", "n2", "t2", "n3")
-
-
-def _block(moment: Column, level: Column, first: int, span: int) -> Column:
-    """Number of the time block: the whole time span is cut into 2^level blocks of equal width."""
-    width = F.ceil(F.lit(span) / F.pow(F.lit(2), level)).cast("long")
-    return F.floor((micros(moment) - F.lit(first)) / width).cast("long")
-
-
-def _departures(distinct: DataFrame, chunk_micros: int) -> DataFrame:
-    """(n2, t2, n3, p2, level): each departure, the one before it to the same target, and the pair's block size.
-
-    The previous departure is found in two steps so that a pair holding a large part of all edges is not one window
-    group: within time chunks of the pair, and from chunk to chunk over one summary row each.
+    distinct = edges.select("src", "dst", "sent_at")
+    return join_hops(distinct, distinct, Scratch(edges.sparkSession), strict, cell_rows, chunk_micros, block_arrivals)
+
+
+def join_hops(first: DataFrame, second: DataFrame, scratch: Scratch, strict: bool = True, cell_rows: int = CELL_ROWS,
+              chunk_micros: int = HOUR, block_arrivals: int = BLOCK_ARRIVALS) -> DataFrame:
+    """Index rows of the edges ``first`` (src, dst, sent_at) with the earliest onward edges among ``second``."""
+    arrivals, spans = merged_run(first, second, scratch, strict, cell_rows, chunk_micros, block_arrivals)
+    between = (F.col("place") >= F.col("low")) & (F.col("place") < F.col("high"))
+    return arrivals.join(spans, ["n2", "block", "cell"]).filter(between).select(*INDEX)
+
+
+def merged_run(first: DataFrame, second: DataFrame, scratch: Scratch, strict: bool, cell_rows: int, chunk_micros: int,
+               block_arrivals: int) -> tuple[DataFrame, DataFrame]:
+    """Arrivals (n2, block, cell, place, n1, t1) and departures (n2, block, cell, low, high, n3, t2), once for each
+    block between the first and the last arrival they are the earliest for: those with low <= place < high."""
+    name = uuid.uuid4().hex
+    chunk = F.floor(micros(F.col("at")) / chunk_micros).alias("chunk")
+    arriving = first.selectExpr("dst AS n2", "src AS other", "sent_at AS at", "1 AS kind")
+    # at equal times a departure comes before an arrival that may not use it, else behind
+    leaving = second.selectExpr("src AS n2", "dst AS other", "sent_at AS at", f"{0 if strict else 2} AS kind")
+    both = arriving.unionByName(leaving).filter("n2 IS NOT NULL AND other IS NOT NULL AND at IS NOT NULL")
+    run = scratch.save(both.dropDuplicates().select("*", chunk), f"run-{name}")
+    # Numbers are found in two steps, within time chunks of a node and from chunk to chunk, so that a node or a pair
+    # with a large part of all edges is not one window group.
+    per_chunk = run.groupBy("n2", "chunk").agg(F.count_if(F.col("kind") == 1).alias("n_in"))
+    # about as many departures as a node has targets are open at a time
+    targets = run.filter("kind <> 1").groupBy("n2").agg(F.approx_count_distinct("other").alias("targets"))
+    node = Window.partitionBy("n2")
+    before = F.coalesce(F.sum("n_in").over(node.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = F.greatest(F.lit(1), F.ceil(F.col("targets") / cell_rows)).cast("int")
+    # nodes without departures are in no index row
+    per_chunk = per_chunk.select("n2", "chunk", before.alias("before")).join(targets, "n2").select(
+        "n2", "chunk", "before", cells.alias("cells"))
+    so_far = F.count_if(F.col("kind") == 1).over(
+        Window.partitionBy("n2", "chunk").orderBy("at", "kind", "other").rowsBetween(Window.unboundedPreceding, 0))
+    numbered = scratch.save(run.withColumn("so_far", so_far).join(per_chunk, ["n2", "chunk"]).select(
+        "n2", "chunk", "other", "at", "kind", (F.col("before") + F.col("so_far")).alias("number"), "cells"), f"numbered-{name}")
+
+    block = F.floor((F.col("number") - 1) / block_arrivals)
+    arrivals = numbered.filter("kind = 1").select(
+        "n2", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"),
+        (F.col("number") - 1).alias("place"), F.col("other").alias("n1"), F.col("at").alias("t1"))
+    departures = numbered.filter("kind <> 1 AND number > 0")
+    pair = Window.partitionBy("n2", "other").orderBy("chunk")
+    last = departures.groupBy("n2", "other", "chunk").agg(F.max("number").alias("last")).select(
+        "n2", "other", "chunk", F.lag("last").over(pair).alias("before_chunk"))
+    in_chunk = Window.partitionBy("n2", "other", "chunk").orderBy("at")
+    low = F.coalesce(F.lag("number").over(in_chunk), "before_chunk", F.lit(0))
+    spans = departures.join(last, ["n2", "other", "chunk"]).withColumn("low", low).filter("low < number").select(
+        "n2", F.explode(F.sequence(F.floor(F.col("low") / block_arrivals), block)).alias("block"),
+        F.pmod(F.xxhash64("other"), F.col("cells")).cast("int").alias("cell"),
+        "low", F.col("number").alias("high"), F.col("other").alias("n3"), F.col("at").alias("t2"))
+    return arrivals, spans
+
+
+def two_hop_update(index: DataFrame, edges: DataFrame, new_edges: DataFrame, **options) -> DataFrame:
+    """The index rows (n1, t1, n2, t2, n3) that ``new_edges`` add to the index of ``edges`` or make earlier.
+
+    Only middle nodes at which a new edge arrives or leaves are looked at. A row replaces the one with the same
+    (n1, t1, n2, n3); ``current_index`` puts both together.
     """
-    chunk = F.floor(micros(F.col("sent_at")) / chunk_micros)
-    rows = distinct.selectExpr("src AS n2", "sent_at AS t2", "dst AS n3").withColumn(
-        "chunk", F.floor(micros(F.col("t2")) / chunk_micros))
-    per_chunk = distinct.groupBy(F.col("src").alias("n2"), F.col("dst").alias("n3"), chunk.alias("chunk")).agg(
-        F.max("sent_at").alias("last_in_chunk"), F.count(F.lit(1)).alias("n"))
-    pair = Window.partitionBy("n2", "n3")
-    per_chunk = per_chunk.select(
-        "n2", "n3", "chunk",
-        F.lag("last_in_chunk").over(pair.orderBy("chunk")).alias("before_chunk"),
-        F.least(F.lit(MAX_LEVEL), F.ceil(F.log2(F.sum("n").over(pair).cast("double")))).cast("int").alias("level"))
-    in_chunk = Window.partitionBy("n2", "n3", "chunk").orderBy("t2")
-    return rows.join(per_chunk, ["n2", "n3", "chunk"]).select(
-        "n2", "t2", "n3", F.coalesce(F.lag("t2").over(in_chunk), "before_chunk").alias("p2"), "level")
+    scratch = Scratch(edges.sparkSession)
+    columns = ["src", "dst", "sent_at"]
+    known, new = edges.select(columns), new_edges.select(columns).distinct()
+    new = scratch.save(new.join(known, columns, "left_anti"), "new")
+    entered = _touched(new, "dst", scratch)
+    left = _touched(new, "src", scratch)
+
+    def at(df: DataFrame, column: str, nodes: DataFrame) -> DataFrame:
+        return df.join(nodes.withColumnRenamed("node_id", column), column, "left_semi")
+
+    added = join_hops(new, at(known, "src", entered).unionByName(new), scratch, **options)
+    beating = join_hops(at(known, "dst", left), new, scratch, **options)
+    present = at(index, "n2", left).groupBy(*INDEX_KEY).agg(F.min("t2").alias("present"))
+    better = beating.join(present, INDEX_KEY, "left").filter("present IS NULL OR t2 < present").select(*INDEX)
+    return added.unionByName(better)
+
+
+def _touched(new: DataFrame, column: str, scratch: Scratch) -> DataFrame:
+    nodes, seen = scratch.save_counted(
+        new.select(F.col(column).alias("node_id")).distinct(), f"touched-{column}", F.count(F.lit(1)).alias("n"))
+    return F.broadcast(nodes) if seen["n"] <= BROADCAST_ROWS else nodes
+
+
+def current_index(rows: DataFrame) -> DataFrame:
+    """The index from its rows and those of later updates: of each (n1, t1, n2, n3) the earliest."""
+    return rows.groupBy(*INDEX_KEY).agg(F.min("t2").alias("t2")).select(*INDEX)
 
 
 def two_hop_path_search(index: DataFrame, start: int, target: int, margin_s: int = 0, max_depth: int = 10,

@@ -3,7 +3,8 @@ import random
 import pytest
 
 from edgetide.operators.degree import degree, degree_stats, in_degree, out_degree
-from edgetide.operators.two_hop import two_hop_index, two_hop_path_search
+from edgetide.operators.two_hop import current_index, merged_run, two_hop_index, two_hop_path_search, two_hop_update
+from edgetide.scratch import Scratch
 from micro import M1, brute_index, edge_frame, minute_of, random_graph
 
 ROWS = {(1, 1, 2, 2, 3), (2, 0, 5, 9, 6), (2, 2, 3, 3, 4), (3, 2, 4, 4, 1), (3, 3, 4, 4, 1), (4, 4, 1, 5, 3)}
@@ -20,7 +21,7 @@ def test_micro_index(spark):
 
 
 @pytest.mark.parametrize("strict", [True, False])
-@pytest.mark.parametrize("options", [{}, {"cell_rows": 2}, {"chunk_micros": 120_000_000}, {"cell_rows": 3, "chunk_micros": 1}])
+@pytest.mark.parametrize("options", [{}, {"cell_rows": 2, "block_arrivals": 2}, {"chunk_micros": 120_000_000}, {"cell_rows": 3, "chunk_micros": 1, "block_arrivals": 3}])
 def test_random_index(spark, strict, options):
     rng = random.Random(3)
     edges = sum((random_graph(rng, 100 * g, nodes=5, edges=25, minutes=12) for g in range(30)), [])
@@ -83,3 +84,40 @@ def test_degrees(spark):
     assert (stats.avg_degree, stats.max_degree) == (3.0, 4)
     assert {r.node_id: r.out_degree for r in out_degree(edges).collect()} == {1: 2, 2: 2, 3: 2, 4: 1, 5: 2}
     assert {r.node_id: r.in_degree for r in in_degree(edges).collect()} == {1: 1, 2: 1, 3: 2, 4: 2, 5: 1, 6: 2}
+
+
+def test_the_join_reads_little_more_than_it_emits(spark):
+    """2,000 edges into a node and 2,000 out of it, in time order by turns, to few targets: small cells and blocks."""
+    edges = [(10 + i % 7, 2, 2 * i) for i in range(2000)] + [(2, 50 + i % 3, 2 * i + 1) for i in range(2000)]
+    frame = edge_frame(spark, edges).select("src", "dst", "sent_at")
+    arrivals, spans = merged_run(frame, frame, Scratch(spark), True, 100, 3_600_000_000, 16)
+    index = two_hop_index(frame, cell_rows=100, block_arrivals=16).count()
+    assert index == sum(1 for i in range(2000) for k in range(3) if any((i + j) % 3 == k for j in range(min(3, 2000 - i))))
+    # every departure touches one or two blocks, every arrival at a node with departures stands once
+    assert spans.count() < 1.5 * 2000 and arrivals.count() == 2000
+    assert arrivals.count() + spans.count() < len(edges) + index
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_two_loads_equal_one_build(spark, seed):
+    rng = random.Random(seed)
+    edges = sum((random_graph(rng, 100 * g, nodes=5, edges=25, minutes=12) for g in range(10)), [])
+    rng.shuffle(edges)
+    cut = len(edges) // 2
+    first, second = edge_frame(spark, edges[:cut]), edge_frame(spark, edges[cut - 5:])  # five edges come again
+    index = Scratch(spark).save(two_hop_index(first), "index")
+    changed = two_hop_update(index, first, second)
+    assert rows(current_index(index.unionByName(changed))) == brute_index(edges)
+    # rows of the update are new or earlier, nothing else
+    before = {(r.n1, r.t1, r.n2, r.n3): r.t2 for r in index.collect()}
+    for r in changed.collect():
+        known = before.get((r.n1, r.t1, r.n2, r.n3))
+        assert known is None or r.t2 < known
+
+
+def test_an_update_looks_at_touched_middle_nodes_only(spark):
+    edges = [(i, i + 1, i) for i in range(100)]
+    first = edge_frame(spark, edges)
+    index = Scratch(spark).save(two_hop_index(first), "index")
+    changed = rows(two_hop_update(index, first, edge_frame(spark, [(50, 51, 49), (200, 50, 1)])))
+    assert changed == {(200, 1, 50, 49, 51), (50, 49, 51, 51, 52)}
