@@ -23,11 +23,12 @@ def main(argv: list[str] | None = None) -> None:
 
     window = (("--email", None), ("--start", jobs.DEFAULTS["start"]),
               ("--hours", jobs.DEFAULTS["hours"]))
-    command("create-tables", ("--buckets", 16), ("--format", "parquet"))
+    command("create-tables", ("--buckets", 16), ("--format", "parquet")).add_argument("--by-day", action="store_true")
     command("load-mail", ("--folder", None))
     command("mail-to-json", ("--folder", None), ("--out", None))
     command("load-json", ("--folder", None)).add_argument("--lines", action="store_true")
     command("build-two-hop")
+    command("update-two-hop", ("--loaded-from", None))
     command("reach", *window).add_argument("--two-hop", action="store_true")
     command("reach-sql", *window)
     command("reach-hops", *window, ("--k", 50))
@@ -46,11 +47,12 @@ def main(argv: list[str] | None = None) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     span = (a.email, a.start, a.hours) if hasattr(a, "email") else ()
     run = {
-        "create-tables": lambda: catalog.create_tables(spark, a.db, a.buckets, a.format),
+        "create-tables": lambda: catalog.create_tables(spark, a.db, a.buckets, a.format, a.by_day),
         "load-mail": lambda: jobs.load_mail(spark, a.db, a.folder),
         "mail-to-json": lambda: jobs.mail_to_json(spark, a.folder, a.out),
         "load-json": lambda: jobs.load_json(spark, a.db, a.folder, not a.lines),
         "build-two-hop": lambda: jobs.build_two_hop(spark, a.db),
+        "update-two-hop": lambda: jobs.update_two_hop(spark, a.db, a.loaded_from),
         "reach": lambda: jobs.reach_report(spark, a.db, *span, two_hop=a.two_hop),
         "reach-sql": lambda: jobs.reach_sql_report(spark, a.db, *span),
         "reach-hops": lambda: jobs.reach_hops_report(spark, a.db, *span, a.k),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from dataclasses import dataclass
 from math import ceil
@@ -96,6 +97,12 @@ def measure(df: DataFrame, key: str) -> Measured:
     return Measured(counts, total, top)
 
 
+def partitions_on(df: DataFrame, key: str) -> int | None:
+    """The number of partitions if the rows come hash-partitioned on ``key``, as from a table bucketed on it; else None."""
+    found = re.fullmatch(r"hashpartitioning\((\w+)#\d+L?, (\d+)\)", df._jdf.queryExecution().sparkPlan().outputPartitioning().toString())
+    return int(found[2]) if found and found[1] == key else None
+
+
 def computed(df: DataFrame) -> bool:
     """Whether reading the rows takes more than a scan with filters and projections."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()
@@ -116,7 +123,8 @@ def lay_out(
     """Partition ``df`` for repeated joins on ``key``, splitting keys that hold too many rows.
 
     With ``collapse`` equal rows are kept once; of those that differ in ``edge_id`` only, the one with the least.
-    They meet in the partition of their key, so that takes no shuffle of its own.
+    They meet in the partition of their key, so that takes no shuffle of its own. Rows of a table that is bucketed on
+    the key stay in their buckets, unless those are too large or a key is hot.
 
     ``limit >= 4 * total / partitions``, so at most ``partitions / 4`` <= 5,000 keys can be hot: that bounds the
     broadcast of the hot list.
@@ -129,7 +137,11 @@ def lay_out(
     if measured.top > limit:
         fan, salt = scratch.save(hot_keys(measured.counts, key, limit), f"hot-{key}"), ["salt"]
         df = df.join(F.broadcast(fan), key, "left").withColumn("salt", salt_of(spread_by, F.coalesce("fan", F.lit(1))))
-    rows = df.drop("fan").repartition(partitions, key, *salt)
+    buckets = partitions_on(df, key) if collapse and fan is None else None
+    if buckets and measured.total <= buckets * limit:
+        rows = df
+    else:
+        rows = df.drop("fan").repartition(partitions, key, *salt)
     if collapse and "edge_id" in rows.columns:
         rows = rows.groupBy([c for c in rows.columns if c != "edge_id"]).agg(F.min("edge_id").alias("edge_id"))
     elif collapse:

@@ -12,7 +12,7 @@ from edgetide.operators.messages import reach_hop_bounded
 from edgetide.operators.paths import earliest_path
 from edgetide.operators.reach import Reach, named, reach, sources_by_email
 from edgetide.operators.recursive import reach_recursive_sql
-from edgetide.operators.two_hop import two_hop_index, two_hop_path_search
+from edgetide.operators.two_hop import current_index, two_hop_index, two_hop_path_search, two_hop_update
 from edgetide.plans import catalog
 from edgetide.scratch import Scratch
 from edgetide.sources.graph_json import load_graph_json, write_graph_json
@@ -65,13 +65,28 @@ def build_two_hop(spark: SparkSession, db: str) -> None:
     catalog.overwrite(two_hop_index(spark.table(f"{db}.edges")), db, "two_hop_index")
 
 
+def update_two_hop(spark: SparkSession, db: str, loaded_from: str) -> None:
+    """Bring the index up to date with the edges loaded (``created_at``) from a moment on.
+
+    Rows are added only: readers take ``index_of``, and ``build_two_hop`` now and then removes rows that were beaten.
+    """
+    edges = spark.table(f"{db}.edges")
+    new = F.col("created_at") >= F.lit(loaded_from).cast("timestamp")
+    rows = Scratch(spark).save(two_hop_update(spark.table(f"{db}.two_hop_index"), edges.filter(~new), edges.filter(new)), "update")
+    catalog.append(rows, db, "two_hop_index")
+
+
+def index_of(spark: SparkSession, db: str) -> DataFrame:
+    return current_index(spark.table(f"{db}.two_hop_index"))
+
+
 def reach_from_email(spark: SparkSession, db: str, email: str, start: str, hours: int, two_hop: bool = False,
                      **options) -> Reach:
     """Earliest arrivals from the person with this e-mail; with ``two_hop`` over one-hop and two-hop edges together."""
     edges = spark.table(f"{db}.edges")
     sources = sources_by_email(edges, spark.table(f"{db}.person"), email, start, hours)
     if two_hop:
-        edges = unified_edges(edges, spark.table(f"{db}.two_hop_index"), start, hours)
+        edges = unified_edges(edges, index_of(spark, db), start, hours)
     return reach(edges, sources, **options)
 
 
@@ -114,7 +129,7 @@ def path_report(spark: SparkSession, db: str, email: str, target_email: str, sta
 
 
 def find_path(spark: SparkSession, db: str, start: int, target: int, margin_s: int = 0, max_depth: int = 10) -> DataFrame:
-    return two_hop_path_search(spark.table(f"{db}.two_hop_index"), start, target, margin_s, max_depth)
+    return two_hop_path_search(index_of(spark, db), start, target, margin_s, max_depth)
 
 
 def degree_report(spark: SparkSession, db: str) -> DataFrame:

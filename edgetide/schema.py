@@ -23,6 +23,9 @@ EDGES = T.StructType([
     T.StructField("created_at", T.TimestampType()),
 ])
 
+# The partition column of an edge table that is also cut by day.
+DAY = "sent_day"
+
 TWO_HOP = T.StructType([
     T.StructField("n1", T.LongType()),
     T.StructField("t1", T.TimestampType()),

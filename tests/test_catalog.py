@@ -1,10 +1,14 @@
+import re
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from edgetide import __main__ as cli
+from edgetide.operators.edges import edges_in_window
+from edgetide.operators.layout import lay_out, partitions_on, spread_join
 from edgetide.plans import catalog, jobs
+from edgetide.scratch import Scratch
 from micro import M1, edge_frame
 
 
@@ -136,3 +140,85 @@ def test_graph_files_with_other_ids_are_refused(spark, db, tmp_path):
     jobs.mail_to_json(spark, mail_folder(tmp_path / "two", [("a@x", "b@x")]), str(tmp_path / "json"))
     with pytest.raises(ValueError, match="in the table"):
         jobs.load_json(spark, db, str(tmp_path / "json"), multiline=False)
+
+
+@pytest.fixture
+def daily(spark, tmp_path):
+    name = f"graph_{uuid.uuid4().hex[:8]}"
+    catalog.create_database(spark, name, str(tmp_path / name))
+    catalog.create_tables(spark, name, buckets=2, by_day=True)
+    yield name
+    catalog.drop_tables(spark, name)
+    spark.sql("USE default")
+    spark.sql(f"DROP DATABASE {name}")
+
+
+def folders(plan):
+    found = re.search(r"PartitionFilters: \[([^\]]*)\]", plan)
+    return found and found.group(1)
+
+
+def day_edges(spark, days, offset=0):
+    return edge_frame(spark, [(i % 5, i % 7 + 5, d * 1440 + i) for d in days for i in range(offset, offset + 20)]).withColumn(
+        "edge_id", F.concat("src", F.lit("-"), "dst", F.lit("-"), F.col("sent_at").cast("string"))).withColumn("edge_type", F.lit("TO"))
+
+
+def test_a_window_lists_the_folders_of_its_days(spark, daily):
+    catalog.append(day_edges(spark, range(10)), daily, "edges")
+    table = spark.table(f"{daily}.edges")
+    assert table.select("sent_day").distinct().count() == 10
+    window = edges_in_window(table, "2024-01-03 00:00:00", 23)
+    assert {r.sent_day.day for r in window.select("sent_day").distinct().collect()} == {3}
+    read = {r[0].split("sent_day=")[1][:10] for r in window.select(F.input_file_name()).distinct().collect()}
+    assert read == {"2024-01-03"}
+    assert "sent_day" in folders(window._jdf.queryExecution().executedPlan().toString())
+    assert jobs.degree_report(spark, daily).count() == 12
+
+
+def test_a_load_looks_for_its_keys_in_its_days(spark, daily, monkeypatch):
+    catalog.append(day_edges(spark, range(10)), daily, "edges")
+    seen = []
+    days_of = catalog._days_of
+    monkeypatch.setattr(catalog, "_days_of", lambda rows: seen.append(days_of(rows)) or seen[-1])
+    undated = day_edges(spark, [3], 50).withColumn("sent_at", F.lit(None).cast("timestamp_ntz"))
+    catalog.append(day_edges(spark, [3, 4], 10).unionByName(undated), daily, "edges")
+    table = spark.table(f"{daily}.edges")
+    read = {r[0].split("sent_day=")[1][:10] for r in table.filter(seen[0]).select(F.input_file_name()).distinct().collect()}
+    assert read == {"2024-01-04", "2024-01-05", "__HIVE_DEFAULT_PARTITION__"[:10]}
+    assert table.count() == 200 + 20 + 20
+    catalog.append(day_edges(spark, [3, 4], 10).unionByName(undated), daily, "edges")
+    assert spark.table(f"{daily}.edges").count() == 240
+
+
+def test_joins_leave_the_edges_in_their_buckets(spark, filled):
+    """Neither the rounds of a relaxation nor a look-up join shuffles a table that is bucketed on the key."""
+    table = spark.table(f"{filled}.edges")
+    assert partitions_on(table.select("src", "dst"), "src") == 4 and partitions_on(table, "dst") is None
+    temporal = table.select("src", F.col("sent_at").alias("start_time"), F.col("sent_at").alias("end_time"), "dst")
+    layout = lay_out(temporal, "src", ["dst"], ["start_time"], Scratch(spark), collapse=True)
+    plan = layout.rows._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "Exchange" not in plan
+    assert layout.rows.rdd.getNumPartitions() == 4 and layout.rows.count() == 9
+    layout.release()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dim = spark.range(7).select(F.col("id").alias("src"), (F.col("id") * 2).alias("twice"))
+        joined = spread_join(table.select("src", "dst"), dim, ["src"], ["dst"], Scratch(spark))
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and joined.count() == 9
+        arrivals = jobs.reach_report(spark, filled, "p1@x.test", "2024-01-01 00:00:00", 1)
+        assert arrivals.count() == 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_index_kept_up_over_loads(spark, db):
+    edges = edge_frame(spark, M1).withColumn("edge_type", F.lit("TO"))
+    early = edges.filter("edge_id < 'e00004'").withColumn("created_at", F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    catalog.append(early, db, "edges")
+    jobs.build_two_hop(spark, db)
+    catalog.append(edges.filter("edge_id >= 'e00004'").withColumn("created_at", F.lit("2024-02-02 00:00:00").cast("timestamp")), db, "edges")
+    jobs.update_two_hop(spark, db, "2024-02-02 00:00:00")
+    kept = sorted(map(tuple, jobs.index_of(spark, db).collect()))
+    jobs.build_two_hop(spark, db)
+    assert kept == sorted(map(tuple, spark.table(f"{db}.two_hop_index").collect())) and len(kept) == 6
