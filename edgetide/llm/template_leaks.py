@@ -3,17 +3,22 @@
 Texts become templates: numbers, names (a capitalised word inside a sentence; words in capitals throughout are words) and units (after a number) are replaced
 by typed placeholders, all else is lower-cased words. What is a name depends on its case, so there is a second, literal
 template: all words lower-cased, with their values. Windows of ``WINDOW`` words of the benchmark are hashed in both
-forms and joined with those of every document, in both forms, at every position; one of the two is enough. A document leaks an item if windows at consistent
-alignments cover ``COVERAGE`` of the item's windows. Consistent: where placeholders meet, equal values of the item
-stand for equal values of the document and the other way round, so a question asked again with other numbers or names
-is found, and one that only looks alike is not.
+forms and joined with those of every document, in both forms, at every position; one of the two is enough.
 
-Items shorter than a window are looked up as a whole, down to ``SHORTEST`` words. Windows with fewer than ``LITERALS``
-words outside placeholders say nothing and are left out. An item that has no others is looked up in literal form only,
-by its windows with ``LITERALS`` words that are no numbers; if it has none of these either, it cannot be found.
+Hits of an item at nearly the same shift (within ``BAND`` words) are taken together, so that words inserted, left out or
+replaced only cost the windows that hold them. A document leaks an item if such hits cover ``COVERAGE`` of the item's
+words: a whole item with a few words changed does, a quote of half of it does not. Slots must be consistent: equal
+values of the item stand for equal values of the document and the other way round, over all alignments together or,
+where these contradict each other, within a single one that covers enough. All slots between an alignment's first and
+last word count, whether a window holds them or not. So a question asked again with other numbers
+or names is found, and one that only looks alike is not.
+
+A typed window needs ``LITERALS`` words outside placeholders; a literal one holds its values and needs none. Items of
+fewer than ``WINDOW`` words say too little to be looked for inside texts: they are leaked by documents that consist of
+the same words and nothing else.
 
 Defined results: null and empty texts leak nothing; texts of any length are read whole; repeated rows and texts all leak; equal benchmark items are all
-reported; empty tables give empty results; extra columns are carried along by ``clean``.
+reported; items without words are leaked by none; empty tables give empty results; extra columns are carried along by ``clean``.
 """
 
 from __future__ import annotations
@@ -23,8 +28,9 @@ from pyspark.sql import functions as F
 
 from edgetide.llm.common import Scratch, broadcast_below, content_key, fresh, window_hashes
 
-WINDOW, SHORTEST, LITERALS = 8, 4, 3
-COVERAGE = 0.5
+WINDOW, LITERALS = 4, 3
+BAND = 16
+COVERAGE = 0.6
 BROADCAST_ROWS = 500_000  # at most so many rows of two or three numbers are broadcast; more are joined by shuffle
 NAME_MARK, UNIT_MARK = "\u0002", "\u0003"
 # Units that follow a number.
@@ -62,33 +68,26 @@ def literal_hashes(words: Column) -> Column:
     return F.transform(words, lambda x: F.xxhash64(F.translate(x, NAME_MARK + UNIT_MARK, "")))
 
 
-def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, n, size, slots, words, at, hash, typed): the telling windows of each item, n of them, in literal form
-    and, where that is another, in typed form."""
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("words")).filter(F.size("words") >= SHORTEST)
-    items = items.withColumns({"hashes": token_hashes(F.col("words")), "literals": literal_hashes(F.col("words")),
-                               "size": F.least(F.size("words"), F.lit(WINDOW))})
-    at = F.sequence(F.lit(0), F.size("words") - F.col("size"))
+def item_words(benchmark: DataFrame) -> DataFrame:
+    """(item_id, n, slots, words, hashes, literals) of each item that has words; n is their number."""
+    items = benchmark.select("item_id", tokens(F.col("text")).alias("words")).filter(F.size("words") > 0)
+    return items.select("item_id", F.size("words").alias("n"), F.exists("words", is_slot).alias("slots"), "words",
+                        token_hashes(F.col("words")).alias("hashes"), literal_hashes(F.col("words")).alias("literals"))
+
 
-    def telling(says) -> Column:
-        return F.filter(at, lambda i: F.size(F.filter(F.slice("words", i + 1, F.col("size")), says)) >= LITERALS)
+def item_windows(items: DataFrame) -> DataFrame:
+    """(item_id, n, slots, at, hash): the windows of each item in literal form and, where that is another and
+    holds words enough, in typed form."""
+    at = F.posexplode(F.arrays_zip(window_hashes(F.col("literals"), WINDOW).alias("one"), window_hashes(F.col("hashes"), WINDOW).alias("two")))
+    each = items.filter(F.col("n") >= WINDOW).select("item_id", "n", "slots", "words", at.alias("at", "w"))
+    told = F.size(F.filter(F.slice("words", F.col("at") + 1, WINDOW), lambda x: ~is_slot(x))) >= LITERALS
+    forms = F.when(told & (F.col("w.one") != F.col("w.two")), F.array("w.one", "w.two")).otherwise(F.array("w.one"))
+    return each.select("item_id", "n", "slots", "at", F.explode(forms).alias("hash"))
 
-    def sized(hashes: str) -> Column:
-        found = F.when(F.col("size") == WINDOW, window_hashes(F.col(hashes), WINDOW))
-        for size in range(SHORTEST, WINDOW):
-            found = found.when(F.col("size") == size, window_hashes(F.col(hashes), size))
-        return found
 
-    items = items.withColumns({"typed": telling(lambda x: ~is_slot(x)), "literal": telling(lambda x: ~x.between("0", ":"))})
-    items = items.select("item_id", "size", F.exists("words", is_slot).alias("slots"), "words", sized("hashes").alias("typed_windows"),
-                         sized("literals").alias("literal_windows"), (F.size("typed") > 0).alias("told"),
-                         F.when(F.size("typed") > 0, F.col("typed")).otherwise(F.col("literal")).alias("telling"))
-    each = items.withColumn("n", F.size("telling")).withColumn("at", F.explode("telling"))
-    one, two = F.get("literal_windows", F.col("at")), F.get("typed_windows", F.col("at"))
-    forms = F.when(F.col("told") & (one != two), F.array(
-        F.struct(one.alias("hash"), F.lit(False).alias("typed")), F.struct(two.alias("hash"), F.lit(True).alias("typed")))).otherwise(
-        F.array(F.struct(one.alias("hash"), F.lit(False).alias("typed"))))
-    return each.select("item_id", "n", "size", "slots", "words", "at", F.inline(forms))
+def covered(at: Column) -> Column:
+    """The item's words that windows at these places cover."""
+    return F.size(F.array_distinct(F.flatten(F.transform(at, lambda i: F.sequence(i, i + WINDOW - 1)))))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -97,51 +96,78 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``slots``: placeholders that were checked; ``changed``: those whose value differs from the item's.
     """
     scratch = Scratch(docs.sparkSession)
-    windows = scratch.save(item_windows(benchmark), "items")
-    sizes = [r["size"] for r in windows.groupBy("size").agg(F.count(F.lit(1)).alias("rows")).collect()]  # at most WINDOW
-    lookup = scratch.save(windows.select("hash", "size", "item_id", "at", "n", "slots", "typed"), "lookup")
-    lookup = broadcast_below(lookup, BROADCAST_ROWS)
+    items = scratch.save(item_words(benchmark), "items")
+    lookup = broadcast_below(scratch.save(item_windows(items), "lookup"), BROADCAST_ROWS)
 
     hashed = docs.select("doc_id", content_key(F.col("text")).alias("key"), tokens(F.col("text")).alias("words")).select(
         "doc_id", "key", token_hashes(F.col("words")).alias("hashes"), literal_hashes(F.col("words")).alias("literals"))
-    hits = None
-    for size in sizes or [WINDOW]:
-        both = F.arrays_zip(window_hashes(F.col("literals"), size).alias("one"), window_hashes(F.col("hashes"), size).alias("two"))
-        forms = hashed.select("doc_id", "key", F.posexplode(both).alias("pos", "w")).select(
-            "doc_id", "key", "pos", F.explode(F.array_distinct(F.array("w.one", "w.two"))).alias("hash"))
-        found = forms.join(lookup.filter(F.col("size") == size), "hash").select(
-            "doc_id", "key", "item_id", "at", "n", "slots", "typed", (F.col("pos") - F.col("at")).alias("shift"))
-        hits = found if hits is None else hits.unionByName(found)
+    both = F.arrays_zip(window_hashes(F.col("literals"), WINDOW).alias("one"), window_hashes(F.col("hashes"), WINDOW).alias("two"))
+    forms = hashed.select("doc_id", "key", F.posexplode(both).alias("pos", "w")).select(
+        "doc_id", "key", "pos", F.explode(F.array_distinct(F.array("w.one", "w.two"))).alias("hash"))
+    hits = forms.join(lookup, "hash").select("doc_id", "key", "item_id", "at", "n", "slots", (F.col("pos") - F.col("at")).alias("shift"))
     # repeated rows hit the same windows again, hence sets; a set has at most the windows of an item
-    aligned = hits.groupBy("doc_id", "key", "item_id", "n", "slots", "typed", "shift").agg(F.collect_set("at").alias("at"))
-    matched = aligned.groupBy("doc_id", "key", "item_id", "n", "slots").agg(F.collect_list(F.struct("typed", "shift", "at")).alias("found"))
-    covered = F.size(F.array_distinct(F.flatten("found.at"))) / F.col("n")
-    likely, seen = scratch.save_counted(matched.withColumn("coverage", covered).filter(F.col("coverage") >= COVERAGE), "likely",
-                                        F.count_if("slots").alias("slotted"))
-    plain = likely.filter("not slots").select("doc_id", "key", "item_id", "coverage", F.lit(0).alias("slots"), F.lit(0).alias("changed"))
+    aligned = hits.groupBy("doc_id", "key", "item_id", "n", "slots", "shift").agg(F.collect_set("at").alias("at"))
+    # two bands hold each shift, so that shifts less than BAND apart share one
+    band = F.floor(F.col("shift") / BAND)
+    banded = aligned.withColumn("band", F.explode(F.array(band, band - 1))).groupBy("doc_id", "key", "item_id", "n", "slots", "band").agg(
+        F.collect_list(F.struct("shift", "at")).alias("found"))
+    banded = banded.withColumn("coverage", covered(F.flatten("found.at")) / F.col("n")).filter(F.col("coverage") >= COVERAGE)
+    likely, seen = scratch.save_counted(banded, "likely", F.count_if("slots").alias("slotted"))
+    none = F.lit(0)
+    plain = likely.filter("not slots").groupBy("doc_id", "key", "item_id").agg(F.max("coverage").alias("coverage")).select(
+        "*", none.alias("slots"), none.alias("changed"))
+    whole = short_leaks(docs, items).select(*plain.columns)
     if not seen["slotted"]:
-        return plain
-    checked = check_slots(likely.filter("slots").dropDuplicates(["key", "item_id"]), docs, windows)
-    return plain.unionByName(likely.filter("slots").select("doc_id", "key", "item_id").join(checked, ["key", "item_id"]).select(plain.columns))
+        return plain.unionByName(whole)
+    checked = check_slots(likely.filter("slots").drop("doc_id").dropDuplicates(["key", "item_id", "band"]), docs, items)
+    found = likely.filter("slots").select("doc_id", "key", "item_id").distinct().join(checked, ["key", "item_id"])
+    return plain.unionByName(whole).unionByName(found.select(plain.columns))
+
+
+def short_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Documents that consist of the words of an item too short for a window."""
+    short = items.filter(F.col("n") < WINDOW).select("item_id", F.col("literals").alias("own"))
+    # at most WINDOW - 1 words of five bytes at least and what stands between them; longer texts may be as short in words
+    few = docs.select("doc_id", content_key(F.col("text")).alias("key"), literal_hashes(tokens(
+        F.when(F.regexp_count("text", F.lit(r"[\p{L}\p{N}]++")) <= 8 * WINDOW, F.col("text")))).alias("own"))
+    few = few.filter((F.size("own") < WINDOW) & (F.size("own") > 0))
+    return few.join(short, "own").select("doc_id", "key", "item_id", F.lit(1.0).alias("coverage"), F.lit(0).alias("slots"),
+                                         F.lit(0).alias("changed")).distinct()
 
 
-def check_slots(likely: DataFrame, docs: DataFrame, windows: DataFrame) -> DataFrame:
+def check_slots(likely: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
     """(key, item_id, coverage, slots, changed) over the alignments whose placeholders are consistent, as literal ones are."""
-    items = windows.groupBy("item_id").agg(F.first("words").alias("asked"), F.first("size").alias("size"))
+    asked = items.select("item_id", F.col("words").alias("asked"))
     texts = docs.select(content_key(F.col("text")).alias("key"), "text").join(
         likely.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]).select("key", tokens(F.col("text")).alias("words"))
-    aligned = likely.select("key", "item_id", "n", F.inline("found")).join(texts, "key").join(items, "item_id")
-    places = F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(i, i + F.col("size") - 1))))
-    slots = F.filter(places, lambda p: is_slot(F.get("asked", p)))
+    aligned = likely.select("key", "item_id", "n", "band", F.inline("found")).join(texts, "key").join(asked, "item_id")
+    # all slots from an alignment's first word to its last, also between windows, where the document has one of the kind
+    places = F.sequence(F.array_min("at"), F.array_max("at") + WINDOW - 1)
+
+    def kind(word: Column) -> Column:
+        return F.when(word >= ":", "word").when(word >= "0", "number").when(word.startswith(UNIT_MARK), "unit").otherwise("name")
+
+    slots = F.filter(places, lambda p: is_slot(F.get("asked", p)) & (kind(F.get("asked", p)) == kind(F.get("words", (p + F.col("shift")).cast("int")))))
     pairs = F.array_distinct(F.transform(slots, lambda p: F.struct(
-        F.get("asked", p).alias("asked"), F.when(F.col("typed"), F.get("words", p + F.col("shift"))).otherwise(F.get("asked", p)).alias("given"))))
-    aligned = aligned.select("key", "item_id", "n", "at", pairs.alias("pairs"))
-    consistent = (F.size(F.array_distinct("pairs.asked")) == F.size("pairs")) & (F.size(F.array_distinct("pairs.given")) == F.size("pairs"))
+        F.get("asked", p).alias("asked"), F.get("words", (p + F.col("shift")).cast("int")).alias("given"))))
+    aligned = aligned.select("key", "item_id", "n", "band", "at", pairs.alias("pairs")).filter(consistent(F.col("pairs")))
+    best = F.max(covered(F.col("at"))).alias("single")
+    joint = aligned.groupBy("key", "item_id", "n", "band").agg(
+        F.flatten(F.collect_list("at")).alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"), best,
+        F.max(F.size("pairs")).alias("most"))
+    agreed = consistent(F.col("pairs"))
+    words = F.when(agreed, covered(F.col("at"))).otherwise(F.col("single"))
     changed = F.size(F.filter("pairs", lambda x: x["asked"] != x["given"]))
-    return aligned.filter(consistent).groupBy("key", "item_id", "n").agg(
-        F.flatten(F.collect_list("at")).alias("at"), F.max(F.size("pairs")).alias("slots"), F.max(changed).alias("changed")).select(
-        "key", "item_id", (F.size(F.array_distinct("at")) / F.col("n")).alias("coverage"), "slots", "changed").filter(
-        F.col("coverage") >= COVERAGE)
+    return joint.select("key", "item_id", (words / F.col("n")).alias("coverage"), F.when(agreed, F.size("pairs")).otherwise(F.col("most")).alias("slots"),
+                        changed.alias("changed")).filter(F.col("coverage") >= COVERAGE).groupBy("key", "item_id").agg(
+        F.max("coverage").alias("coverage"), F.max_by("slots", "coverage").alias("slots"), F.min_by("changed", F.struct(-F.col("coverage"), "changed")).alias("changed"))
+
+
+def consistent(pairs: Column) -> Column:
+    """Whether no value of the item stands for two values of the document, and none of the document for two of the item."""
+    distinct = F.size(pairs)
+    return (F.size(F.array_distinct(F.transform(pairs, lambda x: x["asked"]))) == distinct) & (
+        F.size(F.array_distinct(F.transform(pairs, lambda x: x["given"]))) == distinct)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
