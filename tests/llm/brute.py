@@ -74,3 +74,23 @@ def targets(sizes):
                 target[s] = 2 * sizes[s]
                 open_.discard(s)
     return target
+
+
+def leaked(docs, items):
+    """(doc_id, item_id) pairs for items without slots: most of an item's words lie under 4-word windows of the document
+    whose shifts share a band."""
+    token = re.compile(r"[^\W\d_]+|\d+(?:[.,:/]\d+)*")
+    sizes, places, found = {}, {}, set()
+    for item, text in items:
+        w = token.findall((text or "").lower())
+        sizes[item] = len(w)
+        for i in range(len(w) - 3):
+            places.setdefault(tuple(w[i:i + 4]), []).append((item, i))
+    for doc_id, text in docs:
+        w, bands = token.findall((text or "").lower()), {}
+        for pos in range(len(w) - 3):
+            for item, at in places.get(tuple(w[pos:pos + 4]), []):
+                for band in ((pos - at) // 16, (pos - at) // 16 - 1):
+                    bands.setdefault((item, band), set()).update(range(at, at + 4))
+        found |= {(doc_id, item) for (item, _), own in bands.items() if len(own) >= 0.6 * sizes[item]}
+    return found

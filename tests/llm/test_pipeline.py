@@ -1,11 +1,10 @@
 """Stage by stage on a small table, each against a brute-force version on the stage's own input."""
 
-import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
 import pytest
-from brute import classes, quality, targets, words
+from brute import classes, leaked, quality, targets, words
 
 import __spark_entry__
 from edgetide.llm import quality_rules
@@ -80,12 +79,7 @@ def test_edge_rows(spark, sf, edge_docs):
 
 
 def test_decontamination(spark, sf, stages):
-    """Items of the tables hold no slots, so a leak is half of the item's 8-word windows in the document."""
-    def windows(text):
-        w = re.findall(r"[^\W\d_]+|\d+(?:[.,:/]\d+)*", (text or "").lower())
-        return {tuple(w[i:i + 8]) for i in range(len(w) - 7)}
-
-    items = [x for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if (x := windows(r.text))]
-    before = {r.doc_id: windows(r.text) for r in rows(stages["near_duplicates"])}
-    leaking = {i for i, w in before.items() if any(2 * len(x & w) >= len(x) for x in items)}
-    assert leaking and sorted(r.doc_id for r in rows(stages["decontamination"])) == sorted(set(before) - leaking)
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text")
+    before = [(r.doc_id, r.text) for r in rows(stages["near_duplicates"])]
+    leaking = {d for d, _ in leaked(before, [tuple(r) for r in bench.collect()])}
+    assert leaking and sorted(r.doc_id for r in rows(stages["decontamination"])) == sorted({d for d, _ in before} - leaking)

@@ -1,3 +1,4 @@
+from brute import leaked
 from edgetide.llm import template_leaks as t
 
 ITEM = "A train leaves London at 9 and travels 60 km each hour, when does it reach the town of Oxford that is 120 km away"
@@ -64,22 +65,8 @@ def test_clean_keeps_rows_and_columns(spark, edge_docs, no_docs):
 def test_whole_table_equals_brute_force(spark, sf):
     """Items of the tables hold no slots, so a leak is ``COVERAGE`` of an item's words under 4-word windows of the
     document whose shifts share a band."""
-    import re
-    token = re.compile(r"[^\W\d_]+|\d+(?:[.,:/]\d+)*")
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
-    items = {r.item_id: token.findall(r.text.lower()) for r in bench.collect()}
-    places = {}
-    for item, w in items.items():
-        for i in range(len(w) - 3):
-            places.setdefault(tuple(w[i:i + 4]), []).append((item, i))
-    want = set()
-    for r in docs.collect():
-        w, bands = token.findall((r.text or "").lower()), {}
-        for pos in range(len(w) - 3):
-            for item, at in places.get(tuple(w[pos:pos + 4]), []):
-                for band in ((pos - at) // t.BAND, (pos - at) // t.BAND - 1):
-                    bands.setdefault((item, band), set()).update(range(at, at + 4))
-        want |= {(r.doc_id, item) for (item, _), words in bands.items() if len(words) >= t.COVERAGE * len(items[item])}
+    want = leaked([tuple(r) for r in docs.select("doc_id", "text").collect()], [tuple(r) for r in bench.select("item_id", "text").collect()])
     assert want and {(r.doc_id, r.item_id) for r in t.leaks(docs, bench).collect()} == want
 
 
