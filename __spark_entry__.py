@@ -346,12 +346,13 @@ def q_normalize_time(spark, d):
 
 
 def q_conversation_headers(spark, d):
-    """Header values found in whole conversation texts behind a rendered header."""
-    content = F.concat(F.lit("From: "), F.col("role"), F.lit("@x.test\nTo: a@x.test\n\n"), F.col("text"))
+    """Whole conversation texts as folded subjects, one line after the other, found again among the headers."""
+    folded = F.replace(unix_lines(F.col("text")), F.lit("\n"), F.lit("\n "))
+    content = F.concat(F.lit("From: "), F.col("role"), F.lit("@x.test\nSubject: "), folded, F.lit("\nTo: a@x.test\n\nDate: none\n"))
     block = header_block(unix_lines(content))
     return src.read(spark, d, "conversations").select(
         "conv_id", "turn", header(block, "From").alias("sender"), header(block, "To").alias("to_value"),
-        header(block, "Date").isNull().alias("undated"))
+        header(block, "Subject").alias("subject"), header(block, "Date").isNull().alias("undated"))
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -583,6 +584,7 @@ from edges""",
 from (select o_orderkey, case when o_custkey % 2 = 0 then 'person' else 'edges' end as kind_word from orders)""",
         "normalize_time": """select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as time_text,
   date_trunc('second', ts) as moment from events""",
-        "conversation_headers": """select conv_id, turn, role || '@x.test' as sender, 'a@x.test' as to_value, true as undated
+        "conversation_headers": r"""select conv_id, turn, role || '@x.test' as sender, 'a@x.test' as to_value,
+  ltrim(replace(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10), chr(10) || ' '), ' ' || chr(9)) as subject, true as undated
 from conversations""",
     }
