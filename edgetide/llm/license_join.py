@@ -1,20 +1,23 @@
 """License scans by an exact set-similarity join (operator 10, DataFrame functions only).
 
-A block is a line of a text, or a window of neighbouring words as long as the template, whatever line breaks are inside
-(notices are mostly wrapped); a template is a known license sentence. Both are sets of words. Every block that contains
-at least ``CONTAINMENT`` of a template's words is found. With c words needed out of a template's n, and words ordered by
-how rare they are in the whole corpus, rarest first:
-
-* prefix: such a block has one of the template's first n - c + 1 words, so only lines with one of these go on;
-* length: it has c different words or more;
+A block is a run of neighbouring words of a text, wherever its line breaks are; a template is a known license sentence.
+Both are sets of words. A block for a template of n words has at most n / ``CONTAINMENT`` words, so that a notice is
+found with words replaced, left out or inserted in that proportion. Every block that contains at least ``CONTAINMENT``
+of a template's different words is found. With c of them needed out of d, and words ordered by how rare they are in the
+whole corpus, rarest first:
+
+* prefix: such a block has one of the template's first d - c + 1 words, so only what is around these is looked at;
+* length: it has c different words of templates or more;
 * position: a first common word at place i of the template and j of the block leaves at most
   1 + min(words after i, words after j) common words, which must reach c.
 
-What passes is verified word by word. Windows are only looked at around the prefix words, in texts of several lines:
-those of a single line have no word that the line has not. Besides, the places of the base phrases are counted in every text.
+What passes is verified word by word, for every block that holds the prefix word. Long texts are cut into overlapping
+stretches, so that no row of the join is longer than a stretch. Besides, the places of the base phrases are counted in
+every text.
 
-Defined results: a null text counts as an empty one; repeated rows are scanned one by one; a text without license has
-null places, empty labels and a score of 0; an empty table gives an empty table.
+Defined results: a null text counts as an empty one; texts of any length are scanned whole; of several blocks with the
+same containment any gives the score; repeated rows are scanned one by one; a text without license has null places, empty
+labels and a score of 0; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ PHRASES = {
     "mit license": "mit",
 }
 CONTAINMENT = 0.8
+# Words of a stretch, beside those that its blocks reach to on either side.
+STRETCH = 512
 # Sentences that licenses are known by, with the label of the license.
 TEMPLATES = [
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -55,7 +60,16 @@ TEMPLATES = [
 
 
 def lower_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """The words of a text; those of ASCII characters only are lower-cased exactly in A-Z.
+
+    Only the Kelvin sign has an ASCII letter as its lower case, so it becomes another letter before.
+    """
+    return F.regexp_extract_all(F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u00e5"))), F.lit(WORD), F.lit(0))
+
+
+def span(length: int) -> int:
+    """The longest block for a template of ``length`` words."""
+    return math.ceil(length / CONTAINMENT - 1e-9)
 
 
 def template_words(spark: SparkSession) -> DataFrame:
@@ -82,16 +96,16 @@ def ordered_templates(spark: SparkSession, docs: DataFrame) -> tuple[list[dict],
         own = {r["word"] for r in listed if r["template"] == i}
         templates.append({"template": i, "label": label, "words": [w for w in vocabulary if w in own],
                           "needed": math.ceil(CONTAINMENT * len(own) - 1e-9),
-                          "length": next(r["length"] for r in listed if r["template"] == i)})
+                          "span": span(next(r["length"] for r in listed if r["template"] == i))})
     return templates, vocabulary
 
 
 def prefixes(spark: SparkSession, templates: list[dict]) -> tuple[DataFrame, DataFrame, list[str], str]:
-    """(word, place, template) and (template, label, words, needed, length); the prefix words and what finds one in a text."""
+    """(word, place, template) and (template, label, words, needed, span); the prefix words and what finds one in a text."""
     prefix = [(w, i, t["template"]) for t in templates for i, w in enumerate(t["words"][:len(t["words"]) - t["needed"] + 1])]
     starts = spark.createDataFrame(prefix, "word string, place int, template int")
-    whole = spark.createDataFrame([(t["template"], t["label"], t["words"], t["needed"], t["length"]) for t in templates],
-                                  "template int, label string, words array<string>, needed int, length int")
+    whole = spark.createDataFrame([(t["template"], t["label"], t["words"], t["needed"], t["span"]) for t in templates],
+                                  "template int, label string, words array<string>, needed int, span int")
     wanted = sorted({w for w, _, _ in prefix})
     letter = r"[0-9a-z\x{80}-\x{10FFFF}]"
     # a prefix word, as a whole word and in any case
@@ -99,41 +113,30 @@ def prefixes(spark: SparkSession, templates: list[dict]) -> tuple[DataFrame, Dat
 
 
 def block_matches(docs: DataFrame, templates: list[dict], vocabulary: list[str]) -> DataFrame:
-    """(doc_id, key, line, template, label, containment) for every line at or above the threshold."""
-    starts, whole, _, worth = prefixes(docs.sparkSession, templates)
-    lines = docs.filter(F.col("text").rlike(worth)).select(
-        "doc_id", text_key(F.col("text")).alias("key"), F.posexplode(F.split("text", "\n")).alias("line", "block")).filter(
-        F.col("block").rlike(worth))
-    blocks = lines.select(
-        "doc_id", "key", "line", F.array_distinct(lower_words(F.col("block"))).alias("own")).distinct().select(
-        "doc_id", "key", "line", F.size("own").alias("n"),
-        # the block's template words, rarest first; its other words are in no template and can't match
-        F.array_intersect(F.array(*map(F.lit, vocabulary)), F.col("own")).alias("common"))
-    tokens = blocks.select("doc_id", "key", "line", "n", "common", F.posexplode("common").alias("at", "word"))
-    pairs = tokens.join(F.broadcast(starts), "word").join(F.broadcast(whole), "template")
-    possible = F.col("n") >= F.col("needed")
-    reach = 1 + F.least(F.size("words") - 1 - F.col("place"), F.size("common") - 1 - F.col("at")) >= F.col("needed")
-    both = F.array_intersect("words", "common")
-    first = F.get(both, F.lit(0)) == F.col("word")
-    return pairs.filter(possible & reach & first).withColumn("overlap", F.size(both)).filter("overlap >= needed").select(
-        "doc_id", "key", "line", "template", "label", (F.col("overlap") / F.size("words")).alias("containment"))
-
-
-def window_matches(docs: DataFrame, templates: list[dict]) -> DataFrame:
-    """(doc_id, key, template, label, containment) for texts of several lines, by the best window around a prefix word."""
+    """(doc_id, key, template, label, containment) for blocks at or above the threshold, the best around a prefix word."""
     starts, whole, wanted, worth = prefixes(docs.sparkSession, templates)
-    far = max(t["length"] for t in templates) - 1
-    texts = docs.filter(F.contains("text", F.lit("\n")) & F.col("text").rlike(worth)).select(
-        "doc_id", text_key(F.col("text")).alias("key"), lower_words(F.col("text")).alias("w"))
-    spots = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).isin(wanted))
-    # the words that a window with the prefix word can have, and its place among them
+    far = max(t["span"] for t in templates) - 1
+    texts = docs.filter(F.col("text").rlike(worth)).select(
+        "doc_id", text_key(F.col("text")).alias("key"), lower_words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    first = F.sequence(F.lit(0), F.size("w") - 1, F.lit(STRETCH))
+    before = lambda i: F.greatest(i - far, F.lit(0))
+    stretches = texts.select("doc_id", "key", F.inline(F.transform(first, lambda i: F.struct(
+        (i - before(i)).alias("lead"), F.slice("w", before(i) + 1, i - before(i) + STRETCH + far).alias("w")))))
+    # prefix words of the stretch itself, not of its neighbours
+    own = F.sequence(F.col("lead"), F.least(F.col("lead") + STRETCH, F.size("w")) - 1)
+    spots = F.filter(own, lambda i: F.get("w", i).isin(wanted))
     around = F.transform(spots, lambda i: F.struct(F.get("w", i).alias("word"), F.least(i, F.lit(far)).alias("at"), F.slice(
-        "w", F.greatest(i - far, F.lit(0)) + 1, F.lit(2 * far + 1)).alias("near")))
-    pairs = texts.select("doc_id", "key", F.inline(around)).join(
-        F.broadcast(starts), "word").join(F.broadcast(whole), "template")
-    likely = pairs.filter(F.size(F.array_intersect("words", "near")) >= F.col("needed"))
-    overlaps = F.transform(F.sequence(F.greatest(F.col("at") - F.col("length") + 1, F.lit(0)), F.col("at")),
-                           lambda s: F.size(F.array_intersect("words", F.slice("near", s + 1, F.col("length")))))
+        "w", F.greatest(i - far, F.lit(0)) + 1, F.least(i, F.lit(far)) + 1 + far).alias("near")))
+    near = stretches.filter(F.arrays_overlap("w", F.array(*map(F.lit, wanted)))).select("doc_id", "key", F.inline(around))
+    # the words of templates around a prefix word, rarest first; other words are in no template and can't match
+    near = near.withColumn("common", F.array_intersect(F.array(*map(F.lit, vocabulary)), F.col("near")))
+    pairs = near.join(F.broadcast(starts), "word").join(F.broadcast(whole), "template")
+    possible = F.size("common") >= F.col("needed")
+    reach = 1 + F.least(F.size("words") - 1 - F.col("place"),
+                        F.size("common") - F.array_position("common", F.col("word"))) >= F.col("needed")
+    likely = pairs.filter(possible & reach & (F.size(F.array_intersect("words", "common")) >= F.col("needed")))
+    overlaps = F.transform(F.sequence(F.greatest(F.col("at") - F.col("span") + 1, F.lit(0)), F.col("at")),
+                           lambda s: F.size(F.array_intersect("words", F.slice("near", s + 1, F.col("span")))))
     return likely.withColumn("overlap", F.array_max(overlaps)).filter("overlap >= needed").select(
         "doc_id", "key", "template", "label", (F.col("overlap") / F.size("words")).alias("containment"))
 
@@ -167,7 +170,7 @@ def scan(docs: DataFrame) -> DataFrame:
         "doc_id", "key", "n_words", F.coalesce(F.flatten("hits.at"), F.array().cast("array<int>")).alias("at"),
         F.coalesce(F.col("hits.label"), F.array().cast("array<string>")).alias("base"))
     templates, vocabulary = ordered_templates(spark, docs)
-    blocks = block_matches(docs, templates, vocabulary).drop("line").unionByName(window_matches(docs, templates))
+    blocks = block_matches(docs, templates, vocabulary)
     found = scratch.save(blocks.groupBy("doc_id", "key").agg(
         F.collect_set("label").alias("found"), F.max("containment").alias("score")), "found")
     same = F.col("b.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("b.key") == F.col("f.key"))

@@ -130,13 +130,16 @@ w as (select r, doc_id, t, regexp_extract_all(t, {LICENSE_WORD}) as w from d),
 phrases(p, label) as (values {", ".join(f"({p.split()}, '{label}')" for p, label in license_join.PHRASES.items())}),
 base as (select r, count(*) as n, min(i) - 1 as first_word, max(i) - 1 as last_word, list(distinct label) as labels
   from (select r, w, unnest(range(1, len(w) + 1)) as i from w) join phrases on w[i:i + len(p) - 1] = p group by r),
-templates as (select label, list_distinct(regexp_extract_all(translate(t, '{license_join.UPPER}', '{license_join.LOWER}'), {LICENSE_WORD})) as tw
-  from (values {", ".join(f"('{label}', '{t}')" for label, t in license_join.TEMPLATES)}) as x(label, t)),
-blocks as (select r, list_distinct(regexp_extract_all(line, {LICENSE_WORD})) as own
-  from (select r, unnest(string_split(t, chr(10))) as line from d)),
-found as (select r, list(distinct label) as labels, max(n / len(tw)) as score
-  from (select r, label, tw, len(list_intersect(own, tw)) as n from blocks join templates on len(list_intersect(own, tw)) > 0)
-  where n >= ceil({license_join.CONTAINMENT} * len(tw) - 1e-9) group by r)
+templates as (select label, list_distinct(w) as tw, ceil(len(w) / {license_join.CONTAINMENT} - 1e-9)::bigint as span
+  from (select label, regexp_extract_all(translate(t, '{license_join.UPPER}', '{license_join.LOWER}'), {LICENSE_WORD}) as w
+    from (values {", ".join(f"('{label}', '{t}')" for label, t in license_join.TEMPLATES)}) as x(label, t))),
+-- a block may as well begin at a word of the template
+spots as (select r, w, label, tw, span, unnest(range(1, len(w) + 1)) as i from w
+  join templates on len(list_intersect(w, tw)) >= ceil({license_join.CONTAINMENT} * len(tw) - 1e-9)),
+blocks as (select r, label, len(tw) as size, len(list_intersect(w[i:i + span - 1], tw)) as n
+  from spots where list_contains(tw, w[i])),
+found as (select r, list(distinct label) as labels, max(n / size) as score from blocks
+  where n >= ceil({license_join.CONTAINMENT} * size - 1e-9) group by r)
 select doc_id, len(w)::bigint as n_words, coalesce(b.n, 0)::bigint as n_base, first_word::bigint as first_word,
   last_word::bigint as last_word, coalesce(array_to_string(list_sort(b.labels), ','), '') as base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(b.labels, f.labels))), ','), '') as labels,
