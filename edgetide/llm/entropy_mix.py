@@ -27,6 +27,7 @@ from edgetide.llm.common import Scratch, fresh, word_count
 WEIGHTS = (5, 2, 1)  # by rank of the source, repeating
 SHARE, MOST = 1.5, 2  # words of the mix to words there are; copies of a document
 STEPS, TOLERANCE = 60, 1e-9
+FAILURE = 1e-6  # a gap of that share of a source after all steps is an error
 BUCKET_ROWS = 20_000
 
 
@@ -76,8 +77,12 @@ def solve(cells: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFrame:
             (F.col("theta") + F.greatest(-bound, F.least(bound, move))).alias("theta"),
             F.coalesce(F.abs(F.col("target") - F.col("got")) / F.greatest("source_size", F.lit(1)), F.lit(0.0)).alias("gap"))
         state = scratch.save(moved.observe(seen, F.max("gap").alias("gap")), f"theta-{step}")
-        if (seen.get["gap"] or 0.0) <= TOLERANCE:
+        gap = seen.get["gap"] or 0.0
+        if gap <= TOLERANCE:
             break
+    else:
+        if gap > FAILURE:
+            raise RuntimeError(f"the mix is {gap:.1e} of a source off its target after {STEPS} steps")
     return state
 
 

@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from edgetide.llm.common import Scratch, broadcast_below, content_key, fresh
 
 SHINGLE, SIMILARITY = 5, 0.8
+# Rounds of rewiring links; more are an error, as classes would be incomplete.
+ROUNDS = 64
 REGISTERS, BANDS, ROWS = 96, 24, 4
 PROMISING = 0.66  # 0.8 less 3.4 standard deviations of 96 registers
 BLOCK = 2048  # members of a block
@@ -312,7 +314,7 @@ def components(nodes: DataFrame, links: DataFrame, scratch: Scratch, name: str)
     grows with the logarithm of the longest chain, and a node with many links is only ever reduced by a minimum.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    for step in range(64):
+    for step in range(ROUNDS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("least"))
         least = least.withColumn("least", F.least("u", "least"))
@@ -326,6 +328,8 @@ def components(nodes: DataFrame, links: DataFrame, scratch: Scratch, name: str)
         loose = tops.filter("n > 1").limit(1).count() or edges.join(tops.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
         if not loose:
             break
+    else:
+        raise RuntimeError(f"{name}: links still not rewired to stars after {ROUNDS} rounds")
     return nodes.join(tops.select(F.col("u").alias("node"), "class"), "node", "left").select(
         "node", F.coalesce("class", "node").alias("class"))
 

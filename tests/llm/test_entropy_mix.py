@@ -51,3 +51,9 @@ def test_hot_cell_is_dealt_by_buckets(spark, monkeypatch):
     docs = spark.range(2000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'one two three' else repeat('w ', cast(id % 90 as int)) end as text",
                                         "concat('s', id % 2) as source")
     check(docs, 3)
+
+
+def test_too_few_steps_are_an_error(spark, sf, monkeypatch):
+    monkeypatch.setattr(e, "STEPS", 1)
+    with pytest.raises(RuntimeError, match="steps"):
+        e.mix(spark.read.parquet(f"{sf}/documents.parquet"))

@@ -3,8 +3,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from brute import classes, shingles, similarity
+from pyspark.sql import functions as F
 
 from edgetide.llm import prob_minhash as p
+from edgetide.llm.common import Scratch
 
 
 def grouped(rows):
@@ -90,3 +92,12 @@ def test_repeated_passages_do_not_hide_plain_similarity(spark):
     first, last = (p.shingles(texts[i].encode()) for i in (0, 2))
     weighted, plain = p.probability_jaccard(first, last)
     assert weighted < 0.5 and plain >= 0.8 and len({r.class_id for r in p.near_duplicates(docs).collect()}) == 9
+
+
+def test_too_few_rounds_are_an_error(spark, monkeypatch):
+    nodes = spark.range(40).select(F.col("id").alias("node"))
+    chain = spark.range(39).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r["class"] for r in p.components(nodes, chain, Scratch(spark), "chain").collect()} == {0}
+    monkeypatch.setattr(p, "ROUNDS", 1)
+    with pytest.raises(RuntimeError, match="rounds"):
+        p.components(nodes, chain, Scratch(spark), "chain")
