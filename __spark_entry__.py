@@ -171,6 +171,20 @@ def q_reach_stream(spark, d):
     return job.arrivals().select("node_id", "arrival_time")
 
 
+def q_reach_stream_weeks(spark, d):
+    """The same as ``reach_stream``, with the events of each week as a file or more, in as many batches as weeks."""
+    scratch = Scratch(spark)
+    events = src.read(spark, d, "events")
+    by_week = scratch.save(events.withColumn("week", F.weekofyear("ts")).hint("rebalance", "week"), "in", ["week"])
+    weeks = by_week.select("week").distinct().count()
+    stream = spark.readStream.schema(by_week.schema).option(
+        "maxFilesPerTrigger", -(-len(by_week.inputFiles()) // weeks)).parquet(scratch.path("in"))
+    job = ReachStream(spark, rch.single_source(_events(spark, d), EVENT_SEED, EVENT_START, EVENT_HOURS), late="60 days",
+                      partitions=spark.sparkContext.defaultParallelism)
+    job.start(src.event_edges(stream)).awaitTermination()
+    return job.arrivals().select("node_id", "arrival_time")
+
+
 def q_earliest_path(spark, d):
     events = _events(spark, d)
     sources = rch.single_source(events, EVENT_SEED, EVENT_START, EVENT_HOURS)
@@ -522,6 +536,7 @@ from edges e join supplier on e.src = 2 * s_suppkey + 1 where {_window(TRADE_STA
         "reach_hop_bounded": _hop_walk(EVENTS, EVENT_SEED, EVENT_START, EVENT_HOURS, HOPS) + arrivals,
         "reach_recursive_sql": TRADE_WALK + arrivals,
         "reach_stream": EVENT_WALK + arrivals,
+        "reach_stream_weeks": EVENT_WALK + arrivals,
         "earliest_path": PATH,
         "earliest_path_slices": PATH,
         "two_hop_index": f"{events} {INDEX}",

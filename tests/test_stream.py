@@ -1,4 +1,6 @@
 import random
+import re
+from pathlib import Path
 
 import pytest
 
@@ -101,3 +103,47 @@ def test_a_batch_writes_what_it_improves_and_now_and_then_all(spark, monkeypatch
     # an edge that was missing makes all that follows earlier
     job.process(edge_frame(spark, [(0, 1, 0)]).drop("edge_id"), 8)
     assert job.scratch.read("state/8", job.seeds.schema).count() == 1 and found(job.arrivals())[1] == 0
+
+
+def test_edges_of_many_batches_are_put_together_by_group(spark, monkeypatch):
+    monkeypatch.setattr("edgetide.streaming.stored_edges.GROUP_BATCHES", 3)
+    job = ReachStream(spark, source_frame(spark, [(0, 0, 0, 1000)]), buckets=4)
+    # each edge comes before the one that leads to it, so the last batch carries on through all earlier ones
+    for number in range(8):
+        job.process(edge_frame(spark, [(7 - number, 8 - number, 8 - number)]).drop("edge_id"), number)
+    assert found(job.arrivals()) == {i: i for i in range(9)}
+    folder = Path(job.scratch.path("edges/of=4"))
+    # the batches of a group go once the batch that has put them together is done
+    assert sorted(p.name for p in folder.iterdir() if p.is_dir()) == ["step=b6", "step=b7", "step=c0", "step=c1"]
+    # the last batch again: its edges, not those of the batches put together, are written anew
+    job.process(edge_frame(spark, [(0, 1, 0)]).drop("edge_id"), 7)
+    assert found(job.arrivals())[1] == 0
+    with pytest.raises(ValueError, match="other buckets"):
+        ReachStream(spark, job.sources, base=job.base, buckets=5).process(edge_frame(spark, [(1, 2, 3)]).drop("edge_id"), 8)
+
+
+def test_rounds_read_touched_buckets_only_and_move_no_edge(spark):
+    job = ReachStream(spark, source_frame(spark, [(0, 0, 0, 1000)]), buckets=64)
+    job.process(edge_frame(spark, [(i, i + 1, i) for i in range(1, 40)]).drop("edge_id"), 0)
+    job.process(edge_frame(spark, [(0, 38, 5)]).drop("edge_id"), 1)
+    assert [len(found) for found in job.walked.touched] == [1, 1, 1] and job.walked.laid is None
+    assert found(job.arrivals()) == {0: 0, 38: 5, 39: 38, 40: 39}
+    walked = job.edges.since(1, 0, job.time)
+    frontier = spark.range(1).selectExpr("id + 7 AS node_id")
+    joined = walked.join(frontier, "node_id", 1)
+    assert len(joined.collect()) == 1
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert re.search(r"PartitionFilters: \[.*bucket#\d+ (IN|=)", plan)
+
+
+def test_rounds_that_read_much_lay_the_edges_out(spark):
+    rng = random.Random(5)
+    sources = source_frame(spark, [(0, 0, 0, 1000)])
+    job = ReachStream(spark, sources, buckets=1)
+    chain = [(i, i + 1, i + 1) for i in range(7)] + [(rng.randint(0, 7), rng.randint(8, 12), 20) for _ in range(10)]
+    job.process(edge_frame(spark, chain[1:]).drop("edge_id"), 0)
+    job.process(edge_frame(spark, chain[:1]).drop("edge_id"), 1)
+    assert job.walked.touched == [[0]] * 3 and job.walked.laid is not None
+    expected = reach(edge_frame(spark, [e for e in chain if e[0] != e[1]]), sources).arrivals
+    assert sorted(map(tuple, job.arrivals().collect())) == sorted(map(tuple, expected.collect()))
