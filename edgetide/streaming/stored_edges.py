@@ -98,8 +98,8 @@ class Touched:
     def join(self, keys: DataFrame, column: str, n_keys: int | None, condition: str = "true") -> DataFrame:
         small = n_keys is not None and n_keys <= BROADCAST_ROWS
         if self.laid is None and small and self.read < LAY_OUT_READS * self.buckets:
-            # at most as many values as there are buckets
-            found = sorted(r[0] for r in keys.select(bucket_of(column, self.buckets)).distinct().collect())
+            # one row with at most as many numbers as there are buckets
+            found = sorted(keys.agg(F.collect_set(bucket_of(column, self.buckets))).first()[0])
             self.touched.append(found)
             self.read += len(found)
             near = self.edges.filter(F.col("bucket").isin(found)).drop("bucket")
