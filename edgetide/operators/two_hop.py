@@ -16,6 +16,8 @@ CELL_ROWS = 20_000
 # Arrivals of one middle node that are joined together.
 BLOCK_ARRIVALS = 64
 HOUR = 3_600_000_000
+# Parts of the targets by which an hour of a middle node is spread.
+TARGET_PARTS = 16
 INDEX = ["n1", "t1", "n2", "t2", "n3"]
 INDEX_KEY = ["n1", "t1", "n2", "n3"]
 
@@ -117,8 +119,15 @@ def _touched(new: DataFrame, column: str, scratch: Scratch) -> DataFrame:
 
 
 def current_index(rows: DataFrame) -> DataFrame:
-    """The index from its rows and those of later updates: of each (n1, t1, n2, n3) the earliest."""
-    return rows.groupBy(*INDEX_KEY).agg(F.min("t2").alias("t2")).select(*INDEX)
+    """The index from its rows and those of later updates: of each (n1, t1, n2, n3) the earliest.
+
+    Rows are shuffled by middle node, hour and a part of the targets, in which neighbours share most of their values, as
+    they come out of the join: so they take much less room than dealt out by the whole key. A node's hour is in
+    ``TARGET_PARTS`` pieces, so that a busy one is not one task.
+    """
+    place = {"chunk": F.floor(micros(F.col("t1")) / HOUR), "part": F.pmod(F.xxhash64("n3"), F.lit(TARGET_PARTS))}
+    placed = rows.select(*INDEX).withColumns(place).repartition("n2", *place)
+    return placed.groupBy(*place, *INDEX_KEY).agg(F.min("t2").alias("t2")).select(*INDEX)
 
 
 def two_hop_path_search(index: DataFrame, start: int, target: int, margin_s: int = 0, max_depth: int = 10,

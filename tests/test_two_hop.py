@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from edgetide.operators.degree import degree, degree_stats, in_degree, out_degree
 from edgetide.operators.two_hop import current_index, merged_run, two_hop_index, two_hop_path_search, two_hop_update
@@ -121,3 +122,13 @@ def test_an_update_looks_at_touched_middle_nodes_only(spark):
     index = Scratch(spark).save(two_hop_index(first), "index")
     changed = rows(two_hop_update(index, first, edge_frame(spark, [(50, 51, 49), (200, 50, 1)])))
     assert changed == {(200, 1, 50, 49, 51), (50, 49, 51, 51, 52)}
+
+
+def test_current_index_shuffles_neighbours_together(spark):
+    """Rows are dealt by middle node and hour, not by the whole key, and the earliest of equal keys stays."""
+    index = two_hop_index(edge_frame(spark, random_graph(random.Random(5), 0, nodes=9, edges=60, minutes=200)))
+    later = index.withColumn("t2", F.expr("t2 + interval 1 minute")).select(index.columns)
+    merged = current_index(index.unionByName(later))
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [n2" in plan and "chunk" in plan
+    assert rows(merged) == rows(index)
