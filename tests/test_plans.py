@@ -172,3 +172,19 @@ def test_driver_reads_bounded_results_only():
     """Whatever comes to the driver is one aggregate row, or the keys of a frontier counted to be small."""
     found = [(p.name, line.strip()) for p in FILES for line in p.read_text().splitlines() if ".collect()" in line]
     assert found == [("layout.py", "found = [r[0] for r in keys.select(column).distinct().collect()]")]
+
+
+def test_layout_hashes_no_table_of_all_edges_and_makes_no_unused_ids(spark):
+    """Equal edges are found by the order that is kept anyway; the ids of trade edges are made for those who ask."""
+    orders = spark.sql("SELECT 1L o_orderkey, 7L o_custkey, timestamp_ntz'2024-01-01' o_orderdate")
+    lines = spark.sql("SELECT 1L l_orderkey, n l_linenumber, 3L l_suppkey, timestamp_ntz'2024-01-02' l_shipdate FROM VALUES (1), (2) t(n)")
+    trade = tables.trade_edges(orders, lines)
+    times = trade.select("src", "dst", "sent_at")
+    assert "concat" not in times._jdf.queryExecution().optimizedPlan().toString()
+    layout = lay_out(times, "src", ["dst"], ["sent_at"], Scratch(spark), collapse=True)
+    assert "HashAggregate" not in layout.rows._jdf.queryExecution().toString().split("InMemoryRelation")[-1]
+    assert sorted((r["src"], r["dst"]) for r in layout.rows.collect()) == [(7, 14), (14, 7)]
+    found = sorted((r["edge_id"], r["src"], r["dst"], str(r["sent_at"])) for r in trade.collect())
+    assert found == [("ORDER-1-1", 14, 7, "2024-01-01 00:00:00"), ("ORDER-1-2", 14, 7, "2024-01-01 00:00:00"),
+                     ("SHIP-1-1", 7, 14, "2024-01-02 00:00:00"), ("SHIP-1-2", 7, 14, "2024-01-02 00:00:00")]
+    layout.release()
